@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from lexiflow.llm import decontaminate, rules
+from lexiflow.llm import decontaminate, language, licences, mixing, quality, rules
 
 QUERIES = {
+    "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op5_mixing": mixing.op5_mixing,
+    "op6_license_scan": licences.op6_license_scan,
     "op7_quality_rules": rules.op7_quality_rules,
+    "op9_language_id": language.op9_language_id,
 }
 SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
