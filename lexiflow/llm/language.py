@@ -20,8 +20,8 @@ from lexiflow.session import table
 #: The filter is fitted on about so many documents of each language (a seeded sample; see learn()).
 SAMPLE_DOCS = 2_000
 #: The most frequent n-grams kept for each language.
-GRAMS = 20_000
-SLOT_BITS, PROBES = 18, 3
+GRAMS = 2_000
+SLOT_BITS, PROBES = 17, 3
 MULTIPLIERS = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: A-Z to a-z, all other ASCII but letters to a blank.
 LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in LOWER)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from lexiflow.llm import decontaminate, language, licences, mixing, quality, rules
+from lexiflow.llm import decontaminate, language, licences, minhash, mixing, quality, rules
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_minhash": minhash.op3_minhash,
     "op5_mixing": mixing.op5_mixing,
     "op6_license_scan": licences.op6_license_scan,
     "op7_quality_rules": rules.op7_quality_rules,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
+    "op3_minhash": minhash.OP3_SQL,
     "op7_quality_rules": rules.OP7_SQL,
 }
