@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexiflow.llm import decontaminate, language, licences, minhash, mixing, quality, rules
+from lexiflow.llm import decontaminate, language, licences, minhash, mixing, passages, quality, rules, suffixes
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
@@ -11,10 +11,13 @@ QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_license_scan": licences.op6_license_scan,
     "op7_quality_rules": rules.op7_quality_rules,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_language_id": language.op9_language_id,
+    "op10_substring_dedup": passages.op10_substring_dedup,
 }
 SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_minhash": minhash.OP3_SQL,
     "op7_quality_rules": rules.OP7_SQL,
+    "op10_substring_dedup": passages.OP10_SQL,
 }
