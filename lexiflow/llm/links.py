@@ -1,17 +1,8 @@
-"""From buckets of similar things to links and classes, without pairs of all members of a bucket.
-
-First each bucket compares its members with its smallest one only. What these links join is one class; a
-second pass compares members of different classes that share a bucket. So no link that would join two
-classes is left out, and a bucket of one class costs as many comparisons as it has members.
-"""
+"""From links to classes."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.session import checkpoint
@@ -40,43 +31,5 @@ def components(edges: DataFrame) -> DataFrame:
         lower = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
         small = large.join(lower, F.col("u") == F.col("x")).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         stars = checkpoint(small.union(lower.select(F.col("x").alias("u"), F.col("m").alias("v"))).distinct())
-    return stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
-
-
-def star_pairs(buckets: DataFrame) -> DataFrame:
-    """Distinct (a, b): the smallest member of each bucket with each other one. buckets: (key, id)."""
-    least = F.min("id").over(Window.partitionBy("key"))
-    return buckets.select(least.alias("a"), F.col("id").alias("b")).where(F.col("a") != F.col("b")).distinct()
-
-
-def cross_pairs(
-    buckets: DataFrame, classes: DataFrame, near: Callable[[list[dict]], Callable[[int], np.ndarray]], id_type: str, arrow_type: pa.DataType
-) -> DataFrame:
-    """Distinct (a, b), a < b, of one bucket but of two classes, without pairs that hold its smallest member.
-
-    buckets: (key, id, extra), extra being what `near` judges by; classes: (id, component) of those in links.
-    near(extras) gives a function of a position that tells which later positions may be linked with it.
-    """
-    known = classes.select(F.col("id").alias("member"), "component")
-    placed = buckets.select("key", "id").join(known, F.col("id") == F.col("member"), "left").select("key", "id", F.coalesce("component", "id").alias("class"))
-    w = Window.partitionBy("key")
-    open_ = placed.select(
-        "key", "id", "class", F.min("id").over(w).alias("hub"), F.min("class").over(w).alias("low"), F.max("class").over(w).alias("high"), F.count(F.lit(1)).over(w).alias("n")
-    ).where((F.col("n") > 2) & (F.col("low") != F.col("high")) & (F.col("id") != F.col("hub")))
-    extras = buckets.select(F.col("id").alias("member"), "extra").distinct()
-    rows = open_.select("key", "id", "class").join(extras, F.col("id") == F.col("member")).select("key", "id", "class", "extra")
-    schema = pa.schema([("a", arrow_type), ("b", arrow_type)])
-
-    def pairs(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by("id")
-        ids, kinds = group.column("id").to_pylist(), group.column("class")
-        kinds = np.unique(np.array([repr(k) for k in kinds.to_pylist()]), return_inverse=True)[1]
-        likely = near(group.column("extra").to_pylist())
-        a, b = [], []
-        for i in range(len(ids) - 1):
-            for j in np.flatnonzero(likely(i) & (kinds[i + 1 :] != kinds[i])) + i + 1:
-                a.append(ids[i])
-                b.append(ids[j])
-        return pa.Table.from_arrays([pa.array(a, arrow_type), pa.array(b, arrow_type)], schema=schema)
-
-    return rows.groupBy("key").applyInArrow(pairs, f"a {id_type}, b {id_type}").distinct()
+    ends = stars.select(F.col("u").alias("id"), F.col("v").alias("component"))
+    return ends.union(stars.select(F.col("v"), F.col("v")).distinct())

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from lexiflow.llm import decontaminate, language, licences, minhash, mixing, passages, quality, rules, suffixes
+from lexiflow.llm import decontaminate, language, licences, lines, minhash, mixing, passages, quality, rules, suffixes
 
 QUERIES = {
     "op1_quality_classifier": quality.op1_quality_classifier,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_minhash": minhash.op3_minhash,
+    "op4_line_dedup": lines.op4_line_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_license_scan": licences.op6_license_scan,
     "op7_quality_rules": rules.op7_quality_rules,
