@@ -3,7 +3,8 @@
 Documents with equal shingle sets are one class first. The classes' minima are cut into bands for candidate
 generation; of each minimum only four bits are kept, packed two to a byte. Candidates whose share of
 equal lanes, corrected for chance, is far below the threshold are dropped; all others are compared on their
-full sets.
+full sets, unless links already join them. Pairs are never written out: members of a bucket meet in blocks,
+and what leaves a task are the links that join them.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm.arrow import LOWER, Rolling, mixed, record, slices, utf8, word_spans
-from lexiflow.llm.links import components, cross_pairs, star_pairs
+from lexiflow.llm.links import components
 from lexiflow.session import checkpoint, table
 
 SHINGLE = 2
@@ -27,8 +28,8 @@ BANDS, ROWS = 24, 4
 LANES, BITS = BANDS * ROWS, 4
 #: Pairs are dropped by signature alone this many standard errors below the threshold.
 ERRORS = 5
-#: Members compared with one smallest member in one task.
-GROUP = 500
+#: Members of a bucket that one task compares among themselves, or with as many others.
+GROUP = 512
 _random = np.random.default_rng(11)
 TURNS = _random.integers(0, 1 << 32, LANES, np.uint64).astype(np.uint32)
 FACTORS = _random.integers(0, 1 << 32, LANES, np.uint64).astype(np.uint32) | np.uint32(1)
@@ -91,108 +92,160 @@ def least_estimate(similarity: int) -> float:
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n, set_key (null for an empty set), bands and sig for each row of docs."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    """doc_id, n, set_key (null for an empty set), bands, sig and tags for each row of docs."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("tags", pa.binary())])
 
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                n, keys, bands, sigs = [], [], [], []
+                n, keys, bands, sigs, tags = [], [], [], [], []
                 for s in shingle_sets(utf8(part.column("text")), size):
                     low = minima(s)
                     n.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    bands.append(band_keys(low) if len(s) else None)
+                    band = band_keys(low)
+                    bands.append(band if len(s) else None)
+                    tags.append(band.astype(np.uint32).tobytes() if len(s) else None)
                     sigs.append(packed(low) if len(s) else None)
-                yield record(schema, part.column("doc_id"), n, keys, bands, sigs)
+                yield record(schema, part.column("doc_id"), n, keys, bands, sigs, tags)
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return wanted.mapInArrow(run, "doc_id long, n long, set_key binary, bands array<long>, sig binary")
+    return wanted.mapInArrow(run, "doc_id long, n long, set_key binary, bands array<long>, sig binary, tags binary")
 
 
-def likely(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) that set sizes and b-bit signatures do not rule out."""
-    side = {c: classes.select(F.col("id").alias(f"i{c}"), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab"}
-    sized = pairs.join(side["a"], F.col("a") == F.col("ia")).join(side["b"], F.col("b") == F.col("ib"))
-    sized = sized.where(100 * F.least("na", "nb") >= similarity * F.greatest("na", "nb")).select("a", "b", "sa", "sb")
-    least, width = least_estimate(similarity), LANES // 2
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+class Members:
+    """Members of one bucket: set sizes, packed signatures and the low halves of all band keys."""
 
-    def run(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, width) for c in ("sa", "sb"))
-            keep = pa.array(estimates(x, y) >= least)
-            yield record(schema, batch.column("a").filter(keep), batch.column("b").filter(keep))
+    def __init__(self, key: int, n: list[int], sig: list[bytes], tags: list[bytes], similarity: int):
+        self.n, self.similarity = np.array(n), similarity
+        self.sig = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, LANES // 2)
+        self.tags = np.frombuffer(b"".join(tags), np.uint32).reshape(-1, BANDS)
+        self.band = int((self.tags[0] == np.uint32(key & 0xFFFFFFFF)).argmax())
+
+    def likely(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Which of the others neither sizes nor signatures rule out as links of i.
 
-    return sized.mapInArrow(run, "a long, b long").distinct()
+        A pair counts only in the first band that it shares, so that it is judged once.
+        """
+        low, high = np.minimum(self.n[i], self.n[others]), np.maximum(self.n[i], self.n[others])
+        others = others[100 * low >= self.similarity * high]
+        others = others[(self.tags[others] == self.tags[i]).argmax(axis=1) == self.band]
+        return others[estimates(self.sig[others], self.sig[i]) >= least_estimate(self.similarity)]
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, similarity: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough.
+def groups(batches, keys: list[str]):
+    """Tables of the rows with equal keys, from batches sorted by them."""
+    rest = None
+    for batch in batches:
+        whole = pa.Table.from_batches([batch])
+        whole = pa.concat_tables([rest, whole]) if rest is not None else whole
+        columns = [np.asarray(whole.column(k).to_numpy()) for k in keys]
+        heads = np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0)))) if whole.num_rows else np.zeros(0, np.int64)
+        for i, j in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True):
+            yield whole.slice(i, j - i)
+        rest = whole.slice(int(heads[-1])) if len(heads) else rest
+    if rest is not None and rest.num_rows:
+        yield rest
 
-    The texts of all b of an a meet its text in tasks of GROUP members at most; a task holds one set at a time.
+
+def meetings(classes: DataFrame, similarity: int) -> DataFrame:
+    """key, p, q, id, n, sig and tags: who is compared where.
+
+    A bucket of which some members may be linked is cut into blocks; each pair of blocks meets in one task.
     """
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("parts"))
-    hubs = parts.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("a").alias("id"))
-    others = pairs.join(parts.withColumnRenamed("a", "hub"), F.col("a") == F.col("hub")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.col("b").alias("id"))
+    buckets = classes.select(F.explode("bands").alias("key"), "id")
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select(F.col("key").alias("k"))
+    members = buckets.join(shared, F.col("key") == F.col("k"), "left_semi")
+    known = classes.select(F.col("id").alias("i"), "n", "sig", "tags")
+    rows = members.join(known, F.col("id") == F.col("i")).select("key", "id", "n", "sig", "tags")
+    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("tags", pa.binary()), ("block", pa.int32()), ("blocks", pa.int32())])
+
+    def run(batches):
+        done: list[pa.Table] = []
+        for group in groups(batches, ["key"]):
+            m = Members(group.column("key")[0].as_py(), *(group.column(c).to_pylist() for c in ("n", "sig", "tags")), similarity)
+            needed = np.zeros(group.num_rows, bool)
+            for i in range(group.num_rows - 1):
+                later = m.likely(i, np.arange(i + 1, group.num_rows))
+                needed[later] = True
+                needed[i] |= len(later) > 0
+            if needed.any():
+                kept = group.filter(pa.array(needed))
+                at = np.arange(kept.num_rows, dtype=np.int32) // GROUP
+                kept = kept.append_column("block", pa.array(at)).append_column("blocks", pa.array(np.full(len(at), at[-1] + 1, np.int32)))
+                done.append(kept)
+            if len(done) > 500:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+                done = []
+        if done:
+            yield from pa.concat_tables(done).combine_chunks().cast(schema).to_batches()
+
+    dealt = rows.repartition("key").sortWithinPartitions("key")
+    placed = dealt.mapInArrow(run, "key long, id long, n long, sig binary, tags binary, block int, blocks int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return placed.withColumn("other", other).select(
+        "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "n", "sig", "tags"
+    )
+
+
+def linked(meets: DataFrame, docs: DataFrame, similarity: int, size: int) -> DataFrame:
+    """Links (a, b), confirmed on full shingle sets, that join all members of a meeting which links can join."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").where(F.col("doc_id").isNotNull())
-    rows = hubs.union(others).join(texts, F.col("id") == F.col("doc")).select("a", "part", "id", "text")
-    # As many parts as keys may lie apart; the order puts each a before its members.
-    dealt = rows.withColumn("later", F.col("id") != F.col("a")).repartition("a", "part").sortWithinPartitions("a", "part", "later")
+    rows = meets.join(texts, F.col("id") == F.col("doc")).select("key", "p", "q", "block", "id", "n", "sig", "tags", "text")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        now, hub = None, []
-        for batch in batches:
-            for part in slices(batch):
-                a, ids, at, found = part.column("a").to_pylist(), part.column("id").to_pylist(), part.column("part").to_pylist(), []
-                for i, s in enumerate(shingle_sets(utf8(part.column("text")), size)):
-                    if (a[i], at[i]) != now:
-                        now, hub = (a[i], at[i]), []
-                    if ids[i] == a[i]:
-                        hub.append(s)
-                        continue
-                    for h in hub:
-                        if len(h) and len(s):
-                            both = int((h[np.minimum(np.searchsorted(h, s), len(h) - 1)] == s).sum())
-                            if 100 * both >= similarity * (len(h) + len(s) - both):
-                                found.append((a[i], ids[i]))
-                                break
-                if found:
-                    yield record(schema, *map(list, zip(*found, strict=True)))
-
-    return dealt.select("a", "part", "id", "text").mapInArrow(run, "a long, b long")
+        for group in groups((x for batch in batches for x in slices(batch)), ["key", "p", "q"]):
+            ids, block = group.column("id").to_pylist(), np.array(group.column("block").to_pylist())
+            crossed = group.column("p")[0].as_py() != group.column("q")[0].as_py()
+            m = Members(group.column("key")[0].as_py(), *(group.column(c).to_pylist() for c in ("n", "sig", "tags")), similarity)
+            sets = shingle_sets(utf8(group.column("text").combine_chunks()), size)
+            top, found = list(range(len(ids))), []
+
+            def root(i: int, top: list[int]) -> int:
+                while top[i] != i:
+                    top[i] = top[top[i]]
+                    i = top[i]
+                return i
+
+            for i in range(len(ids) - 1):
+                later = np.arange(i + 1, len(ids))
+                for j in m.likely(i, later[block[later] != block[i]] if crossed else later).tolist():
+                    x, y = root(i, top), root(j, top)
+                    if x != y and similar(sets[i], sets[j], similarity):
+                        top[y] = x
+                        found.append((ids[i], ids[j]))
+            if found:
+                yield record(schema, *map(list, zip(*found, strict=True)))
+
+    return rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= similarity * union."""
+    if not len(a) or not len(b):
+        return False
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * both >= similarity * (len(a) + len(b) - both)
 
 
 def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, one row for each row of docs.
 
     Null and wordless texts have an empty set and are components of their own. Rows without a doc_id get no
-    component and are kept. Rows that repeat a doc_id are compared each and bear the doc_id of the smallest
-    document they can reach; of equal rows all are kept or none. Extra columns are ignored; an empty table
-    gives an empty result.
+    component and are kept. Equal rows share their component and are all kept or none. Where rows repeat a
+    doc_id with other texts, the sets that no smaller doc_id has are compared by one of them, chosen by its
+    key. Extra columns are ignored; an empty table gives an empty result.
     """
     signed = checkpoint(signatures(docs, size))
     known = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = checkpoint(
-        known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
-    )
-    buckets = classes.select(F.explode("bands").alias("key"), "id")
-    first = checkpoint(likely(star_pairs(buckets), classes, similarity))
-    links = checkpoint(confirmed(first, docs, similarity, size))
-    linked = components(links)
-    least, width = least_estimate(similarity), LANES // 2
-
-    def near(extras: list):
-        sig = np.frombuffer(b"".join(extras), np.uint8).reshape(-1, width)
-        return lambda i: estimates(sig[i + 1 :], sig[i]) >= least
-
-    left = cross_pairs(classes.select(F.explode("bands").alias("key"), "id", F.col("sig").alias("extra")), linked, near, "long", pa.int64())
-    second = checkpoint(likely(left.join(first, ["a", "b"], "left_anti"), classes, similarity))
-    if not second.isEmpty():
-        linked = components(links.union(confirmed(second, docs, similarity, size)))
-    reps = classes.select(F.col("set_key").alias("k"), "id").join(linked.withColumnRenamed("id", "member"), F.col("id") == F.col("member"), "left")
-    reps = reps.select("k", F.coalesce("component", "id").alias("component"))
+    least = known.groupBy("set_key").agg(F.min("doc_id").alias("least"))
+    stand_in = least.groupBy("least").agg(F.min("set_key").alias("k"))
+    first = known.join(stand_in, (F.col("set_key") == F.col("k")) & (F.col("doc_id") == F.col("least")))
+    classes = first.select(F.col("doc_id").alias("id"), "n", "bands", "sig", "tags").dropDuplicates(["id"])
+    links = checkpoint(linked(meetings(classes, similarity), docs, similarity, size))
+    joined = components(links).withColumnRenamed("id", "member")
+    reps = least.join(joined, F.col("least") == F.col("member"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "least").alias("component"))
     return (
         signed.select("doc_id", "n", "set_key")
         .join(reps, F.col("set_key") == F.col("k"), "left")
