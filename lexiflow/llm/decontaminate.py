@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import plain_words
+from lexiflow.llm.common import plain_words, small_side
 from lexiflow.session import checkpoint, table
 
 WINDOW = 10
@@ -109,6 +109,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     )
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of docs without any occurrence of a window; rows that share a doc_id go together, rows without one stay."""
+    gone = checkpoint(contaminated(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm.arrow import LOWER, Rolling, mixed, record, slices, utf8, word_spans
+from lexiflow.llm.common import small_side
 from lexiflow.llm.links import components
 from lexiflow.session import checkpoint, table
 
@@ -254,6 +255,12 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = S
     )
 
 
+def one_of_each(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with all their columns; rows that share a doc_id go together."""
+    gone = checkpoint(near_duplicates(docs, similarity, size).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(small_side(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+
+
 def op3_minhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from lexiflow.llm.arrow import PLAIN, record, slices, utf8
 from lexiflow.llm.common import small_side
@@ -130,9 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     return {"weights": dict(zip(words, zip(*(f[:-1].tolist() for f in fitted), strict=True), strict=True)), "base": [float(f[-1]) for f in fitted]}
 
 
-def evidence(docs: DataFrame, model: dict, host: str, path: str) -> DataFrame:
-    """doc_id, host, path and p_bad, the probability that a document alone gives for being low or toxic."""
-    schema = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("p_bad", pa.float64())])
+def with_evidence(docs: DataFrame, model: dict) -> DataFrame:
+    """docs with _p_bad, the probability that a row's text alone gives for being low or toxic."""
     weights, base = model["weights"], model["base"]
 
     def run(batches):
@@ -141,10 +141,9 @@ def evidence(docs: DataFrame, model: dict, host: str, path: str) -> DataFrame:
             for part in slices(batch):
                 odds = np.array([[sum(weights[f][k] for f in hits) + base[k] for k in (0, 1)] for hits in (known & features(t) for t in utf8(part.column("text")))])
                 good = np.prod(1 / (1 + np.exp(np.clip(odds, -30, 30))), axis=1)
-                yield record(schema, part.column("doc_id"), part.column("host"), part.column("path"), 1 - good)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 - good)], names=[*part.schema.names, "_p_bad"])
 
-    wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
-    return wanted.mapInArrow(run, "doc_id long, host string, path string, p_bad double")
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_p_bad", DoubleType())]))
 
 
 def strength(groups: DataFrame, above: Column) -> float:
@@ -154,40 +153,51 @@ def strength(groups: DataFrame, above: Column) -> float:
     return min(MAX_STRENGTH, max(2.0, mean * (1 - mean) / spread - 1)) if mean is not None and spread and spread > 0 else MAX_STRENGTH
 
 
-def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", least: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """doc_id, evidence, site, score and kept, one row for each row of docs.
-
-    evidence: probability of being good by the document alone; site: the rejection rate expected of its
-    path from its other documents; score: posterior probability of being good; kept: score >= least.
-    Null and empty texts are judged by their shape features. Null hosts and paths are sites of their own.
-    Repeated rows are judged, and counted for their sites, each. Extra columns of either table are ignored.
-    An empty docs gives an empty result.
-    """
-    got = checkpoint(evidence(docs, train(docs, labels, sample_docs), host, path))
-    paths = got.groupBy("host", "path").agg(F.sum("p_bad").alias("s"), F.count(F.lit(1)).alias("n"))
+def judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample_docs: int) -> DataFrame:
+    """docs with _p_bad, _site and _score: evidence against a row, expectation of its site, posterior of being good."""
+    model = train(docs, labels, sample_docs)
+    names = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
+    # Texts are read twice rather than carried: what goes to disk in between is one number a row.
+    got = checkpoint(with_evidence(names, model).select("host", "path", "_p_bad"))
+    paths = got.groupBy("host", "path").agg(F.sum("_p_bad").alias("s"), F.count(F.lit(1)).alias("n"))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
     mean = (hosts.agg(F.sum("s") / F.sum("n")).first()[0]) or 0.0  # one row
     host_k = strength(hosts, F.lit(mean))
     rates = paths.join(hosts.select(F.col("host").alias("h"), F.col("s").alias("hs"), F.col("n").alias("hn")), F.col("host").eqNullSafe(F.col("h")))
-    host_rate = (F.col("hs") + mean * host_k) / (F.col("hn") + host_k)
-    path_k = strength(rates, host_rate)
-    sites = checkpoint(rates.select(F.col("h"), F.col("path").alias("p"), "s", "n", "hs", "hn"))
-    own = F.col("p_bad")
+    path_k = strength(rates, (F.col("hs") + mean * host_k) / (F.col("hn") + host_k))
+    sites = checkpoint(
+        rates.select(F.col("h").alias("_h"), F.col("path").alias("_path"), F.col("s").alias("_s"), F.col("n").alias("_n"), F.col("hs").alias("_hs"), F.col("hn").alias("_hn"))
+    )
+    own = F.col("_p_bad")
     # A document does not count among its own site.
-    prior = (F.col("hs") - own + mean * host_k) / (F.col("hn") - 1 + host_k)
-    site = (F.col("s") - own + prior * path_k) / (F.col("n") - 1 + path_k)
+    prior = (F.col("_hs") - own + mean * host_k) / (F.col("_hn") - 1 + host_k)
+    site = (F.col("_s") - own + prior * path_k) / (F.col("_n") - 1 + path_k)
 
     def logit(p: Column) -> Column:
         q = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
         return F.log(q / (1 - q))
 
-    odds = logit(own) + logit(F.col("site")) - logit(F.lit(mean))
-    return (
-        got.join(small_side(sites), F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-        .withColumn("site", site)
-        .select("doc_id", (1 - own).alias("evidence"), "site", (1 / (1 + F.exp(odds))).alias("score"))
-        .withColumn("kept", F.col("score") >= least)
-    )
+    odds = logit(own) + logit(F.col("_site")) - logit(F.lit(mean))
+    at_site = F.col(host).cast("string").eqNullSafe(F.col("_h")) & F.col(path).cast("string").eqNullSafe(F.col("_path"))
+    return with_evidence(docs, model).join(small_side(sites), at_site).withColumn("_site", site).withColumn("_score", 1 / (1 + F.exp(odds)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", least: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """doc_id, evidence, site, score and kept, one row for each row of docs.
+
+    evidence: probability of being good by the document alone; site: the rejection rate expected of its
+    path from its other documents; score: posterior probability of being good; kept: score >= least.
+    Null and empty texts are judged by their shape features. Null hosts and paths are sites of their own.
+    Repeated rows are judged, and counted for their sites, each. Extra columns of either table are ignored.
+    An empty docs gives an empty result; without labels every text has even odds in both models.
+    """
+    known = judged(docs.select("doc_id", "text", host, path), labels, host, path, sample_docs)
+    return known.select("doc_id", (1 - F.col("_p_bad")).alias("evidence"), F.col("_site").alias("site"), F.col("_score").alias("score")).withColumn("kept", F.col("score") >= least)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", least: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """The rows of docs that classify() keeps, with all their columns."""
+    return judged(docs, labels, host, path, sample_docs).where(F.col("_score") >= least).select(*docs.columns)
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:
