@@ -47,7 +47,7 @@ def text_nodes(page: str) -> list[Node]:
 
 
 def escaped(text: str) -> str:
-    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace(" ", "&nbsp;")
+    return text.replace("&", "&amp;").replace("<", "&lt;").replace(">", "&gt;").replace("\u00a0", "&nbsp;")
 
 
 def patched(page: str, patches: list[tuple[int, int, str]]) -> str:

@@ -97,7 +97,7 @@ def system_texts(data: object) -> Iterator[Found]:
 
 def json_entries(rel: str, text: str) -> list[Found]:
     """Texts by the kind of file that its name tells; else all strings, up to MOST_A_FILE."""
-    data, name = json.loads(text.removeprefix("﻿")), rel.replace("\\", "/").rsplit("/", 1)[-1].removesuffix(".json")
+    data, name = json.loads(text.removeprefix("\ufeff")), rel.replace("\\", "/").rsplit("/", 1)[-1].removesuffix(".json")
     if re.fullmatch(r"Map\d{3}", name, re.I):
         return list(map_texts(data))
     if name == "CommonEvents":

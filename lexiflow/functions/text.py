@@ -12,7 +12,7 @@ LETTER = r"[A-Za-zÀ-ɏЀ-ӿ぀-ヿ一-鿿가-힯]"
 SIGNAL = r"[A-Za-z0-9぀-ヿ一-鿿가-힯]"
 WIDE = r"[⺀-鿿＀-￯가-힯]"
 #: White space that trimming takes off; Spark's and other engines' trim() differ, this class does not.
-BLANK = r"[ \t\n\x0B\f\r   -     　﻿]"
+BLANK = r"[ \t\n\x0B\f\r\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\uFEFF]"
 
 
 def stripped(text: Column) -> Column:
@@ -48,7 +48,7 @@ def skipped(text: Column) -> Column:
 def normalise_ocr(text: Column) -> Column:
     """Recognised text with one kind of line end, single blanks, none between CJK characters, and no empty line."""
     lines = F.regexp_replace(F.coalesce(text, F.lit("")), r"\r\n?", "\n")
-    single = F.regexp_replace(lines, r"[ \t　]+", " ")
+    single = F.regexp_replace(lines, r"[ \t\u3000]+", " ")
     joined = F.regexp_replace(single, f"({CJK}) +(?={CJK})", "$1")
     rows = F.transform(F.split(joined, "\n"), stripped)
     return F.array_join(F.filter(rows, lambda x: x != ""), "\n")
@@ -109,11 +109,11 @@ def _each(text: Column, steps) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named entities as characters, ampersands last; numeric ones need decode_numeric()."""
-    return _each(text, (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")))
+    return _each(text, (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&")))
 
 
 def escape_html(text: Column) -> Column:
-    return _each(text, (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), (" ", "&nbsp;")))
+    return _each(text, (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\u00a0", "&nbsp;")))
 
 
 def po_escape(text: Column) -> Column:

@@ -101,10 +101,9 @@ def firsts(pending: DataFrame, *keys: str) -> DataFrame:
 
     The smallest ord is aggregated before the join back, so that a frequent text makes no long window.
     """
-    least = pending.groupBy(*keys).agg(F.min("ord").alias("_least"))
-    on = [pending[k].eqNullSafe(least[k]) for k in keys]
-    joined = pending.join(least, on)
-    return joined.select(*(pending[c] for c in pending.columns), (pending["ord"] == least["_least"]).alias("first"))
+    least = pending.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("ord").alias("_least"))
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return pending.join(least, on).withColumn("first", F.col("ord") == F.col("_least")).drop("_least", *(f"_{k}" for k in keys))
 
 
 def served(pending: DataFrame, translate: Callable[[list[tuple[str, str]]], list[str]], chunk: int = 40) -> DataFrame:
