@@ -14,7 +14,7 @@ from lexiflow.llm.arrow import Rolling, word_spans
 from lexiflow.llm.repeats import Strings, Unit, marked_runs, repeated, repeated_minimisers, sha256
 from lexiflow.session import table
 
-WORDS = Unit(words=True, window=20, k=4)
+WORDS = Unit(words=True, window=20, k=3)
 
 
 def sorted_windows(strings: Strings, unit: Unit) -> list[np.ndarray]:
@@ -82,9 +82,9 @@ def dedup_passages(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
 
     Each word in a window of twenty words that also starts earlier (smaller doc_id, or the same document
     further up) is removed. Null, empty and short texts lose nothing. A null doc_id comes after all others.
-    Equal rows do not precede each other; other rows that repeat a doc_id are documents of their own, of
-    which none precedes the others at the same start. Extra columns are ignored; an empty table gives an
-    empty result.
+    Rows that share a doc_id are versions of one document: none precedes the others at the same start, and
+    what is removed in one is removed there in all. Extra columns are ignored; an empty table gives an empty
+    result.
     """
     return repeated(docs, unit, sorted_windows, kept_words).select(
         "doc_id", F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.col("kept").alias("kept_sha256")

@@ -22,6 +22,8 @@ from lexiflow.llm.arrow import Rolling, record, slices, utf8, word_spans
 
 #: Bytes of text whose super-k-mers are cut and packed together.
 BLOCK_BYTES = 4 << 20
+#: Level at which the strings of a bucket are compressed for the way.
+ZSTD_LEVEL = 5
 #: Bits of a key that hold the place of a k-mer; the rest is its hash.
 PLACE_BITS = 28
 #: Stands for a null doc_id, which comes after all others.
@@ -40,6 +42,10 @@ class Unit:
         text = text or b""
         return b" ".join(text.split()) if self.words else text
 
+    def minimiser(self, text: bytes, offset: int) -> bytes:
+        """The k units of a string that begin at a byte."""
+        return b" ".join(text[offset:].split(b" ", self.k)[: self.k]) if self.words else text[offset : offset + self.k]
+
     def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the units of a byte array start and end."""
         return word_spans(data) if self.words else (np.arange(len(data)), np.arange(1, len(data) + 1))
@@ -47,50 +53,52 @@ class Unit:
 
 @dataclass
 class Strings:
-    """Super-k-mers in the order of their documents; doc and version name a row, start counts units."""
+    """Super-k-mers in the order of their documents; start counts units, offset the bytes before the minimiser."""
 
     doc: np.ndarray
-    version: np.ndarray
     start: np.ndarray
     minimiser: np.ndarray
-    offset: np.ndarray  # bytes before the minimiser
+    offset: np.ndarray
     text: list[bytes]
 
     def take(self, at: np.ndarray) -> Strings:
-        return Strings(*(getattr(self, c)[at] for c in ("doc", "version", "start", "minimiser", "offset")), [self.text[i] for i in at.tolist()])
+        return Strings(*(getattr(self, c)[at] for c in ("doc", "start", "minimiser", "offset")), [self.text[i] for i in at.tolist()])
 
 
-COLUMNS = (("doc", np.int64), ("version", np.int64), ("start", np.int32), ("minimiser", np.int64), ("offset", np.int32), ("length", np.int32))
-MARKS = (("doc", np.int64), ("version", np.int64), ("a", np.int32), ("b", np.int32))
+COLUMNS = (("doc", np.int64), ("start", np.int32), ("offset", np.int32), ("length", np.int32))
+MARKS = (("doc", np.int64), ("a", np.int32), ("b", np.int32))
 
 
 def packed(strings: Strings, marks: list[np.ndarray]) -> bytes:
     """One compressed blob: counts, columns, marks already known, and the text."""
-    arrays = [strings.doc, strings.version, strings.start, strings.minimiser, strings.offset, np.array([len(t) for t in strings.text])]
+    arrays = [strings.doc, strings.start, strings.offset, np.array([len(t) for t in strings.text])]
     body = [np.array([len(strings.text), len(marks[0])], np.int64).tobytes()]
     # Differences of neighbours are mostly small.
     for (name, kind), x in zip(COLUMNS, arrays, strict=True):
         x = x.astype(kind)
-        body.append((np.diff(x, prepend=kind(0)) if name in ("doc", "version", "start") else x).tobytes())
+        body.append((np.diff(x, prepend=kind(0)) if name in ("doc", "start") else x).tobytes())
     body += [x.astype(kind).tobytes() for (_, kind), x in zip(MARKS, marks, strict=True)]
     raw = b"".join([*body, *strings.text])
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=ZSTD_LEVEL).compress(raw, asbytes=True)
 
 
-def unpacked(blob: bytes) -> tuple[Strings, list[np.ndarray]]:
+def unpacked(blob: bytes, unit: Unit) -> tuple[Strings, list[np.ndarray]]:
     raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
     n, m = np.frombuffer(raw, np.int64, 2).tolist()
     at, got, marks = 16, {}, []
     for name, kind in COLUMNS:
         x = np.frombuffer(raw, kind, n, at)
-        got[name] = np.cumsum(x, dtype=kind) if name in ("doc", "version", "start") else x
+        got[name] = np.cumsum(x, dtype=kind) if name in ("doc", "start") else x
         at += x.nbytes
     for _, kind in MARKS:
         marks.append(np.frombuffer(raw, kind, m, at))
         at += marks[-1].nbytes
     ends = at + np.cumsum(got.pop("length"), dtype=np.int64)
     edges = [at, *ends.tolist()]
-    return Strings(**got, text=[raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]), marks
+    text = [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    # Only equality of minimisers matters from here on, and only inside this process.
+    minimiser = np.array([hash(unit.minimiser(t, o)) for t, o in zip(text, got["offset"].tolist(), strict=True)], np.int64)
+    return Strings(**got, minimiser=minimiser, text=text), marks
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -102,7 +110,7 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return x if span == width else np.minimum(x[: len(x) - (width - span)], x[width - span :])
 
 
-def cut(docs: list[int], versions: list[int], texts: list[bytes], unit: Unit) -> Strings:
+def cut(docs: list[int], texts: list[bytes], unit: Unit) -> Strings:
     """The super-k-mers of whole documents, which are given in the order of docs."""
     joined = b"\n".join(texts)
     data = np.frombuffer(joined, np.uint8)
@@ -116,7 +124,7 @@ def cut(docs: list[int], versions: list[int], texts: list[bytes], unit: Unit) ->
     n = len(starts)
     empty = np.zeros(0, np.int64)
     if n < unit.window:
-        return Strings(empty, empty, empty, empty, empty, [])
+        return Strings(empty, empty, empty, empty, [])
     at = np.arange(n - unit.k + 1)
     hashes = Rolling(symbols).ranges(at, at + unit.k)
     place = np.uint64((1 << PLACE_BITS) - 1)
@@ -127,7 +135,7 @@ def cut(docs: list[int], versions: list[int], texts: list[bytes], unit: Unit) ->
     inside = windows + unit.window <= last[owner]
     windows, owner, least = windows[inside], owner[inside], least[inside]
     if not len(windows):
-        return Strings(empty, empty, empty, empty, empty, [])
+        return Strings(empty, empty, empty, empty, [])
     new = np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (windows[1:] != windows[:-1] + 1)))
     head = np.flatnonzero(new)
     tail = np.concatenate((head[1:], [len(windows)])) - 1
@@ -137,8 +145,7 @@ def cut(docs: list[int], versions: list[int], texts: list[bytes], unit: Unit) ->
     lead += (a - lead) & ~np.int64(place) if n > place else 0
     begin, end = starts[a], ends[b - 1]
     text = [joined[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-    ids, marks = np.array(docs, np.int64), np.array(versions, np.int64)
-    return Strings(ids[who], marks[who], a - first[who], (least[head] >> np.uint64(PLACE_BITS)).astype(np.int64), starts[lead] - begin, text)
+    return Strings(np.array(docs, np.int64)[who], a - first[who], (least[head] >> np.uint64(PLACE_BITS)).astype(np.int64), starts[lead] - begin, text)
 
 
 def earliest(strings: Strings) -> tuple[np.ndarray, np.ndarray]:
@@ -158,18 +165,18 @@ def earliest(strings: Strings) -> tuple[np.ndarray, np.ndarray]:
 def whole(strings: Strings, at: np.ndarray, unit: Unit) -> list[np.ndarray]:
     """Marks over all units of the strings at these places."""
     n = np.array([strings.text[i].count(b" ") + 1 if unit.words else len(strings.text[i]) for i in at.tolist()], np.int64)
-    return [strings.doc[at], strings.version[at], strings.start[at], strings.start[at] + n]
+    return [strings.doc[at], strings.start[at], strings.start[at] + n]
 
 
 def marked_runs(strings: Strings, owner: np.ndarray, nth: np.ndarray, unit: Unit) -> list[np.ndarray]:
     """Marks for flagged windows: the string of each and its number there, in rising order."""
     if not len(owner):
-        return [np.zeros(0, np.int64)] * 4
+        return [np.zeros(0, np.int64)] * 3
     new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (nth[1:] != nth[:-1] + 1)))
     head = np.flatnonzero(new)
     tail = np.concatenate((head[1:], [len(owner)])) - 1
     s = owner[head]
-    return [strings.doc[s], strings.version[s], strings.start[s] + nth[head], strings.start[s] + nth[tail] + unit.window]
+    return [strings.doc[s], strings.start[s] + nth[head], strings.start[s] + nth[tail] + unit.window]
 
 
 def repeated_minimisers(strings: Strings) -> np.ndarray:
@@ -179,7 +186,7 @@ def repeated_minimisers(strings: Strings) -> np.ndarray:
 
 
 def super_kmers(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
-    """(bucket, blob): the packed super-k-mers of docs (doc, version, text)."""
+    """(bucket, blob): the packed super-k-mers of docs (doc, text)."""
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def run(batches):
@@ -187,7 +194,7 @@ def super_kmers(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             for part in slices(batch, limit=BLOCK_BYTES):
                 part = part.take(pa.compute.sort_indices(part.column("doc")))
                 texts = [unit.canonical(t) for t in utf8(part.column("text"))]
-                strings = cut(part.column("doc").to_pylist(), part.column("version").to_pylist(), texts, unit)
+                strings = cut(part.column("doc").to_pylist(), texts, unit)
                 if not strings.text:
                     continue
                 keep, again = earliest(strings)
@@ -214,24 +221,23 @@ def repeated(docs: DataFrame, unit: Unit, resolve: Callable[[Strings, Unit], lis
 
     resolve(strings, unit) marks the windows of one bucket's distinct strings, in the order of (doc, start),
     that repeat an earlier one. digest(text, ranges) gives (n, removed, spans, kept). A row is named by its
-    doc_id and a hash of its text, so rows that repeat a doc_id with other texts are documents of their own,
-    and equal rows, of which none comes first, share their ranges.
+    doc_id: rows that share one are versions of one document, of which none comes before the others at the
+    same start, and a range that is removed in one is removed there in all.
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-        F.xxhash64("text").alias("version"),
         "text",
     )
-    schema = pa.schema([("doc", pa.int64()), ("version", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+    schema = pa.schema([("doc", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
     def run(group: pa.Table) -> pa.Table:
-        got = [unpacked(b) for b in group.column("blob").to_pylist()]
-        columns = [np.concatenate([getattr(s, c) for s, _ in got]) for c in ("doc", "version", "start", "minimiser", "offset")]
+        got = [unpacked(b, unit) for b in group.column("blob").to_pylist()]
+        columns = [np.concatenate([getattr(s, c) for s, _ in got]) for c in ("doc", "start", "minimiser", "offset")]
         strings = Strings(*columns, [t for s, _ in got for t in s.text])
-        marks = [[m[i] for _, m in got] for i in range(4)]
+        marks = [[m[i] for _, m in got] for i in range(3)]
         del got
         strings = strings.take(np.lexsort((strings.start, strings.doc)))
         keep, again = earliest(strings)
@@ -239,10 +245,10 @@ def repeated(docs: DataFrame, unit: Unit, resolve: Callable[[Strings, Unit], lis
         columns = [np.concatenate([*x, *(m[i] for m in more)]) for i, x in enumerate(marks)]
         return pa.Table.from_arrays([pa.array(x, f.type, safe=False) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
-    blobs = super_kmers(named.where(F.col("text").isNotNull()).select("doc", "version", "text"), unit, buckets)
-    ranges = blobs.groupBy("bucket").applyInArrow(run, "doc long, version long, a int, b int")
-    per_doc = ranges.groupBy(F.col("doc").alias("d"), F.col("version").alias("v")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    rows = named.join(per_doc, (F.col("doc") == F.col("d")) & F.col("version").eqNullSafe(F.col("v")), "left").select("doc_id", "text", "ranges")
+    blobs = super_kmers(named.where(F.col("text").isNotNull()).select("doc", "text"), unit, buckets)
+    ranges = blobs.groupBy("bucket").applyInArrow(run, "doc long, a int, b int")
+    per_doc = ranges.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    rows = named.join(per_doc, F.col("doc") == F.col("d"), "left").select("doc_id", "text", "ranges")
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("kept", pa.string())])
 
     def digested(batches):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lexiflow.llm.repeats import Strings, Unit, marked_runs, often, repeated, sha256
 from lexiflow.session import table
 
-BYTES = Unit(words=False, window=100, k=16)
+BYTES = Unit(words=False, window=100, k=12)
 #: Bytes whose suffixes are sorted together, if no single minimiser has more.
 SORT_BYTES = 1 << 20
 
@@ -108,7 +108,7 @@ def in_suffix_order(strings: Strings, unit: Unit) -> list[np.ndarray]:
             if end > begin:
                 marks.append(equal_windows(strings.take(np.sort(at[begin:end])), unit))
                 begin, done = end, sizes[end - 1]
-    return [np.concatenate([m[i] for m in marks]) if marks else np.zeros(0, np.int64) for i in range(4)]
+    return [np.concatenate([m[i] for m in marks]) if marks else np.zeros(0, np.int64) for i in range(3)]
 
 
 def equal_windows(strings: Strings, unit: Unit) -> list[np.ndarray]:
@@ -134,6 +134,7 @@ def equal_windows(strings: Strings, unit: Unit) -> list[np.ndarray]:
 
 def kept_bytes(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, int, str]:
     kept, at, removed = [], 0, 0
+    ranges = [(a, min(b, len(text))) for a, b in ranges if a < len(text)]
     for a, b in ranges:
         kept.append(text[at:a])
         removed += b - a
@@ -146,9 +147,9 @@ def dedup_bytes(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
 
     Each byte in a string of a hundred bytes that also starts earlier (smaller doc_id, or the same document
     further up) is removed. Null texts are empty; texts of under a hundred bytes lose nothing. A null doc_id
-    comes after all others. Equal rows do not precede each other; other rows that repeat a doc_id are
-    documents of their own, of which none precedes the others at the same start. Extra columns are ignored;
-    an empty table gives an empty result.
+    comes after all others. Rows that share a doc_id are versions of one document: none precedes the others at
+    the same start, and what is removed in one is removed there in all. Extra columns are ignored; an empty
+    table gives an empty result.
     """
     return repeated(docs, unit, in_suffix_order, kept_bytes).select(
         "doc_id", F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("kept").alias("kept_sha256")
