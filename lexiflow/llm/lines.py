@@ -23,6 +23,8 @@ from lexiflow.session import checkpoint, table
 EDITS = 2
 #: Shorter lines are left alone: headings, list marks and one-word lines recur in clean texts.
 LEAST_CHARS = 24
+#: Stands for a null doc_id, which comes after all others.
+LAST = (1 << 63) - 1
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -119,8 +121,30 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
     return named.mapInArrow(run, "rid long, doc_id long, version long, line int, id long, check long, n_lines int")
 
 
+def sketches(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 parities for each line: how often characters of 32 classes, and pairs of 32 classes, stand in it.
+
+    An edit changes at most two of the former and four of the latter.
+    """
+    x = points.astype(np.uint64)
+    one = mixed(x) & np.uint64(31)
+    two = mixed(x * np.uint64(0x100000001) + np.append(x[1:], np.uint64(10))) & np.uint64(31)
+    sums = np.zeros(len(x) + 1, np.uint64)
+    np.bitwise_xor.accumulate(np.uint64(1) << one ^ np.uint64(1) << (two + np.uint64(32)), out=sums[1:])
+    return sums[end] ^ sums[start]
+
+
+def alike(sketch: np.ndarray, other: np.uint64, edits: int) -> np.ndarray:
+    """Which sketches can be those of lines within so many edits of the other line."""
+    differ = sketch ^ other
+    return (np.bitwise_count(differ & np.uint64(0xFFFFFFFF)) <= 2 * edits) & (np.bitwise_count(differ >> np.uint64(32)) <= 4 * edits)
+
+
 def candidates(docs: DataFrame, edits: int, least: int) -> DataFrame:
-    """Distinct (a, b), a < b: ids of lines of which one is filed by a segment where the other is filed too."""
+    """Distinct (a, b), a < b: ids of lines of which one is filed by a segment where the other is filed too.
+
+    Of these, pairs whose sketches differ too much are not given out.
+    """
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
@@ -133,39 +157,44 @@ def candidates(docs: DataFrame, edits: int, least: int) -> DataFrame:
                     continue
                 rolling = hashed(points, BASES[0])
                 ids, at = np.unique(rolling.ranges(start[long], (start + length)[long]), return_index=True)
-                line, key, own = filed(rolling, start[long][at], length[long][at], edits, least)
+                start, length = start[long][at], length[long][at]
+                sketch = sketches(points, start, start + length)
+                line, key, own = filed(rolling, start, length, edits, least)
                 bucket = (key % np.uint64(buckets)).astype(np.int32)
                 order = np.lexsort((key, bucket))
                 key, line, own, bucket = key[order], line[order], own[order], bucket[order]
                 heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
                 blobs = []
                 for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True):
-                    raw = np.diff(key[i:j], prepend=np.uint64(0)).tobytes() + ids[line[i:j]].tobytes() + own[i:j].tobytes()
+                    raw = np.diff(key[i:j], prepend=np.uint64(0)).tobytes() + ids[line[i:j]].tobytes() + sketch[line[i:j]].tobytes() + own[i:j].tobytes()
                     blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
                 yield record(packed, bucket[heads], blobs)
 
     found = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(group: pa.Table) -> pa.Table:
-        keys, ids, owns = [], [], []
+        keys, ids, marks, owns = [], [], [], []
         for blob in group.column("blob").to_pylist():
             raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-            n = len(raw) // 17
+            n = len(raw) // 25
             keys.append(np.cumsum(np.frombuffer(raw, np.uint64, n), dtype=np.uint64))
             ids.append(np.frombuffer(raw, np.int64, n, 8 * n))
-            owns.append(np.frombuffer(raw, np.bool_, n, 16 * n))
-        key, member, own = np.concatenate(keys), np.concatenate(ids), np.concatenate(owns)
+            marks.append(np.frombuffer(raw, np.uint64, n, 16 * n))
+            owns.append(np.frombuffer(raw, np.bool_, n, 24 * n))
+        key, member, sketch, own = map(np.concatenate, (keys, ids, marks, owns))
         order = np.lexsort((~own, member, key))
-        key, member, own = key[order], member[order], own[order]
-        new = np.concatenate(([True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])))
-        key, member, own = key[new], member[new], own[new]
+        key, member = key[order], member[order]
+        order = order[np.concatenate(([True], (key[1:] != key[:-1]) | (member[1:] != member[:-1])))]
+        key, member, sketch, own = np.concatenate(keys)[order], np.concatenate(ids)[order], sketch[order], own[order]
         heads = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
         tails = np.append(heads[1:], len(key))
         several = (tails - heads > 1) & (np.add.reduceat(own, heads, dtype=np.int64) > 0)
         pairs = [np.zeros((0, 2), np.int64)]
         for i, j in zip(heads[several].tolist(), tails[several].tolist(), strict=True):
-            x, y = np.repeat(member[i:j][own[i:j]], j - i), np.tile(member[i:j], int(own[i:j].sum()))
-            pairs.append(np.stack((np.minimum(x, y), np.maximum(x, y)), axis=1)[x != y])
+            for k in (i + np.flatnonzero(own[i:j])).tolist():
+                other = member[i:j][alike(sketch[i:j], sketch[k], edits)]
+                other = other[other != member[k]]
+                pairs.append(np.stack((np.minimum(other, member[k]), np.maximum(other, member[k])), axis=1))
         pairs = np.unique(np.concatenate(pairs), axis=0)
         return pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=found)
 
@@ -194,9 +223,9 @@ def compared(pairs: DataFrame, first: DataFrame, docs: DataFrame, edits: int) ->
 def classed(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """The line table with the first place of each line's class, and the links between distinct lines."""
     lines = checkpoint(line_table(docs, least))
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc"), F.col("line"), F.col("doc_id"), F.col("version"))
+    place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line"), F.col("version"))
     distinct = checkpoint(lines.where(F.col("line") >= 0).groupBy("id", "check").agg(F.min(place).alias("first")))
-    first = distinct.select("id", "first.doc_id", "first.version", "first.line")
+    first = distinct.select("id", F.nullif(F.col("first.doc"), F.lit(LAST)).alias("doc_id"), "first.version", "first.line")
     links = checkpoint(compared(checkpoint(candidates(docs, edits, least)), first, docs, edits))
     linked = components(links)
     kinds = distinct.join(linked.withColumnRenamed("id", "member"), F.col("id") == F.col("member"), "left")
@@ -208,7 +237,7 @@ def classed(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> tu
 
 def _later(column: str):
     """Whether the line stands after the place in `column`; equal rows do not precede each other."""
-    doc = F.coalesce("doc_id", F.lit((1 << 63) - 1))
+    doc = F.coalesce("doc_id", F.lit(LAST))
     return (doc > F.col(f"{column}.doc")) | (doc == F.col(f"{column}.doc")) & (F.col("line") > F.col(f"{column}.line"))
 
 
@@ -225,7 +254,7 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     rows, links = classed(docs, edits, least)
     degree = links.select("a", "b").union(links.select("b", "a")).groupBy(F.col("a").alias("end")).agg(F.count(F.lit(1)).alias("degree"))
     rows = rows.join(degree, F.col("id") == F.col("end"), "left")
-    named = F.struct("line", F.concat_ws(":", "line", F.coalesce(F.col("lead.doc_id").cast("string"), F.lit("")), "lead.line").alias("s"))
+    named = F.struct("line", F.concat_ws(":", "line", F.coalesce(F.nullif(F.col("lead.doc"), F.lit(LAST)).cast("string"), F.lit("")), "lead.line").alias("s"))
     return (
         rows.groupBy("rid")
         .agg(
