@@ -6,15 +6,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark.sql import DataFrame
 
 #: Bytes of text worked on at once in one Python worker.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
+#: Rows of an Arrow batch, where the session does not say otherwise: whole documents are large rows.
+BATCH_ROWS, BATCH_CONF = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: A-Z to a-z; all ASCII but letters and digits to a blank; other bytes stay.
 PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 #: A-Z to a-z; other bytes stay.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on hands texts to Python in batches of BATCH_ROWS rows unless it has a number set."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_CONF, None) is None:
+        conf.set(BATCH_CONF, str(BATCH_ROWS))
+    return df
+
+
 def utf8(column: pa.Array) -> list[bytes | None]:
     """The texts of a string column as UTF-8."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
@@ -30,6 +42,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
         j = max(i + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(i, j - i)
         i = j
+    pa.default_memory_pool().release_unused()
 
 
 def record(schema: pa.Schema, *columns) -> pa.RecordBatch:

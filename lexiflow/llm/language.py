@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiflow.llm.arrow import LOWER, record, slices, utf8
+from lexiflow.llm.arrow import LOWER, in_small_batches, record, slices, utf8
 from lexiflow.session import table
 
 #: The filter is fitted on about so many documents of each language (a seeded sample; see learn()).
@@ -56,7 +56,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, keep: int = GRAMS) ->
     Only documents of the folds 1 to 4 with a language teach. Of each language a share is drawn by a hash
     of doc_id so that about sample_docs documents remain; their whole texts are counted.
     """
-    taught = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    taught = in_small_batches(docs).where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
@@ -132,7 +132,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 score = np.where(known & (sums > 0), top / np.maximum(sums, 1e-12), 0.0)
                 yield record(schema, part.column("doc_id"), [langs[b] if y else "und" for b, y in zip(best, known, strict=True)], score)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.arrow import PLAIN, record, slices, utf8
+from lexiflow.llm.arrow import PLAIN, in_small_batches, record, slices, utf8
 from lexiflow.session import table
 
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -164,7 +164,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
                 found = [scan_text(t, phrases, templates) for t in utf8(part.column("text"))]
                 yield record(schema, part.column("doc_id"), *map(list, zip(*found, strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     )
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.arrow import BASES, Rolling, mixed, record, slices
+from lexiflow.llm.arrow import BASES, Rolling, in_small_batches, mixed, record, slices
 from lexiflow.llm.common import small_side
 from lexiflow.llm.links import components
 from lexiflow.session import checkpoint, table
@@ -222,7 +222,7 @@ def compared(pairs: DataFrame, first: DataFrame, docs: DataFrame, edits: int) ->
 
 def classed(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
     """The line table with the first place of each line's class, and the links between distinct lines."""
-    lines = checkpoint(line_table(docs, least))
+    lines = checkpoint(line_table(in_small_batches(docs), least))
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line"), F.col("version"))
     distinct = checkpoint(lines.where(F.col("line") >= 0).groupBy("id", "check").agg(F.min(place).alias("first")))
     first = distinct.select("id", F.nullif(F.col("first.doc"), F.lit(LAST)).alias("doc_id"), "first.version", "first.line")

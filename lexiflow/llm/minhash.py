@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.arrow import LOWER, Rolling, mixed, record, slices, utf8, word_spans
+from lexiflow.llm.arrow import LOWER, Rolling, in_small_batches, mixed, record, slices, utf8, word_spans
 from lexiflow.llm.common import small_side
 from lexiflow.llm.links import components
 from lexiflow.session import checkpoint, table
@@ -238,7 +238,7 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = S
     doc_id with other texts, the sets that no smaller doc_id has are compared by one of them, chosen by its
     key. Extra columns are ignored; an empty table gives an empty result.
     """
-    signed = checkpoint(signatures(docs, size))
+    signed = checkpoint(signatures(in_small_batches(docs), size))
     known = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     least = known.groupBy("set_key").agg(F.min("doc_id").alias("least"))
     stand_in = least.groupBy("least").agg(F.min("set_key").alias("k"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiflow.llm.arrow import PLAIN, record, slices, utf8
+from lexiflow.llm.arrow import PLAIN, in_small_batches, record, slices, utf8
 from lexiflow.llm.common import small_side
 from lexiflow.session import checkpoint, table
 
@@ -155,7 +155,7 @@ def strength(groups: DataFrame, above: Column) -> float:
 
 def judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample_docs: int) -> DataFrame:
     """docs with _p_bad, _site and _score: evidence against a row, expectation of its site, posterior of being good."""
-    model = train(docs, labels, sample_docs)
+    model = train(in_small_batches(docs), labels, sample_docs)
     names = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
     # Texts are read twice rather than carried: what goes to disk in between is one number a row.
     got = checkpoint(with_evidence(names, model).select("host", "path", "_p_bad"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.arrow import Rolling, record, slices, utf8, word_spans
+from lexiflow.llm.arrow import Rolling, in_small_batches, record, slices, utf8, word_spans
 
 #: Bytes of text whose super-k-mers are cut and packed together.
 BLOCK_BYTES = 4 << 20
@@ -226,7 +226,7 @@ def repeated(docs: DataFrame, unit: Unit, resolve: Callable[[Strings, Unit], lis
     """
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = docs.select(
+    named = in_small_batches(docs).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
         "text",
