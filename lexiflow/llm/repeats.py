@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from lexiflow.llm.arrow import Rolling, in_small_batches, record, slices, utf8, word_spans
 
-#: Bytes of text whose super-k-mers are cut and packed together.
-BLOCK_BYTES = 4 << 20
+#: Bytes of super-k-mers that are packed together; they are cut from CHUNK_BYTES of text at a time.
+BLOCK_BYTES = 24 << 20
 #: Level at which the strings of a bucket are compressed for the way.
 ZSTD_LEVEL = 5
 #: Bits of a key that hold the place of a k-mer; the rest is its hash.
@@ -101,6 +101,11 @@ def unpacked(blob: bytes, unit: Unit) -> tuple[Strings, list[np.ndarray]]:
     return Strings(**got, minimiser=minimiser, text=text), marks
 
 
+def joined(parts: list[Strings]) -> Strings:
+    columns = [np.concatenate([getattr(s, c) for s in parts]) for c in ("doc", "start", "minimiser", "offset")]
+    return Strings(*columns, [t for s in parts for t in s.text])
+
+
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     """Minimum of each `width` neighbours."""
     span = 1
@@ -189,29 +194,37 @@ def super_kmers(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
     """(bucket, blob): the packed super-k-mers of docs (doc, text)."""
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
+    def blobs(parts: list[Strings]):
+        strings = joined(parts)
+        strings = strings.take(np.lexsort((strings.start, strings.doc)))
+        keep, again = earliest(strings)
+        marks = whole(strings, again, unit)
+        mark_bucket = strings.minimiser[again] % buckets
+        strings = strings.take(keep)
+        bucket = strings.minimiser % buckets
+        order, mark_order = np.argsort(bucket, kind="stable"), np.argsort(mark_bucket, kind="stable")
+        names = np.union1d(bucket, mark_bucket)
+        edges = [np.searchsorted(bucket[order], names, side=s) for s in ("left", "right")]
+        mark_edges = [np.searchsorted(mark_bucket[mark_order], names, side=s) for s in ("left", "right")]
+        for i in range(0, len(names), 64):
+            made = []
+            for j in range(i, min(i + 64, len(names))):
+                m = mark_order[mark_edges[0][j] : mark_edges[1][j]]
+                made.append(packed(strings.take(order[edges[0][j] : edges[1][j]]), [x[m] for x in marks]))
+            yield record(schema, names[i : i + 64].astype(np.int32), made)
+
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
-            for part in slices(batch, limit=BLOCK_BYTES):
+            for part in slices(batch):
                 part = part.take(pa.compute.sort_indices(part.column("doc")))
-                texts = [unit.canonical(t) for t in utf8(part.column("text"))]
-                strings = cut(part.column("doc").to_pylist(), texts, unit)
-                if not strings.text:
-                    continue
-                keep, again = earliest(strings)
-                marks = whole(strings, again, unit)
-                mark_bucket = strings.minimiser[again] % buckets
-                strings = strings.take(keep)
-                bucket = strings.minimiser % buckets
-                order, mark_order = np.argsort(bucket, kind="stable"), np.argsort(mark_bucket, kind="stable")
-                names = np.union1d(bucket, mark_bucket)
-                edges = [np.searchsorted(bucket[order], names, side=s) for s in ("left", "right")]
-                mark_edges = [np.searchsorted(mark_bucket[mark_order], names, side=s) for s in ("left", "right")]
-                for i in range(0, len(names), 256):
-                    blobs = []
-                    for j in range(i, min(i + 256, len(names))):
-                        m = mark_order[mark_edges[0][j] : mark_edges[1][j]]
-                        blobs.append(packed(strings.take(order[edges[0][j] : edges[1][j]]), [x[m] for x in marks]))
-                    yield record(schema, names[i : i + 256].astype(np.int32), blobs)
+                parts.append(cut(part.column("doc").to_pylist(), [unit.canonical(t) for t in utf8(part.column("text"))], unit))
+                size += sum(map(len, parts[-1].text))
+                if size >= BLOCK_BYTES:
+                    yield from blobs(parts)
+                    parts, size = [], 0
+        if size:
+            yield from blobs(parts)
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 
@@ -235,8 +248,7 @@ def repeated(docs: DataFrame, unit: Unit, resolve: Callable[[Strings, Unit], lis
 
     def run(group: pa.Table) -> pa.Table:
         got = [unpacked(b, unit) for b in group.column("blob").to_pylist()]
-        columns = [np.concatenate([getattr(s, c) for s, _ in got]) for c in ("doc", "start", "minimiser", "offset")]
-        strings = Strings(*columns, [t for s, _ in got for t in s.text])
+        strings = joined([s for s, _ in got])
         marks = [[m[i] for _, m in got] for i in range(3)]
         del got
         strings = strings.take(np.lexsort((strings.start, strings.doc)))
