@@ -586,15 +586,14 @@ def q37_hash_dedupe(spark, read):
 
 
 @query(
-    r"""
-SELECT page_id, CAST(row_number() OVER (ORDER BY k % 100, k // 100 % 1000, page_id) AS INT) AS place FROM (SELECT page_id, (page_id * 7919) % 100000 AS k FROM pages)
+    """
+SELECT page_id, 'ch' || lpad(CAST(k % 100 AS VARCHAR), 20, '0') || '-p' || lpad(CAST(k // 100 AS VARCHAR), 20, '0') || '.png' AS key FROM (SELECT page_id, (page_id * 7919) % 100000 AS k FROM pages)
 """
 )
 def q38_natural_sort(spark, read):
     k = F.col("page_id") * 7919 % 100000
-    name = F.concat(F.lit("Ch"), (k % 100).cast("string"), F.lit("-p"), F.floor(k / 100).cast("string"), F.lit(".png"))
-    keyed = read("pages").select("page_id", text.natural_key(name).alias("key"))
-    return keyed.select("page_id", F.row_number().over(Window.orderBy("key", "page_id")).alias("place"))
+    name = F.concat(F.lit("Ch"), F.lpad((k % 100).cast("string"), 3, "0"), F.lit("-p"), F.floor(k / 100).cast("string"), F.lit(".png"))
+    return read("pages").select("page_id", text.natural_key(name).alias("key"))
 
 
 @query(
