@@ -161,6 +161,33 @@ def sidecar(results: DataFrame) -> DataFrame:
     return results.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line", line.alias("s")))), lambda x: x.s), "\n").alias("text"))
 
 
+OPERATIONS = "id string, file string, page int, step int, op string, box array<double>, text string, size int, fits boolean"
+
+
+def image_operations(labels: DataFrame) -> DataFrame:
+    """OPERATIONS for labels (id, file, page, box, parts array<struct<file, box>>, target): what to wipe and what to draw.
+
+    Parts on the label's own file are wiped with it, parts on other files there; a part outside of the box
+    of a label stays. The target is drawn into the box at the largest size at which it fits; an empty one
+    only wipes.
+    """
+    from lexiflow.functions.geometry import inside
+    from lexiflow.operators.layout import fit
+
+    part = labels.select("id", "file", "page", "box", F.posexplode(F.coalesce("parts", F.array())).alias("step", "p"))
+    near = (F.col("p.file") != F.col("file")) | inside(F.col("p.box"), F.col("box"))
+    wiped = part.where(near).select("id", F.col("p.file").alias("file"), "page", "step", F.lit("erase").alias("op"), F.col("p.box").alias("box"), F.lit(None).cast("string").alias("text"))
+
+    @F.pandas_udf("size int, text string, fits boolean")
+    def fitted(text: pd.Series, box: pd.Series) -> pd.DataFrame:
+        got = [fit(t, b[2], b[3]) for t, b in zip(text, box, strict=True)]
+        return pd.DataFrame([(size, "\n".join(lines), ok) for size, lines, ok in got], columns=["size", "text", "fits"])
+
+    drawn = labels.where(F.coalesce(F.col("target"), F.lit("")) != "").withColumn("f", fitted("target", "box"))
+    drawn = drawn.select("id", "file", "page", F.coalesce(F.size("parts"), F.lit(0)).alias("step"), F.lit("draw").alias("op"), "box", "f.text", "f.size", "f.fits")
+    return wiped.unionByName(drawn, allowMissingColumns=True)
+
+
 def write_files(results: DataFrame, root: str, backups: str | None = None) -> DataFrame:
     """Write (file, content) below root from the executors; (file, written, saved).
 

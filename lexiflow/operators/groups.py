@@ -170,3 +170,16 @@ def reading_units(groups: DataFrame, pages: DataFrame, most: int = 8, area: int
     sized = groups.select("id", F.explode("members").alias("m")).join(pages.select(F.col("id").alias("m"), (F.col("width") * F.col("height")).alias("a")), "m", "left")
     small = sized.groupBy("id").agg(F.coalesce(F.bool_and((F.col("a") > 0) & (F.col("a") <= area)), F.lit(False)).alias("small"))
     return groups.join(small, "id").where((F.size("members") <= most) & ((F.col("kind") == "atlas") | F.col("small"))).drop("small")
+
+
+def suspected(files: DataFrame, least_images: int = 6, samples: int = 3) -> DataFrame:
+    """One row: whether the images of a project (rel, kind) look like labels in numbered pieces, with the names of some groups."""
+    image = files.where("kind = 'image'").select(
+        F.col("rel").alias("id"), F.col("rel").alias("file"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("page_entry"),
+        F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(1.0)).alias("box"), F.lit("").alias("text"), F.lit("").alias("kind"),
+    )
+    # A row for each image, then one for each group: the sums need no join.
+    counted = image.select(F.lit(1).alias("i"), F.lit(0).alias("g"), F.lit(None).cast("string").alias("file")).union(sequence_groups(image).select(F.lit(0), F.lit(1), "file"))
+    names = F.slice(F.array_sort(F.collect_set("file")), 1, samples)
+    one = counted.agg(F.coalesce(F.sum("i"), F.lit(0)).alias("images"), F.coalesce(F.sum("g"), F.lit(0)).alias("groups"), names.alias("samples"))
+    return one.withColumn("suspected", (F.col("images") >= least_images) & (F.col("groups") > 0))

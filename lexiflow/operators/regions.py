@@ -150,3 +150,45 @@ def detect(grey: np.ndarray, most: int = 60) -> list[Region]:
 
 def kind_of(r: Region) -> str:
     return "art" if r.h >= 96 or r.ink > 0.6 else "bubble" if r.h > 1.4 * r.w else "text"
+
+
+def crop(image: np.ndarray, box: tuple[float, float, float, float], pad: float = 0) -> np.ndarray:
+    """The part of an image in a box with a margin, as far as the image goes."""
+    x, y, w, h = box
+    top, left = max(0, int(y - pad)), max(0, int(x - pad))
+    return image[top : max(top, int(np.ceil(y + h + pad))), left : max(left, int(np.ceil(x + w + pad)))]
+
+
+def resized(image: np.ndarray, scale: float) -> np.ndarray:
+    """An image by nearest neighbours."""
+    h, w = (max(1, round(n * scale)) for n in image.shape[:2])
+    rows = np.minimum((np.arange(h) / scale).astype(int), image.shape[0] - 1)
+    return image[rows][:, np.minimum((np.arange(w) / scale).astype(int), image.shape[1] - 1)]
+
+
+def ring_colour(image: np.ndarray, box: tuple[float, float, float, float], width: int = 2) -> np.ndarray:
+    """Median colour of the frame around a box."""
+    x, y, w, h = (int(v) for v in box)
+    mask = np.zeros(image.shape[:2], bool)
+    mask[max(0, y - width) : y + h + width, max(0, x - width) : x + w + width] = True
+    mask[max(0, y) : y + h, max(0, x) : x + w] = False
+    return np.median(image[mask], axis=0) if mask.any() else np.median(image.reshape(-1, *image.shape[2:]), axis=0)
+
+
+def erased(image: np.ndarray, boxes_: list[tuple[float, float, float, float]]) -> np.ndarray:
+    """A copy with each box in the colour around it."""
+    out = image.copy()
+    for box in boxes_:
+        x, y, w, h = (int(v) for v in box)
+        out[max(0, y) : y + h, max(0, x) : x + w] = ring_colour(image, box)
+    return out
+
+
+def stitched(pieces: list[np.ndarray], places: list[tuple[float, float]], ground: int = 255) -> np.ndarray:
+    """Grey pieces on one sheet at the places that layout.strip() gives as (x, y)."""
+    h = max((int(y) + p.shape[0] for p, (_, y) in zip(pieces, places, strict=True)), default=0)
+    w = max((int(x) + p.shape[1] for p, (x, _) in zip(pieces, places, strict=True)), default=0)
+    sheet = np.full((h, w), ground, np.uint8)
+    for p, (x, y) in zip(pieces, places, strict=True):
+        sheet[int(y) : int(y) + p.shape[0], int(x) : int(x) + p.shape[1]] = p
+    return sheet

@@ -66,6 +66,13 @@ def pages(rows: DataFrame, natural: Column, extensions: tuple[str, ...], most: i
     return numbered.orderBy("path", "page").limit(most)
 
 
+def targets(files: DataFrame, image_pages: DataFrame, most: int = 40) -> DataFrame:
+    """file, page and page_entry of what is to be read: images (rel, kind), then archive pages (path, name, page), at most `most`."""
+    images = files.where("kind = 'image'").select(F.col("rel").alias("file"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("page_entry"))
+    both = images.union(image_pages.select("path", "page", "name"))
+    return both.orderBy(F.col("page").isNotNull(), "file", "page").limit(most)
+
+
 def pack(rows: list[tuple[str, bytes]]) -> bytes:
     """An archive in the order of names, `mimetype` first and stored as it is."""
     out = io.BytesIO()

@@ -259,3 +259,45 @@ def test_siblings_and_offsets(spark):
     assert {r["id"]: r["labels"] for r in rows.siblings(df).collect()} == {"a": ["Load"], "b": ["New"], "c": ["Load"], "e": []}
     lines = plain.with_offsets(spark.createDataFrame([(1, "a\r\nbc\n"), (2, "")], "k int, text string"), "k").orderBy("k", "line").collect()
     assert [tuple(r) for r in lines] == [(1, 0, 0, 1, 3), (1, 1, 3, 5, 6), (1, 2, 6, 6, 6), (2, 0, 0, 0, 0)]
+
+
+def test_settings_and_services():
+    from lexiflow.config import Config
+    from lexiflow.operators import service
+
+    c = Config().updated(chunk="500", recognition_budget=0, service_key="0123456789", group_gap="x", service_url="http://x")
+    assert (c.chunk, c.recognition_budget, c.group_gap) == (100, 0, 0.0) and c.shown()["service_key"] == "0123****6789"
+    assert Config().updated(chunk="x").chunk == 40
+    with pytest.raises(KeyError):
+        c.updated(unknown=1)
+    asked = []
+    answer = {"choices": [{"message": {"content": 'Sure: ["A", 2] ok'}}]}
+    assert service.translator(c, lambda url, key, body: asked.append(body) or answer)([("t", "a"), ("t", "b")]) == ["A", "2"]
+    assert '[["t", "a"], ["t", "b"]]' in asked[0]["messages"][0]["content"]
+    with pytest.raises(ValueError):
+        service.reply("none")
+    with pytest.raises(ValueError):
+        service.translator(Config())([("t", "a")])
+    assert service.abilities(c)["translation"] and not service.abilities(c)["vision"]
+
+
+def test_images(spark):
+    import numpy as np
+
+    page = np.full((40, 60), 200, np.uint8)
+    page[10:20, 10:30] = 0
+    assert regions.crop(page, (10, 10, 20, 10), 2).shape == (14, 24) and regions.crop(page, (-5, -5, 10, 10)).shape == (5, 5)
+    assert regions.resized(page, 2).shape == (80, 120) and (regions.erased(page, [(10, 10, 20, 10)]) == 200).all()
+    assert regions.stitched([page[:4, :4], page[:2, :2]], layout.strip([(4, 4), (2, 2)])).shape == (4, 12)
+    labels = spark.createDataFrame(
+        [("g", "a.png", None, [0.0, 0.0, 100.0, 30.0], [("a.png", [1.0, 1.0, 10.0, 10.0]), ("b.png", [0.0, 0.0, 5.0, 5.0]), ("a.png", [500.0, 1.0, 10.0, 10.0])], "新游戏"), ("h", "c.png", 1, [0.0, 0.0, 9.0, 9.0], None, "")],
+        "id string, file string, page int, box array<double>, parts array<struct<file string, box array<double>>>, target string",
+    )
+    got = [(r["file"], r["op"], r["text"], r["fits"]) for r in export.image_operations(labels).orderBy("step").collect()]
+    assert got == [("a.png", "erase", None, None), ("b.png", "erase", None, None), ("a.png", "draw", "新游戏", True)]
+    named = spark.createDataFrame([(f"ui/btn_{i}.png", "image") for i in range(6)] + [("x.txt", "game")], "rel string, kind string")
+    r = groups.suspected(named).first()
+    assert (r["images"], r["groups"], r["samples"], r["suspected"]) == (6, 1, ["ui/btn_0.png"], True)
+    assert not groups.suspected(named.limit(0)).first()["suspected"]
+    pages = archives.pages(spark.createDataFrame([("c.cbz", f"p{i}.jpg") for i in (10, 2)] + [("c.cbz", "x.txt")], "path string, name string"), text.natural_key(F.col("name")), ("jpg",), 10)
+    assert [(r["file"], r["page_entry"]) for r in archives.targets(named, pages, 7).collect()][-1] == ("c.cbz", "p2.jpg")
