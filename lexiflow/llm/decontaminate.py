@@ -15,7 +15,7 @@ from lexiflow.llm.common import plain_words, small_side
 from lexiflow.session import checkpoint, table
 
 WINDOW = 10
-#: Windows of ten words up to which the prefix index (about 200 bytes a window) is broadcast: about 10 MB.
+#: Windows of items up to which they and the prefix index (about 200 bytes a window) are broadcast: about 10 MB.
 BROADCAST_WINDOWS = 50_000
 
 
@@ -63,40 +63,35 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     not among the items. Extra columns of either table are ignored. An empty benchmark leaves all clean.
     """
     wins = checkpoint(item_windows(benchmark, window))
-    small = wins.select("win").distinct().limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    small = wins.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     words = docs.select("doc_id", plain_words(F.col("text")).alias("words"))
     index = checkpoint(prefix_index(words, wins, small))
-    # The empty word ends every document and has an entry of its own: one row for each document comes back.
-    ends = index.sparkSession.range(1).select(
-        F.lit("").alias("anchor"), F.lit(0).alias("off"), F.lit(None).cast("string").alias("win"), F.array(F.lit("")).alias("w"), F.lit(1).alias("n")
-    )
-    index = index.select("anchor", "off", "win", "w", "n").unionByName(ends)
-    rows = words.select(
-        F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").alias("n_words"), F.concat("words", F.array(F.lit(""))).alias("words")
-    )
+    rows = words.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").alias("n_words"), "words")
     start = F.col("pos") - F.col("off")
-    fits = (F.col("word") == F.col("anchor")) & (start >= 0) & (start + F.col("n") <= F.col("size"))
+    fits = (F.col("word") == F.col("anchor")) & (start >= 0) & (start + F.col("n") <= F.col("n_words"))
+    at = F.when(F.col("win").isNotNull(), F.struct(start.alias("s"), F.col("n").alias("n"))).alias("at")
     if small:
-        probes = rows.select("rid", "doc_id", "n_words", "words", F.size("words").alias("size"), F.posexplode("words").alias("pos", "word"))
+        # The empty word ends every document and has an entry of its own: one row for each document comes back.
+        none = F.lit(None).cast("string")
+        end = index.sparkSession.range(1).select(F.lit("").alias("anchor"), F.lit(0).alias("off"), none.alias("win"), F.array(F.lit("")).alias("w"), F.lit(0).alias("n"))
+        probes = rows.select("rid", "doc_id", "n_words", "words", F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "word"))
         same = F.slice("words", F.greatest(start + 1, F.lit(1)), F.col("n")) == F.col("w")
-        hits = probes.join(F.broadcast(index), fits & same)
-    else:  # a probe takes along only the words that a window around it can cover
+        hits = probes.join(F.broadcast(index.unionByName(end)), fits & (same | (F.col("word") == "")))
+        hits = hits.select("rid", "doc_id", "n_words", at, "win").join(F.broadcast(wins), "win", "left")
+    else:
+        # A probe takes along only the words that a window around it can cover; the documents' own rows join nothing.
         span = F.greatest(F.col("pos") - F.lit(window - 1), F.lit(0))
-        probes = rows.select("rid", "doc_id", "n_words", "words", F.size("words").alias("size"), F.posexplode("words").alias("pos", "word")).select(
-            "rid", "doc_id", "n_words", "size", "pos", "word", span.alias("from"), F.slice("words", span + 1, F.lit(2 * window - 1)).alias("near")
+        probes = rows.select("rid", "doc_id", "n_words", "words", F.posexplode("words").alias("pos", "word")).select(
+            "rid", "doc_id", "n_words", "pos", "word", span.alias("from"), F.slice("words", span + 1, F.lit(2 * window - 1)).alias("near")
         )
         same = F.slice("near", F.greatest(start - F.col("from") + 1, F.lit(1)), F.col("n")) == F.col("w")
-        hits = probes.join(index, fits & same)
-    hits = hits.select("rid", "doc_id", "n_words", F.when(F.col("win").isNotNull(), F.struct(start.alias("s"), F.col("n").alias("n"))).alias("at"), "win")
-    per_doc = (
-        hits.join(wins, "win", "left")
-        .groupBy("rid")
-        .agg(
-            F.first("doc_id").alias("doc_id"),
-            F.max("n_words").cast("long").alias("n_words"),
-            F.collect_set("at").alias("at"),
-            F.array_sort(F.collect_set("item_id")).alias("items"),
-        )
+        hits = probes.join(index, fits & same).select("rid", "doc_id", "n_words", at, "win").join(wins, "win")
+        hits = hits.unionByName(rows.select("rid", "doc_id", "n_words"), allowMissingColumns=True)
+    per_doc = hits.groupBy("rid").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.max("n_words").cast("long").alias("n_words"),
+        F.collect_set("at").alias("at"),
+        F.array_sort(F.collect_set("item_id")).alias("items"),
     )
     n_hit = F.size(F.array_distinct(F.flatten(F.expr("transform(at, x -> sequence(x.s, x.s + x.n - 1))")))).cast("long")
     return per_doc.select(

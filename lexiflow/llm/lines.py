@@ -220,8 +220,8 @@ def compared(pairs: DataFrame, first: DataFrame, docs: DataFrame, edits: int) ->
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def classed(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame]:
-    """The line table with the first place of each line's class, and the links between distinct lines."""
+def classed(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows of docs, their lines with the first place of each one's class, and the links between distinct lines."""
     lines = checkpoint(line_table(in_small_batches(docs), least))
     place = F.struct(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.col("line"), F.col("version"))
     distinct = checkpoint(lines.where(F.col("line") >= 0).groupBy("id", "check").agg(F.min(place).alias("first")))
@@ -232,7 +232,9 @@ def classed(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> tu
     kinds = kinds.select(F.col("id").alias("i"), F.col("check").alias("c"), "first", "component")
     leads = kinds.where(F.col("component").isNotNull()).groupBy(F.col("component").alias("k")).agg(F.min("first").alias("lead"))
     kinds = kinds.join(leads, F.col("component") == F.col("k"), "left").select("i", "c", F.col("component").isNotNull().alias("linked"), "first", F.coalesce("lead", "first").alias("lead"))
-    return lines.join(kinds, (F.col("id") == F.col("i")) & (F.col("check") == F.col("c")), "left"), links
+    # Rows for documents have no id and stay out of joins by it, where all of them would meet in one task.
+    placed = lines.where(F.col("line") >= 0).join(kinds, (F.col("id") == F.col("i")) & (F.col("check") == F.col("c")))
+    return lines.where(F.col("line") < 0), placed, links
 
 
 def _later(column: str):
@@ -251,9 +253,9 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     line; a null doc_id comes after all others. Equal rows do not precede each other. Extra columns are
     ignored; an empty table gives an empty result.
     """
-    rows, links = classed(docs, edits, least)
+    heads, rows, links = classed(docs, edits, least)
     degree = links.select("a", "b").union(links.select("b", "a")).groupBy(F.col("a").alias("end")).agg(F.count(F.lit(1)).alias("degree"))
-    rows = rows.join(degree, F.col("id") == F.col("end"), "left")
+    rows = rows.join(degree, F.col("id") == F.col("end"), "left").unionByName(heads, allowMissingColumns=True)
     named = F.struct("line", F.concat_ws(":", "line", F.coalesce(F.nullif(F.col("lead.doc"), F.lit(LAST)).cast("string"), F.lit("")), "lead.line").alias("s"))
     return (
         rows.groupBy("rid")
@@ -281,8 +283,8 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
 
     A row that loses nothing keeps its text as it is. All columns of docs come back in their order.
     """
-    rows, _ = classed(docs, edits, least)
-    gone = rows.where(F.col("line") >= 0).where(_later("lead")).groupBy("doc_id", "version").agg(F.collect_set("line").alias("gone"))
+    _, rows, _ = classed(docs, edits, least)
+    gone = rows.where(_later("lead")).groupBy("doc_id", "version").agg(F.collect_set("line").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), F.array_sort("gone").alias("_gone"))
     names = docs.columns
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_v")), "left")
