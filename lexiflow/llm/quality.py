@@ -28,24 +28,56 @@ FEATURES, LEAST_GAIN, LEAST_DOCS = 4_000, 16.0, 5
 MAX_STRENGTH = 10_000.0
 #: Words also count by their pieces of so many bytes, so that forms of one word share their evidence.
 PIECES = (5, 7)
+#: Words whose features a worker keeps.
+KEPT_WORDS = 200_000
 SYMBOLS = b"#*$%&|<>!"
 UPPER = bytes(range(65, 91))
 
 
-def features(text: bytes | None) -> set[bytes]:
-    """Words (ASCII letters in lower case), their pieces, and binned shares of symbols, capitals and repeated words."""
-    text = text or b""
-    words = text.translate(PLAIN).split()
-    found = set(words)
+def pieces(word: bytes) -> list[bytes]:
+    """A word and its pieces, which are told from words by a dash."""
+    return [word, *(b"-" + word[i : i + n] for n in PIECES for i in range(len(word) - n + 1))]
+
+
+def shapes(text: bytes, words: list[bytes], kinds: int) -> set[bytes]:
+    """Binned shares of symbols, capitals and different words."""
     size = max(1, len(text))
-    symbols, capitals = (size - len(text.translate(None, c)) - (not text) for c in (SYMBOLS, UPPER))
-    words_, kinds = list(found), len(found)
-    for n in PIECES:
-        found.update([b"-" + w[i : i + n] for w in words_ for i in range(len(w) - n + 1)])
-    found.add(b"=symbols%d" % min(9, int(40 * symbols / size)))
-    found.add(b"=capitals%d" % min(9, int(20 * capitals / size)))
-    found.add(b"=kinds%d" % int(10 * kinds / len(words)) if words else b"=wordless")
-    return found
+    symbols, capitals = (len(text) - len(text.translate(None, c)) for c in (SYMBOLS, UPPER))
+    share = b"=kinds%d" % int(10 * kinds / len(words)) if words else b"=wordless"
+    return {b"=symbols%d" % min(9, int(40 * symbols / size)), b"=capitals%d" % min(9, int(20 * capitals / size)), share}
+
+
+class Features:
+    """The features of texts: words (ASCII letters in lower case), their pieces, and shapes; with `known` only those.
+
+    What a word holds of the known features is looked up once and kept, up to KEPT_WORDS words.
+    """
+
+    def __init__(self, known: set[bytes] | None = None):
+        self.known, self.kept = known, {}
+
+    def of_word(self, word: bytes) -> frozenset[bytes]:
+        if len(self.kept) >= KEPT_WORDS:
+            self.kept.clear()
+        self.kept[word] = found = frozenset(pieces(word)) & self.known
+        return found
+
+    def __call__(self, text: bytes | None) -> set[bytes]:
+        text = text or b""
+        words = text.translate(PLAIN).split()
+        different = set(words)
+        found = shapes(text, words, len(different))
+        if self.known is None:
+            return found.union(*map(pieces, different))
+        found &= self.known
+        get = self.kept.get
+        for word in different:
+            hits = get(word)
+            if hits is None:
+                hits = self.of_word(word)
+            if hits:
+                found |= hits
+        return found
 
 
 def drawn(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
@@ -69,7 +101,7 @@ def vocabulary(sample: DataFrame, keep: int = FEATURES) -> list[bytes]:
     schema = pa.schema([("feature", pa.binary()), ("n", pa.int64()), ("low", pa.int64()), ("toxic", pa.int64())])
 
     def count(batches):
-        n, low, toxic = Counter(), Counter(), Counter()
+        n, low, toxic, features = Counter(), Counter(), Counter(), Features()
         for batch in batches:
             for part in slices(batch):
                 for t, a, b in zip(utf8(part.column("text")), part.column("low").to_pylist(), part.column("toxic").to_pylist(), strict=True):
@@ -124,10 +156,10 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     schema = pa.schema([("low", pa.bool_()), ("toxic", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
     def present(batches):
-        known = at.keys()
+        features = Features(set(at))
         for batch in batches:
             for part in slices(batch):
-                ids = [sorted(at[f] for f in known & features(t)) for t in utf8(part.column("text"))]
+                ids = [sorted(at[f] for f in features(t)) for t in utf8(part.column("text"))]
                 yield record(schema, part.column("low"), part.column("toxic"), ids)
 
     # At most sample_docs rows of at most FEATURES small numbers.
@@ -144,10 +176,10 @@ def with_evidence(docs: DataFrame, model: dict) -> DataFrame:
     weights, base = model["weights"], model["base"]
 
     def run(batches):
-        known = weights.keys()
+        features = Features(set(weights))
         for batch in batches:
             for part in slices(batch):
-                odds = np.array([[sum(weights[f][k] for f in hits) + base[k] for k in (0, 1)] for hits in (known & features(t) for t in utf8(part.column("text")))])
+                odds = np.array([[sum(weights[f][k] for f in hits) + base[k] for k in (0, 1)] for hits in map(features, utf8(part.column("text")))])
                 good = np.prod(1 / (1 + np.exp(np.clip(odds, -30, 30))), axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 - good)], names=[*part.schema.names, "_p_bad"])
 
