@@ -23,6 +23,8 @@ from lexiflow.session import checkpoint, table
 EDITS = 2
 #: Shorter lines are left alone: headings, list marks and one-word lines recur in clean texts.
 LEAST_CHARS = 24
+#: Keys of lines that are packed together for the way.
+BLOCK_KEYS = 1_500_000
 #: Stands for a null doc_id, which comes after all others.
 LAST = (1 << 63) - 1
 
@@ -148,7 +150,23 @@ def candidates(docs: DataFrame, edits: int, least: int) -> DataFrame:
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
+    def blobs(parts: list[tuple]) -> pa.RecordBatch:
+        key, ids, sketch, own = map(np.concatenate, zip(*parts, strict=True))
+        bucket = (key % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((ids, key, bucket))
+        key, ids = key[order], ids[order]
+        new = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))  # a line that recurs in the block
+        order = order[new]
+        key, ids, sketch, own, bucket = key[new], ids[new], sketch[order], own[order], bucket[order]
+        heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+        made = []
+        for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True):
+            raw = np.diff(key[i:j], prepend=np.uint64(0)).tobytes() + ids[i:j].tobytes() + sketch[i:j].tobytes() + own[i:j].tobytes()
+            made.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
+        return record(packed, bucket[heads], made)
+
     def run(batches):
+        parts, size = [], 0
         for batch in batches:
             for part in slices(batch):
                 points, start, length, _, _ = spans([t or "" for t in part.column("text").to_pylist()])
@@ -160,15 +178,13 @@ def candidates(docs: DataFrame, edits: int, least: int) -> DataFrame:
                 start, length = start[long][at], length[long][at]
                 sketch = sketches(points, start, start + length)
                 line, key, own = filed(rolling, start, length, edits, least)
-                bucket = (key % np.uint64(buckets)).astype(np.int32)
-                order = np.lexsort((key, bucket))
-                key, line, own, bucket = key[order], line[order], own[order], bucket[order]
-                heads = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
-                blobs = []
-                for i, j in zip(heads.tolist(), [*heads[1:].tolist(), len(key)], strict=True):
-                    raw = np.diff(key[i:j], prepend=np.uint64(0)).tobytes() + ids[line[i:j]].tobytes() + sketch[line[i:j]].tobytes() + own[i:j].tobytes()
-                    blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True))
-                yield record(packed, bucket[heads], blobs)
+                parts.append((key, ids[line], sketch[line], own))
+                size += len(key)
+                if size >= BLOCK_KEYS:
+                    yield blobs(parts)
+                    parts, size = [], 0
+        if parts:
+            yield blobs(parts)
 
     found = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
