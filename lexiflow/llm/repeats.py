@@ -69,6 +69,14 @@ COLUMNS = (("doc", np.int64), ("start", np.int32), ("offset", np.int32), ("lengt
 MARKS = (("doc", np.int64), ("a", np.int32), ("b", np.int32))
 
 
+def squeezed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=ZSTD_LEVEL).compress(raw, asbytes=True)
+
+
+def restored(blob: bytes) -> bytes:
+    return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+
+
 def packed(strings: Strings, marks: list[np.ndarray]) -> bytes:
     """One compressed blob: counts, columns, marks already known, and the text."""
     arrays = [strings.doc, strings.start, strings.offset, np.array([len(t) for t in strings.text])]
@@ -78,12 +86,11 @@ def packed(strings: Strings, marks: list[np.ndarray]) -> bytes:
         x = x.astype(kind)
         body.append((np.diff(x, prepend=kind(0)) if name in ("doc", "start") else x).tobytes())
     body += [x.astype(kind).tobytes() for (_, kind), x in zip(MARKS, marks, strict=True)]
-    raw = b"".join([*body, *strings.text])
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=ZSTD_LEVEL).compress(raw, asbytes=True)
+    return squeezed(b"".join([*body, *strings.text]))
 
 
 def unpacked(blob: bytes, unit: Unit) -> tuple[Strings, list[np.ndarray]]:
-    raw = pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    raw = restored(blob)
     n, m = np.frombuffer(raw, np.int64, 2).tolist()
     at, got, marks = 16, {}, []
     for name, kind in COLUMNS:
@@ -260,15 +267,22 @@ def repeated(docs: DataFrame, unit: Unit, resolve: Callable[[Strings, Unit], lis
     blobs = super_kmers(named.where(F.col("text").isNotNull()).select("doc", "text"), unit, buckets)
     ranges = blobs.groupBy("bucket").applyInArrow(run, "doc long, a int, b int")
     per_doc = ranges.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
-    rows = named.join(per_doc, F.col("doc") == F.col("d"), "left").select("doc_id", "text", "ranges")
+    # The texts meet their ranges compressed.
+    small = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("blob", pa.binary())])
+
+    def squeeze(batches):
+        for batch in batches:
+            for part in slices(batch):
+                yield record(small, part.column("doc_id"), part.column("doc"), [squeezed(t or b"") for t in utf8(part.column("text"))])
+
+    texts = named.mapInArrow(squeeze, "doc_id long, doc long, blob binary")
+    rows = texts.join(per_doc, F.col("doc") == F.col("d"), "left").select("doc_id", "blob", "ranges")
     out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("kept", pa.string())])
 
     def digested(batches):
         for batch in batches:
-            for part in slices(batch):
-                found = [
-                    digest(t or b"", merged(r)) for t, r in zip(utf8(part.column("text")), part.column("ranges").to_pylist(), strict=True)
-                ]
+            for part in slices(batch, "blob"):
+                found = [digest(restored(b), merged(r)) for b, r in zip(part.column("blob").to_pylist(), part.column("ranges").to_pylist(), strict=True)]
                 yield record(out, part.column("doc_id"), *map(list, zip(*found, strict=True)))
 
     return rows.mapInArrow(digested, "doc_id long, n long, removed long, spans long, kept string")
