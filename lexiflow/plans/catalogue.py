@@ -663,3 +663,108 @@ def q43_scan_rules(spark, read):
 def q44_seed_glossary(spark, read):
     parts = read("part").select(F.concat("p_name", F.lit(" of Fire and Ice")).alias("source"))
     return method_counts(with_skips(looked_up(parts, list(SEED))))
+
+
+_BOX_TEXT = "CAST(CAST(x AS INT) AS VARCHAR) || '.0,' || CAST(CAST(y AS INT) AS VARCHAR) || '.0,' || CAST(CAST(w AS INT) AS VARCHAR) || '.0,' || CAST(CAST(h AS INT) AS VARCHAR) || '.0'"
+
+
+@query(
+    f"""
+SELECT 'f' || (l_linenumber % 3) || ':' || {_BOX_TEXT} AS crop, min(l_orderkey * 10 + l_linenumber) AS id, count(*) AS shared FROM ({_BOXES}) GROUP BY 1
+"""
+)
+def q45_crop_dedupe(spark, read):
+    regions = _boxes(read).select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("f"), F.col("l_linenumber") % 3).alias("hash"), "box")
+    return recognise.distinct_crops(regions)
+
+
+@query(
+    f"""
+WITH b AS (SELECT *, l_orderkey * 10 + l_linenumber AS id FROM ({_BOXES}) WHERE l_orderkey % 5 = 0),
+u AS (SELECT DISTINCT ON (id) * FROM b ORDER BY id, x, y, w, h),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY w * h DESC, id) AS big FROM u) WHERE big <= 3)
+SELECT l_orderkey AS page, id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY floor(y / 40), x DESC, id) - 1 AS INT) AS n FROM k
+"""
+)
+def q46_first_regions(spark, read):
+    ids = _boxes(read).where("l_orderkey % 5 = 0").groupBy(F.col("l_orderkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("box").alias("box"))
+    return recognise.first_regions(ids, 3).select("page", "id", "n")
+
+
+@query(
+    f"""
+SELECT file, string_agg(out, chr(10) ORDER BY line) AS text FROM (
+  SELECT doc_id AS file, line, CASE WHEN line % 3 = 0 AND v <> '' AND doc_id % 5 <> 0 THEN replace(raw, v, '>> ' || v) ELSE raw END AS out FROM (SELECT doc_id, line, raw, {_strip("raw")} AS v FROM {_LINES})) GROUP BY file
+"""
+)
+def q47_rebuilt_files(spark, read):
+    return export.rebuilt(q34_patch_lines(spark, read))
+
+
+@query(
+    """
+SELECT conv_id AS file, string_agg('[' || (turn % 2) || ':' || turn || '] ' || text || chr(10) || role, chr(10) ORDER BY turn % 2, turn) AS text FROM conversations GROUP BY conv_id
+"""
+)
+def q48_sidecar(spark, read):
+    return export.sidecar(read("conversations").select(F.col("conv_id").alias("file"), (F.col("turn") % 2).alias("page"), F.col("turn").alias("line"), F.col("text").alias("source"), F.col("role").alias("target")))
+
+
+@query("SELECT p_partkey, CASE WHEN length(k) > 8 THEN left(k, 4) || '****' || right(k, 4) WHEN length(k) > 0 THEN '****' ELSE '' END AS shown FROM (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN 'short' ELSE '' END AS k FROM part)")
+def q49_masked_keys(spark, read):
+    k = F.col("p_partkey") % 3
+    return read("part").select("p_partkey", text.masked(F.when(k == 0, F.col("p_name")).when(k == 1, F.lit("short")).otherwise(F.lit(""))).alias("shown"))
+
+
+@query(
+    f"""
+WITH b AS (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM ({_BOXES}) ORDER BY l_orderkey, l_linenumber, x, y, w, h),
+p AS (SELECT *, lag(y) OVER o AS py, lag(h) OVER o AS ph, lag(x) OVER o AS px, lag(w) OVER o AS pw FROM b WINDOW o AS (PARTITION BY l_orderkey ORDER BY l_linenumber))
+SELECT l_orderkey, l_linenumber, round(greatest(0.0::DOUBLE, least(y + h, py + ph) - greatest(y, py)) / least(h, ph), 9) AS overlap, round(greatest(h, ph) / least(h, ph), 9) AS heights,
+  px >= x - 2 AND py >= y - 2 AND px + pw <= x + w + 2 AND py + ph <= y + h + 2 AS inside, w > 0 AND h > 0 AND w * h <= 700 AS small
+FROM p WHERE py IS NOT NULL
+"""
+)
+def q50_box_geometry(spark, read):
+    one = _boxes(read).groupBy("l_orderkey", "l_linenumber").agg(F.min("box").alias("box"))
+    pairs = one.withColumn("before", F.lag("box").over(Window.partitionBy("l_orderkey").orderBy("l_linenumber"))).where(F.col("before").isNotNull())
+    a, b = F.col("box"), F.col("before")
+    return pairs.select(
+        "l_orderkey", "l_linenumber", F.round(geometry.overlap_ratio(a, b), 9).alias("overlap"), F.round(geometry.height_ratio(a, b), 9).alias("heights"),
+        geometry.inside(b, a).alias("inside"), geometry.sprite_sized(a[2], a[3], 700).alias("small"),
+    )
+
+
+@query(
+    f"""
+SELECT file, ord, source FROM (SELECT doc_id AS file, line AS ord, {_strip("raw")} AS source FROM {_LINES}) WHERE source <> '' ORDER BY file, ord LIMIT 500
+"""
+)
+def q51_entry_cap(spark, read):
+    entries = document_lines(read).select(F.col("doc_id").alias("file"), F.col("line").alias("ord"), text.stripped(F.col("raw")).alias("source"))
+    return rows.capped(entries, 500)
+
+
+@query(
+    """
+SELECT doc_id, array_to_string(list_sort(CASE doc_id % 3 WHEN 0 THEN ['%s', '{0}'] WHEN 1 THEN ['{0}'] ELSE [] END), ',') AS differ FROM documents
+"""
+)
+def q52_placeholder_differences(spark, read):
+    k = F.col("doc_id") % 3
+    source = F.when(k == 0, F.lit("%s to <b>")).otherwise(F.lit("to <b>"))
+    target = F.when(k == 2, F.lit("zu <b>")).otherwise(F.lit("{0} zu <b>"))
+    return read("documents").select("doc_id", F.array_join(F.array_sort(quality.placeholder_differences(source, target)), ",").alias("differ"))
+
+
+@query(
+    """
+WITH m AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), g AS (SELECT user_id, n, user_id % 2 = 0 AS atlas, user_id % 3 <> 0 AS small FROM m)
+SELECT count(*) FILTER (atlas) AS atlas, count(*) FILTER (NOT atlas) AS sequence, coalesce(sum(n), 0) AS members FROM g WHERE n <= 8 AND (atlas OR small)
+"""
+)
+def q53_reading_units(spark, read):
+    e = read("events").select(F.concat(F.lit("e"), "event_id").alias("m"), "user_id")
+    made = e.groupBy(F.col("user_id").cast("string").alias("id"), F.when(F.col("user_id") % 2 == 0, "atlas").otherwise("sequence").alias("kind")).agg(F.collect_list("m").alias("members"))
+    pages = e.select(F.col("m").alias("id"), F.lit(1000).alias("width"), F.when(F.col("user_id") % 3 == 0, 1000).otherwise(100).alias("height"))
+    return groups.group_counts(groups.reading_units(made, pages))

@@ -301,3 +301,28 @@ def test_images(spark):
     assert not groups.suspected(named.limit(0)).first()["suspected"]
     pages = archives.pages(spark.createDataFrame([("c.cbz", f"p{i}.jpg") for i in (10, 2)] + [("c.cbz", "x.txt")], "path string, name string"), text.natural_key(F.col("name")), ("jpg",), 10)
     assert [(r["file"], r["page_entry"]) for r in archives.targets(named, pages, 7).collect()][-1] == ("c.cbz", "p2.jpg")
+
+
+def test_vision_batches_and_tables(spark, tmp_path):
+    crops = spark.createDataFrame([(f"r{i}", bytearray(b"x" * i)) for i in range(6)], "id string, crop binary").coalesce(1)
+
+    def read(batch):
+        if any(i == "r5" for i, _ in batch):
+            raise OSError
+        return [f"{i}:{len(c)}" for i, c in batch]
+
+    got = {r["id"]: r["text"] for r in recognise.read_by_vision(crops, read).collect()}
+    assert got == {"r0": "r0:0", "r1": "r1:1", "r2": "r2:2", "r3": "r3:3", "r4": None, "r5": None}
+    path = str(tmp_path / "cache")
+    assert export.load_table(spark, path, "source string, target string").count() == 0
+    export.save_table(spark.createDataFrame([("a", "b")], "source string, target string"), path)
+    assert export.load_table(spark, path, "source string, target string").collect() == [("a", "b")]
+
+
+def test_charset_columns(spark):
+    from lexiflow.functions import encoding
+
+    df = spark.createDataFrame([("你好", "gbk", False), ("Hi", "utf-16-be", True), ("é", "latin-1", False), (None, "utf-8", False)], "t string, e string, m boolean")
+    both = df.withColumn("b", encoding.encoded(F.col("t"), F.col("e"), F.col("m"))).withColumn("d", encoding.decoded(F.col("b"), F.col("e")))
+    assert [r["d"]["text"] for r in both.collect()] == ["你好", "Hi", "é", None]
+    assert bytes(both.collect()[1]["b"]) == b"\xfe\xff\x00H\x00i"
