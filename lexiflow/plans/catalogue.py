@@ -10,11 +10,12 @@ from lexiflow.extract.parse import html_entries, pruned, replaced_by_file
 from lexiflow.functions import geometry, text, timecode
 from lexiflow.operators import export, groups, ledger, quality, recognise
 from lexiflow.operators.translate import SEED, Term, firsts, looked_up, method_counts, progress, ranked, upserted, with_skips
-from lexiflow.session import table
+from lexiflow.session import ship_by_value, table
 from lexiflow.sources import files
 
 QUERIES: dict = {}
 SQL: dict = {}
+ship_by_value()
 
 
 def query(sql: str | None = None):
