@@ -9,7 +9,6 @@ first; only where it occurs does the automaton read.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -116,12 +115,12 @@ class Automaton:
         return [(i, end) for i in starts if (end := self.longest(words, i)) > i]
 
 
-@lru_cache(maxsize=16)
-def compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[Automaton, bytes, str]]:
-    return [(a := Automaton(t), f" {' '.join(a.anchor)} ".encode(), label) for t, label in templates]
+def compiled(templates: dict[str, str]) -> list[tuple[Automaton, bytes, str]]:
+    """Each template's automaton, the words to look for first, and its label."""
+    return [(a := Automaton(t), f" {' '.join(a.anchor)} ".encode(), label) for t, label in templates.items()]
 
 
-def scan_text(text: bytes | None, phrases: dict[str, str], templates: dict[str, str]) -> tuple:
+def scan_text(text: bytes | None, phrases: dict[str, str], automata: list[tuple[Automaton, bytes, str]]) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels and score of one text."""
     words = (text or b"").translate(PLAIN).split()
     joined = b" %s " % b" ".join(words)
@@ -136,7 +135,7 @@ def scan_text(text: bytes | None, phrases: dict[str, str], templates: dict[str,
             covered.update(range(place, place + n))
             at = joined.find(needle, at + 1)
     decoded = None
-    for automaton, anchor, label in compiled(tuple(templates.items())):
+    for automaton, anchor, label in automata:
         if anchor in joined:
             decoded = decoded or [w.decode("utf-8", "replace") for w in words]
             for start, end in automaton.matches(decoded):
@@ -159,9 +158,10 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str
     )
 
     def run(batches):
+        automata = compiled(templates)
         for batch in batches:
             for part in slices(batch):
-                found = [scan_text(t, phrases, templates) for t in utf8(part.column("text"))]
+                found = [scan_text(t, phrases, automata) for t in utf8(part.column("text"))]
                 yield record(schema, part.column("doc_id"), *map(list, zip(*found, strict=True)))
 
     return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(

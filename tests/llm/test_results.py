@@ -310,7 +310,7 @@ def test_licence_places(spark, sf):
     ],
 )
 def test_templates(text, labels):
-    assert licences.scan_text(text.encode(), licences.PHRASES, licences.TEMPLATES)[5] == labels
+    assert licences.scan_text(text.encode(), licences.PHRASES, licences.compiled(licences.TEMPLATES))[5] == labels
 
 
 def test_languages_not_seen(spark):
