@@ -28,8 +28,6 @@ FEATURES, LEAST_GAIN, LEAST_DOCS = 4_000, 16.0, 5
 MAX_STRENGTH = 10_000.0
 #: Words also count by their pieces of so many bytes, so that forms of one word share their evidence.
 PIECES = (5, 7)
-#: Words whose features a worker keeps.
-KEPT_WORDS = 200_000
 SYMBOLS = b"#*$%&|<>!"
 UPPER = bytes(range(65, 91))
 
@@ -47,37 +45,58 @@ def shapes(text: bytes, words: list[bytes], kinds: int) -> set[bytes]:
     return {b"=symbols%d" % min(9, int(40 * symbols / size)), b"=capitals%d" % min(9, int(20 * capitals / size)), share}
 
 
-class Features:
-    """The features of texts: words (ASCII letters in lower case), their pieces, and shapes; with `known` only those.
-
-    What a word holds of the known features is looked up once and kept, up to KEPT_WORDS words.
-    """
-
-    def __init__(self, known: set[bytes] | None = None):
-        self.known, self.kept = known, {}
-
-    def of_word(self, word: bytes) -> frozenset[bytes]:
-        if len(self.kept) >= KEPT_WORDS:
-            self.kept.clear()
-        self.kept[word] = found = frozenset(pieces(word)) & self.known
-        return found
-
-    def __call__(self, text: bytes | None) -> set[bytes]:
-        text = text or b""
-        words = text.translate(PLAIN).split()
-        different = set(words)
-        found = shapes(text, words, len(different))
-        if self.known is None:
-            return found.union(*map(pieces, different))
-        found &= self.known
-        get = self.kept.get
-        for word in different:
-            hits = get(word)
-            if hits is None:
-                hits = self.of_word(word)
-            if hits:
-                found |= hits
-        return found
+def features(text: bytes | None) -> set[bytes]:
+    """The features of a text: words (ASCII letters in lower case), their pieces, and shapes."""
+    text = text or b""
+    words = text.translate(PLAIN).split()
+    different = set(words)
+    return shapes(text, words, len(different)).union(*map(pieces, different))
+
+
+class Finder:
+    """Which of some features texts have; pieces are looked for in all texts at once, as integers of their bytes."""
+
+    def __init__(self, known: list[bytes]):
+        self.at = {f: k for k, f in enumerate(known) if f[:1] != b"-"}
+        self.pieces = []
+        for n in PIECES:
+            found = sorted((int.from_bytes(f[1:], "little"), k) for k, f in enumerate(known) if f[:1] == b"-" and len(f) == n + 1)
+            values, places = np.array([v for v, _ in found], np.uint64), np.array([k for _, k in found], np.int64)
+            likely = np.zeros(1 << 16, bool)
+            likely[self.folded(values)] = True
+            self.pieces.append((n, values, places, likely))
+
+    @staticmethod
+    def folded(values: np.ndarray) -> np.ndarray:
+        return (values * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(text, feature): places of all that are found, each once."""
+        rows, ids, plain = [], [], []
+        for i, text in enumerate(texts):
+            text = text or b""
+            plain.append(text.translate(PLAIN))
+            words = plain[-1].split()
+            different = set(words)
+            hits = (self.at.keys() & different) | (self.at.keys() & shapes(text, words, len(different)))
+            rows += [i] * len(hits)
+            ids += [self.at[f] for f in hits]
+        x = np.frombuffer(b"\n".join(plain), np.uint8).astype(np.uint64)
+        starts = np.cumsum([0, *(len(t) + 1 for t in plain)])[:-1]
+        pairs = [np.array([rows, ids], np.int64).T.reshape(-1, 2)]
+        for n, values, places, likely in self.pieces:
+            if not len(values) or len(x) < n:
+                continue
+            piece = x[: len(x) - n + 1].copy()
+            for k in range(1, n):
+                piece |= x[k : len(x) - n + 1 + k] << np.uint64(8 * k)
+            at = np.flatnonzero(likely[self.folded(piece)])
+            near = np.minimum(np.searchsorted(values, piece[at]), len(values) - 1)
+            same = values[near] == piece[at]
+            found = np.stack((np.searchsorted(starts, at[same], side="right") - 1, places[near[same]]), axis=1)
+            pairs.append(np.unique(found, axis=0))
+        both = np.concatenate(pairs)
+        return both[:, 0], both[:, 1]
 
 
 def drawn(docs: DataFrame, labels: DataFrame, sample_docs: int) -> DataFrame:
@@ -101,7 +120,7 @@ def vocabulary(sample: DataFrame, keep: int = FEATURES) -> list[bytes]:
     schema = pa.schema([("feature", pa.binary()), ("n", pa.int64()), ("low", pa.int64()), ("toxic", pa.int64())])
 
     def count(batches):
-        n, low, toxic, features = Counter(), Counter(), Counter(), Features()
+        n, low, toxic = Counter(), Counter(), Counter()
         for batch in batches:
             for part in slices(batch):
                 for t, a, b in zip(utf8(part.column("text")), part.column("low").to_pylist(), part.column("toxic").to_pylist(), strict=True):
@@ -152,15 +171,16 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     """The two models: features with their weights. Without labels both give even odds of being good."""
     sample = checkpoint(drawn(docs, labels, sample_docs))
     words = vocabulary(sample)
-    at = {w: k for k, w in enumerate(words)}
     schema = pa.schema([("low", pa.bool_()), ("toxic", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
     def present(batches):
-        features = Features(set(at))
+        finder = Finder(words)
         for batch in batches:
             for part in slices(batch):
-                ids = [sorted(at[f] for f in features(t)) for t in utf8(part.column("text"))]
-                yield record(schema, part.column("low"), part.column("toxic"), ids)
+                rows, ids = finder(utf8(part.column("text")))
+                order = np.argsort(rows, kind="stable")
+                ends = np.searchsorted(rows[order], np.arange(part.num_rows + 1)).astype(np.int32)
+                yield record(schema, part.column("low"), part.column("toxic"), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids[order].astype(np.int32))))
 
     # At most sample_docs rows of at most FEATURES small numbers.
     got = sample.mapInArrow(present, "low boolean, toxic boolean, ids array<int>").toArrow().combine_chunks()
@@ -168,18 +188,19 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     ids = np.array([i for x in lists for i in x], np.int64)
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     fitted = [logistic(ids, rows, np.array(got.column(c).to_pylist(), float), len(words)) for c in ("low", "toxic")]
-    return {"weights": dict(zip(words, zip(*(f[:-1].tolist() for f in fitted), strict=True), strict=True)), "base": [float(f[-1]) for f in fitted]}
+    return {"words": words, "weights": [f[:-1] for f in fitted], "base": [float(f[-1]) for f in fitted]}
 
 
 def with_evidence(docs: DataFrame, model: dict) -> DataFrame:
     """docs with _p_bad, the probability that a row's text alone gives for being low or toxic."""
-    weights, base = model["weights"], model["base"]
+    words, weights, base = model["words"], model["weights"], model["base"]
 
     def run(batches):
-        features = Features(set(weights))
+        finder = Finder(words)
         for batch in batches:
             for part in slices(batch):
-                odds = np.array([[sum(weights[f][k] for f in hits) + base[k] for k in (0, 1)] for hits in map(features, utf8(part.column("text")))])
+                rows, ids = finder(utf8(part.column("text")))
+                odds = np.stack([np.bincount(rows, weights=w[ids], minlength=part.num_rows) + b for w, b in zip(weights, base, strict=True)], axis=1)
                 good = np.prod(1 / (1 + np.exp(np.clip(odds, -30, 30))), axis=1)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 - good)], names=[*part.schema.names, "_p_bad"])
 
