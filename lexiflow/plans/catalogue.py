@@ -277,7 +277,7 @@ def q14_pending_antijoin(spark, read):
 
 @query(
     """
-SELECT source AS file, count(*) AS n, sum(n_chars) AS chars FROM (
+SELECT source AS file, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM (
   SELECT source, n_chars FROM documents WHERE source NOT IN ('src1', 'src3') UNION ALL SELECT source, length(text) * 2 FROM documents WHERE source IN ('src1', 'src3') AND doc_id % 2 = 0) GROUP BY source
 """
 )
@@ -354,11 +354,11 @@ def q21_budget_topn(spark, read):
     return ranked(read("events").select("event_type", "event_id", "value"), 8, ["event_type"], F.col("value").desc(), F.col("event_id"))
 
 
-@query("SELECT event_type AS counter, sum(event_id % 17) AS total FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_id % 2500 = 0 AND event_id < 5000) GROUP BY event_type")
+@query("SELECT event_type AS counter, CAST(sum(event_id % 17) AS BIGINT) AS total FROM events WHERE ts > (SELECT max(ts) FROM events WHERE event_id % 2500 = 0 AND event_id < 5000) GROUP BY event_type")
 def q22_usage_ledger(spark, read):
     e = read("events")
-    entries = e.select("ts", F.col("event_type").alias("counter"), (F.col("event_id") % 17).cast("decimal(38,0)").alias("delta"))
-    return ledger.usage(entries, e.where("event_id % 2500 = 0 and event_id < 5000").select("ts")).select("counter", F.col("total").cast("decimal(38,0)").alias("total"))
+    entries = e.select("ts", F.col("event_type").alias("counter"), (F.col("event_id") % 17).alias("delta"))
+    return ledger.usage(entries, e.where("event_id % 2500 = 0 and event_id < 5000").select("ts"))
 
 
 @query(
@@ -761,7 +761,7 @@ def q52_placeholder_differences(spark, read):
 @query(
     """
 WITH m AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), g AS (SELECT user_id, n, user_id % 2 = 0 AS atlas, user_id % 3 <> 0 AS small FROM m)
-SELECT count(*) FILTER (atlas) AS atlas, count(*) FILTER (NOT atlas) AS sequence, coalesce(sum(n), 0) AS members FROM g WHERE n <= 8 AND (atlas OR small)
+SELECT count(*) FILTER (atlas) AS atlas, count(*) FILTER (NOT atlas) AS sequence, CAST(coalesce(sum(n), 0) AS BIGINT) AS members FROM g WHERE n <= 8 AND (atlas OR small)
 """
 )
 def q53_reading_units(spark, read):
