@@ -246,8 +246,11 @@ def classed(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> tu
     linked = components(links)
     kinds = distinct.join(linked.withColumnRenamed("id", "member"), F.col("id") == F.col("member"), "left")
     kinds = kinds.select(F.col("id").alias("i"), F.col("check").alias("c"), "first", "component")
-    leads = kinds.where(F.col("component").isNotNull()).groupBy(F.col("component").alias("k")).agg(F.min("first").alias("lead"))
-    kinds = kinds.join(leads, F.col("component") == F.col("k"), "left").select("i", "c", F.col("component").isNotNull().alias("linked"), "first", F.coalesce("lead", "first").alias("lead"))
+    # Most lines are in no class: they lead themselves, and stay out of the join by class.
+    classes = kinds.where(F.col("component").isNotNull())
+    leads = classes.groupBy(F.col("component").alias("k")).agg(F.min("first").alias("lead"))
+    led = classes.join(leads, F.col("component") == F.col("k")).select("i", "c", "first", "lead")
+    kinds = led.unionByName(kinds.where(F.col("component").isNull()).select("i", "c", "first", F.col("first").alias("lead")))
     # Rows for documents have no id and stay out of joins by it, where all of them would meet in one task.
     placed = lines.where(F.col("line") >= 0).join(kinds, (F.col("id") == F.col("i")) & (F.col("check") == F.col("c")))
     return lines.where(F.col("line") < 0), placed, links
