@@ -250,10 +250,10 @@ def classed(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -> tu
     classes = kinds.where(F.col("component").isNotNull())
     leads = classes.groupBy(F.col("component").alias("k")).agg(F.min("first").alias("lead"))
     led = classes.join(leads, F.col("component") == F.col("k")).select("i", "c", "first", "lead")
-    kinds = led.unionByName(kinds.where(F.col("component").isNull()).select("i", "c", "first", F.col("first").alias("lead")))
+    kinds = led.unionByName(kinds.where(F.col("component").isNull()).select("i", "c", "first"), allowMissingColumns=True)
     # Rows for documents have no id and stay out of joins by it, where all of them would meet in one task.
     placed = lines.where(F.col("line") >= 0).join(kinds, (F.col("id") == F.col("i")) & (F.col("check") == F.col("c")))
-    return lines.where(F.col("line") < 0), placed, links
+    return lines.where(F.col("line") < 0), placed.withColumn("lead", F.coalesce("lead", "first")), links
 
 
 def _later(column: str):
