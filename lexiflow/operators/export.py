@@ -6,6 +6,7 @@ import json
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,19 +124,23 @@ def exported(files: DataFrame, patches: DataFrame) -> DataFrame:
     grouped = patches.groupBy("file").agg(F.collect_list(F.struct(*columns)).alias("rows"))
     joined = files.select(F.col("rel").alias("_rel"), "content").join(grouped, F.col("_rel") == F.col("file"))
 
+    schema = pa.schema([("file", pa.string()), ("content", pa.binary()), ("applied", pa.int32()), ("refused", pa.int32()), ("error", pa.string())])
+
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for file, content, rows in zip(pdf["file"], pdf["content"], pdf["rows"], strict=True):
-                rows = [dict(r) for r in rows]
+            for r in batch.to_pylist():
+                file, content, rows = r["file"], r["content"], r["rows"]
                 try:
-                    new, done = patched_content(bytes(content), rows[0]["ref_kind"], rows)
+                    new, done = patched_content(content, rows[0]["ref_kind"], rows)
                     out.append((file, new, done, len(rows) - done, None))
                 except (ValueError, KeyError, IndexError, TypeError) as e:
-                    out.append((file, bytes(content), 0, len(rows), f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["file", "content", "applied", "refused", "error"])
+                    out.append((file, content, 0, len(rows), f"{type(e).__name__}: {e}"))
+            if out:
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    return joined.select("file", "content", "rows").mapInPandas(run, RESULT)
+    return joined.select("file", "content", "rows").mapInArrow(run, RESULT)
 
 
 def book_exported(content: bytes, patches: dict[str, list[dict]]) -> bytes:
