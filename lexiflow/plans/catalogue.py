@@ -428,7 +428,7 @@ def q25_phrase_split(spark, read):
 
 @query()
 def q26_atlas_groups(spark, read):
-    fragments = _boxes(read).where("l_orderkey % 10 = 0").select(
+    fragments = _boxes(read).select(
         F.concat("l_orderkey", F.lit("-"), "l_linenumber", F.lit("-"), "l_partkey").alias("id"), F.concat(F.lit("sheet"), "l_orderkey", F.lit(".png")).alias("file"),
         F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("page_entry"), "box", F.concat(F.lit("w"), "l_linenumber").alias("text"), F.lit("text").alias("kind"),
     )
