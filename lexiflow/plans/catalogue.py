@@ -63,6 +63,12 @@ def _strip(x: str) -> str:
     return _STRIP.format(x)
 
 
+def _uncut(name: str, cut: str, whole: str) -> str:
+    """The SQL of a registered query, over all rows or whole texts."""
+    assert cut in SQL[name], name
+    return SQL[name].replace(cut, whole)
+
+
 def document_lines(read) -> DataFrame:
     return plain.lines(read("documents"), "doc_id", "source", "lang").withColumnRenamed("source", "src")
 
@@ -666,6 +672,11 @@ def q44_seed_glossary(spark, read):
     return method_counts(with_skips(looked_up(parts, list(SEED))))
 
 
+def _first_regions(boxes: DataFrame) -> DataFrame:
+    ids = boxes.groupBy(F.col("l_orderkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("box").alias("box"))
+    return recognise.first_regions(ids, 3).select("page", "id", "n")
+
+
 _BOX_TEXT = "CAST(CAST(x AS INT) AS VARCHAR) || '.0,' || CAST(CAST(y AS INT) AS VARCHAR) || '.0,' || CAST(CAST(w AS INT) AS VARCHAR) || '.0,' || CAST(CAST(h AS INT) AS VARCHAR) || '.0'"
 
 
@@ -688,8 +699,12 @@ SELECT l_orderkey AS page, id, CAST(row_number() OVER (PARTITION BY l_orderkey O
 """
 )
 def q46_first_regions(spark, read):
-    ids = _boxes(read).where("l_orderkey % 5 = 0").groupBy(F.col("l_orderkey").alias("page"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("box").alias("box"))
-    return recognise.first_regions(ids, 3).select("page", "id", "n")
+    return _first_regions(_boxes(read).where("l_orderkey % 5 = 0"))
+
+
+@query(_uncut("q46_first_regions", " WHERE l_orderkey % 5 = 0", ""))
+def q46b_first_regions_of_all(spark, read):
+    return _first_regions(_boxes(read))
 
 
 @query(

@@ -54,3 +54,15 @@ def test_atlas_groups_of_all_sheets(spark, tmp_path):
     expected = brute_atlas(rows)
     assert sorted((r["file"], r["members"], r["union_box"]) for r in got) == expected
     assert len({file for file, *_ in expected}) > 20
+
+
+def test_first_regions_of_all_pages(spark, tmp_path):
+    rows = lineitem(spark, tmp_path)
+    expected = set()
+    for order in {r[0] for r in rows}:
+        page = [(boxed(*r), r[0] * 10 + r[1]) for r in rows if r[0] == order]
+        kept = sorted(page, key=lambda f: (-f[0][2] * f[0][3], f[1]))[:3]
+        expected |= {(order, id_, n) for n, (_, id_) in enumerate(sorted(kept, key=lambda f: (f[0][1] // 40, -f[0][0], f[1])))}
+    got = catalogue.QUERIES["q46b_first_regions_of_all"](spark, str(tmp_path)).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    assert {page for page, *_ in expected} == {r[0] for r in rows}
