@@ -98,11 +98,11 @@ def q02_line_offsets(spark, read):
 _SUFFIX = "{0} || ' ' || CASE doc_id % 7 WHEN 0 THEN '%s' WHEN 1 THEN '{{0}} {{1}}' WHEN 2 THEN '${{x}}' WHEN 3 THEN '\\N[1] \\V[22]' WHEN 4 THEN '$.ab' WHEN 5 THEN '<b>x</b>' ELSE '⟦0⟧ %5d' END".replace("{{", "{").replace("}}", "}")
 
 
-def _with_placeholders(read) -> DataFrame:
+def _with_placeholders(read, t: Column) -> DataFrame:
     tail = F.lit("⟦0⟧ %5d")
     for k, s in enumerate(("%s", "{0} {1}", "${x}", "\\N[1] \\V[22]", "$.ab", "<b>x</b>")):
         tail = F.when(F.col("doc_id") % 7 == k, F.lit(s)).otherwise(tail)
-    return read("documents").select("doc_id", F.concat(F.substring("text", 1, 200), F.lit(" "), tail).alias("t"))
+    return read("documents").select("doc_id", F.concat(t, F.lit(" "), tail).alias("t"))
 
 
 _PLACEHOLDER_SQL = "(?:%[-+0-9.#]*[a-zA-Z%]|\\{[0-9]+\\}|\\$\\{[^{}]*\\}|\\\\[A-Za-z]{1,2}\\[[0-9]+\\]|\\$\\.[A-Za-z]*|</?[A-Za-z][^>]*>|⟦[0-9]+⟧)"
@@ -116,7 +116,12 @@ FROM documents
 """
 )
 def q03_placeholders(spark, read):
-    return _with_placeholders(read).select("doc_id", F.array_join(text.placeholders(F.col("t")), "|").alias("found"))
+    return _with_placeholders(read, F.substring("text", 1, 200)).select("doc_id", F.array_join(text.placeholders(F.col("t")), "|").alias("found"))
+
+
+@query(_uncut("q03_placeholders", "substr(text, 1, 200)", "text"))
+def q03b_placeholders_of_whole_texts(spark, read):
+    return _with_placeholders(read, F.col("text")).select("doc_id", F.array_join(text.placeholders(F.col("t")), "|").alias("found"))
 
 
 @query(
@@ -183,7 +188,16 @@ SELECT doc_id, array_to_string(list_filter(list_transform(string_split(t, chr(10
 """
 )
 def q07_normalise_ocr(spark, read):
-    spaced = F.concat(F.replace(F.substring("text", 1, 300), F.lit(" "), F.lit("  ")), F.lit("\r\n  漢 字 と  x \t\n \n"), F.col("doc_id").cast("string"))
+    return _normalised(read, F.substring("text", 1, 300))
+
+
+@query(_uncut("q07_normalise_ocr", "substr(text, 1, 300)", "text"))
+def q07b_normalise_whole_texts(spark, read):
+    return _normalised(read, F.col("text"))
+
+
+def _normalised(read, t: Column) -> DataFrame:
+    spaced = F.concat(F.replace(t, F.lit(" "), F.lit("  ")), F.lit("\r\n  漢 字 と  x \t\n \n"), F.col("doc_id").cast("string"))
     return read("documents").select("doc_id", text.normalise_ocr(spaced).alias("t"))
 
 
@@ -202,6 +216,11 @@ def q08_unreliable_text(spark, read):
     return document_lines(read).select("doc_id", "line", text.unreliable(short, F.col("line") % 10 / 100.0).alias("doubtful"))
 
 
+@query(_uncut("q08_unreliable_text", "substr(raw, 1, 1 + CAST(line % 9 AS INT))", "raw"))
+def q08b_unreliable_whole_lines(spark, read):
+    return document_lines(read).select("doc_id", "line", text.unreliable(F.col("raw"), F.col("line") % 10 / 100.0).alias("doubtful"))
+
+
 @query(
     f"""
 SELECT doc_id, line, coalesce(b.target, raw) AS target, CASE WHEN b.target IS NULL THEN 'passthrough' ELSE 'cache' END AS method
@@ -478,7 +497,16 @@ FROM (SELECT page_id, substr(html, 1, 200) || ' &lt;a&gt; &quot;b&quot; &apos;c&
 """
 )
 def q29_entity_decode(spark, read):
-    t = F.concat(F.substring("html", 1, 200), F.lit(" &lt;a&gt; &quot;b&quot; &apos;c&apos;&nbsp;&amp;lt; \u00a0"))
+    return _entities(read, F.substring("html", 1, 200))
+
+
+@query(_uncut("q29_entity_decode", "substr(html, 1, 200)", "html"))
+def q29b_entities_of_whole_pages(spark, read):
+    return _entities(read, F.col("html"))
+
+
+def _entities(read, html: Column) -> DataFrame:
+    t = F.concat(html, F.lit(" &lt;a&gt; &quot;b&quot; &apos;c&apos;&nbsp;&amp;lt; \u00a0"))
     return read("pages").select("page_id", text.decode_entities(t).alias("decoded"), text.escape_html(t).alias("escaped"))
 
 
@@ -574,12 +602,21 @@ FROM (SELECT *, len(regexp_extract_all(t, '[\\x{2E80}-\\x{9FFF}\\x{FF00}-\\x{FFE
 """
 )
 def q36_overflow_estimate(spark, read):
+    return _label_warnings(read, F.substring("text", 1, 12), F.substring("text", 1, 10))
+
+
+@query(_uncut("q36_overflow_estimate", "substr(text, 1, 12)", "text").replace("substr(text, 1, 10)", "text"))
+def q36b_overflow_of_whole_texts(spark, read):
+    return _label_warnings(read, F.col("text"), F.col("text"))
+
+
+def _label_warnings(read, source: Column, target: Column) -> DataFrame:
     k = F.col("doc_id")
     naive = F.concat(F.lit("N "), k)
     d = read("documents").select(
         "doc_id",
-        F.when(k % 3 == 0, F.lit("12")).otherwise(F.substring("text", 1, 12)).alias("s"),
-        F.when(k % 5 == 0, naive).otherwise(F.concat(F.substring("text", 1, 10), F.lit("漢字"))).alias("t"),
+        F.when(k % 3 == 0, F.lit("12")).otherwise(source).alias("s"),
+        F.when(k % 5 == 0, naive).otherwise(F.concat(target, F.lit("漢字"))).alias("t"),
         naive.alias("naive"),
         F.array(F.lit(0.0), F.lit(0.0), k % 9 * 20.0, F.lit(20.0)).alias("box"),
     )
@@ -648,7 +685,16 @@ FROM (SELECT doc_id, substr(text, 1, 100) || CASE WHEN doc_id % 2 = 0 THEN ' "q"
 """
 )
 def q42_escapes(spark, read):
-    t = F.concat(F.substring("text", 1, 100), F.when(F.col("doc_id") % 2 == 0, F.lit(' "q" \\n\t')).otherwise(F.lit("")))
+    return _escapes(read, F.substring("text", 1, 100))
+
+
+@query(_uncut("q42_escapes", "substr(text, 1, 100)", "text"))
+def q42b_escapes_of_whole_texts(spark, read):
+    return _escapes(read, F.col("text"))
+
+
+def _escapes(read, value: Column) -> DataFrame:
+    t = F.concat(value, F.when(F.col("doc_id") % 2 == 0, F.lit(' "q" \\n\t')).otherwise(F.lit("")))
     return read("documents").select("doc_id", text.po_escape(t).alias("escaped"), text.po_unescape(text.po_escape(t)).alias("back"), text.csv_cell(t).alias("cell"))
 
 

@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from lexiflow.operators import groups
 from lexiflow.plans import catalogue
 
@@ -66,3 +68,23 @@ def test_first_regions_of_all_pages(spark, tmp_path):
     got = catalogue.QUERIES["q46b_first_regions_of_all"](spark, str(tmp_path)).collect()
     assert {tuple(r) for r in got} == expected and len(got) == len(expected)
     assert {page for page, *_ in expected} == {r[0] for r in rows}
+
+
+#: What stands at the end of a long text or page, the query, its column, and what must be found of it.
+ENDS = {
+    "placeholders": ("documents", "%9d", "q03b_placeholders_of_whole_texts", "found", lambda v: "%9d" in v),
+    "blanks": ("documents", "z  \u3000 z", "q07b_normalise_whole_texts", "t", lambda v: "\nz z\n" in v),
+    "signs": ("documents", "ab%%%%%%%%%", "q08b_unreliable_whole_lines", "doubtful", lambda v: v is True),
+    "entities": ("pages", "&lt;end&gt;", "q29b_entities_of_whole_pages", "decoded", lambda v: "<end>" in v),
+    "width": ("documents", "漢" * 90, "q36b_overflow_of_whole_texts", "warnings", lambda v: "overflow" in v),
+    "escapes": ("documents", 'end"\t', "q42b_escapes_of_whole_texts", "escaped", lambda v: 'end\\"\\t' in v),
+}
+
+
+@pytest.mark.parametrize("name", ENDS)
+def test_ends_of_long_texts(spark, tmp_path, name):
+    table, end, query, column, seen = ENDS[name]
+    whole = "word " * 100 + "\n" + end
+    key, value = ("doc_id", "text") if table == "documents" else ("page_id", "html")
+    spark.createDataFrame([(8, whole, "src0", "en")], f"{key} long, {value} string, source string, lang string").write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert any(seen(r[column]) for r in catalogue.QUERIES[query](spark, str(tmp_path)).collect())
