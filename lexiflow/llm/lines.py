@@ -153,7 +153,7 @@ def candidates(docs: DataFrame, edits: int, least: int) -> DataFrame:
     def blobs(parts: list[tuple]) -> pa.RecordBatch:
         key, ids, sketch, own = map(np.concatenate, zip(*parts, strict=True))
         bucket = (key % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((ids, key, bucket))
+        order = np.lexsort((~own, ids, key, bucket))  # of equal entries the line's own segment stays
         key, ids = key[order], ids[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])))  # a line that recurs in the block
         order = order[new]

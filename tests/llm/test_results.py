@@ -209,6 +209,13 @@ def test_edited_lines_meet(line, changes):
     assert lines.alike(sketch[:1], sketch[1], 2).all()
 
 
+@pytest.mark.parametrize(("a", "b"), [(f"+{'-' * 24}+", f"|{'-' * 24}|"), (f"Part 1 {'.' * 22} 17", f"Part 2 {'.' * 22} 18")])
+def test_lines_with_an_even_middle_meet(spark, a, b):
+    assert distance(a, b) == 2
+    assert lines.candidates(documents(spark, [a, b]), 2, lines.LEAST_CHARS).count() == 1
+    assert [r["n_links"] for r in lines.line_report(documents(spark, [a, b])).collect()] == [1, 1]
+
+
 def edited_lines(seed=5):
     rng = random.Random(seed)
     base = ["".join(rng.choices("abcdefgh ", k=rng.randint(20, 60))) for _ in range(12)]
