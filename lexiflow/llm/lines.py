@@ -21,8 +21,10 @@ from lexiflow.llm.links import components
 from lexiflow.session import checkpoint, table
 
 EDITS = 2
-#: Shorter lines are left alone: headings, list marks and one-word lines recur in clean texts.
-LEAST_CHARS = 24
+#: Shorter lines have no segment for each edit and one more: they are compared for being equal only.
+LEAST_CHARS = EDITS + 1
+#: White space, of which the blank lines between paragraphs are made.
+BLANKS = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
 #: Keys of lines that are packed together for the way.
 BLOCK_KEYS = 1_500_000
 #: Stands for a null doc_id, which comes after all others.
@@ -100,8 +102,9 @@ def hashed(points: np.ndarray, base: int) -> Rolling:
 
 
 def line_table(docs: DataFrame, least: int) -> DataFrame:
-    """doc_id, version, line, id, check: each line of at least `least` characters; line -1 stands for the row itself.
+    """doc_id, version, line, id, check: each line that takes part; line -1 stands for the row itself.
 
+    Lines of at least `least` characters take part, and shorter ones that are not blank.
     id and check are two hashes of the line; n_lines counts the lines of the row.
     """
     schema = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("version", pa.int64()), ("line", pa.int32()), ("id", pa.int64()), ("check", pa.int64()), ("n_lines", pa.int32())])
@@ -114,10 +117,11 @@ def line_table(docs: DataFrame, least: int) -> DataFrame:
                 points, start, length, owner, number = spans(texts)
                 n_lines = np.bincount(owner, minlength=len(texts))
                 yield record(schema, rid, ids, versions, np.full(len(texts), -1), pa.nulls(len(texts), pa.int64()), pa.nulls(len(texts), pa.int64()), n_lines)
-                long = np.flatnonzero(length >= least)
-                start, end, owner = start[long], (start + length)[long], owner[long]
+                ink = np.concatenate(([0], np.cumsum(~np.isin(points, BLANKS))))
+                some = np.flatnonzero((length >= least) | (ink[start + length] > ink[start]))
+                start, end, owner = start[some], (start + length)[some], owner[some]
                 key, check = (hashed(points, b).ranges(start, end).view(np.int64) for b in BASES)
-                yield record(schema, rid[owner], ids.take(pa.array(owner)), versions.take(pa.array(owner)), number[long], key, check, n_lines[owner])
+                yield record(schema, rid[owner], ids.take(pa.array(owner)), versions.take(pa.array(owner)), number[some], key, check, n_lines[owner])
 
     named = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
     return named.mapInArrow(run, "rid long, doc_id long, version long, line int, id long, check long, n_lines int")
@@ -266,7 +270,8 @@ def line_report(docs: DataFrame, edits: int = EDITS, least: int = LEAST_CHARS) -
     """doc_id, n_lines, n_removed, n_exact, n_links and classes_sha256, one row for each row of docs.
 
     Lines of `least` characters and more that are linked, directly or over others, within `edits` edits are a
-    class; all but its first line (smallest doc_id, then line) are removed. n_exact of them equal an earlier
+    class, and so are shorter lines that are equal and not blank; all but its first line (smallest doc_id,
+    then line) are removed. n_exact of them equal an earlier
     line. n_links counts links of the row's distinct lines with other distinct lines. classes_sha256 is over
     `line:doc_id:line` of each such line and the first of its class. Null and empty texts have one empty
     line; a null doc_id comes after all others. Equal rows do not precede each other. Extra columns are

@@ -216,6 +216,23 @@ def test_lines_with_an_even_middle_meet(spark, a, b):
     assert [r["n_links"] for r in lines.line_report(documents(spark, [a, b])).collect()] == [1, 1]
 
 
+def test_short_lines(spark):
+    """Exact repeats of any length, and near ones of three characters and more; blank lines stay."""
+    texts = ["All rights reserved.\n\n§\n \nok", "All rights reserved.\n\n§\n \nOK", "All rights reserved!\n\r\nok"]
+    got = {r["doc_id"]: (r["n_removed"], r["n_exact"], r["n_links"]) for r in lines.line_report(documents(spark, texts)).collect()}
+    assert got == {0: (0, 0, 1), 1: (2, 2, 1), 2: (2, 1, 1)}
+    kept = {r["doc_id"]: r["text"] for r in lines.dedup_lines(documents(spark, texts)).collect()}
+    assert kept == {0: texts[0], 1: "\n \nOK", 2: "\r"}
+
+
+def test_links_of_short_lines(spark):
+    rng = random.Random(9)
+    kinds = sorted({"".join(rng.choices("abc-", k=rng.randint(3, 9))) for _ in range(160)})
+    near = {frozenset((a, b)) for i, a in enumerate(kinds) for b in kinds[:i] if distance(a, b) <= 2}
+    got = {r["doc_id"]: r["n_links"] for r in lines.line_report(documents(spark, kinds)).collect()}
+    assert got == {k: sum(x in pair for pair in near) for k, x in enumerate(kinds)}
+
+
 def edited_lines(seed=5):
     rng = random.Random(seed)
     base = ["".join(rng.choices("abcdefgh ", k=rng.randint(20, 60))) for _ in range(12)]
