@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 
 #: Bytes of text worked on at once in one Python worker.
 CHUNK_BYTES = 1 << 19
@@ -19,12 +20,18 @@ PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def in_small_batches(df: DataFrame) -> DataFrame:
-    """df, whose session from now on hands texts to Python in batches of BATCH_ROWS rows unless it has a number set."""
-    conf = df.sparkSession.conf
-    if conf.get(BATCH_CONF, None) is None:
-        conf.set(BATCH_CONF, str(BATCH_ROWS))
-    return df
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within it the session hands texts to Python in batches of BATCH_ROWS rows, unless it has a number set."""
+    conf = spark.conf
+    if conf.get(BATCH_CONF, None) is not None:
+        yield
+        return
+    conf.set(BATCH_CONF, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        conf.unset(BATCH_CONF)
 
 
 def utf8(column: pa.Array) -> list[bytes | None]:

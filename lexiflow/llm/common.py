@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast; callers use it for rows of under 200 bytes, so about 10 MB.
-BROADCAST_ROWS = 50_000
+#: Rows and bytes of their texts that a side may have to be broadcast: 10 MB and 200 bytes a row at most.
+BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 10_000_000
 
 
 def blank_words(text: Column) -> Column:
@@ -27,6 +27,22 @@ def plain_words(text: Column) -> Column:
     )
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has no more than `rows` rows and no more than `size` bytes of strings and binaries."""
+    texts = [F.coalesce(F.octet_length(F.to_json(F.struct(f.name)) if f.dataType.typeName() in ("array", "map", "struct") else F.col(f.name)), F.lit(0)).cast("long")
+             for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct")]
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.sum(sum(texts, F.lit(0).cast("long")))).first()  # one row
+    return n <= rows and (total or 0) <= size
+
+
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has no more than `rows` rows, else df for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """df with a broadcast hint if is_small(df), else df for a shuffled join."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def nested() -> Column:
+    """A whole row as one column, `row`: no name in it can clash with those of an operator.
+
+    `select("row.*")` gives the row back.
+    """
+    return F.struct("*").alias("row")

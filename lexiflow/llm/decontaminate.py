@@ -8,15 +8,17 @@ what does not fit into the document, and the words that stand there are compared
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import plain_words, small_side
+from lexiflow.llm.common import is_small, nested, plain_words, small_side
 from lexiflow.session import checkpoint, table
 
 WINDOW = 10
-#: Windows of items up to which they and the prefix index (about 200 bytes a window) are broadcast: about 10 MB.
+#: Windows of items up to which they and the prefix index are broadcast, if they have no more than 10 MB.
 BROADCAST_WINDOWS = 50_000
+#: Beyond it, words are looked up by a hash of so many values first; those that occur are broadcast, 32 MB at most.
+SLOTS = 1 << 22
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -55,6 +57,10 @@ def prefix_index(docs_words: DataFrame, wins: DataFrame, small: bool) -> DataFra
     return rarest.select(F.col("m.word").alias("anchor"), F.col("m.off").alias("off"), "win").withColumn("w", F.split("win", " ")).withColumn("n", F.size("w"))
 
 
+def slot(word: str) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, one row for each row of docs.
 
@@ -63,7 +69,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     not among the items. Extra columns of either table are ignored. An empty benchmark leaves all clean.
     """
     wins = checkpoint(item_windows(benchmark, window))
-    small = wins.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
+    small = is_small(wins, BROADCAST_WINDOWS)
     words = docs.select("doc_id", plain_words(F.col("text")).alias("words"))
     index = checkpoint(prefix_index(words, wins, small))
     rows = words.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.size("words").alias("n_words"), "words")
@@ -79,9 +85,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
         hits = probes.join(F.broadcast(index.unionByName(end)), fits & (same | (F.col("word") == "")))
         hits = hits.select("rid", "doc_id", "n_words", at, "win").join(F.broadcast(wins), "win", "left")
     else:
-        # A probe takes along only the words that a window around it can cover; the documents' own rows join nothing.
+        # A word that shares no slot with an anchor is no probe. The others take along only the words that a
+        # window around them can cover; the documents' own rows join nothing.
+        slots = index.select(slot("anchor").alias("at_slot")).distinct()
         span = F.greatest(F.col("pos") - F.lit(window - 1), F.lit(0))
-        probes = rows.select("rid", "doc_id", "n_words", "words", F.posexplode("words").alias("pos", "word")).select(
+        probes = rows.select("rid", "doc_id", "n_words", "words", F.posexplode("words").alias("pos", "word"))
+        probes = probes.join(F.broadcast(slots), slot("word") == F.col("at_slot"), "left_semi").select(
             "rid", "doc_id", "n_words", "pos", "word", span.alias("from"), F.slice("words", span + 1, F.lit(2 * window - 1)).alias("near")
         )
         same = F.slice("near", F.greatest(start - F.col("from") + 1, F.lit(1)), F.col("n")) == F.col("w")
@@ -106,8 +115,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The rows of docs without any occurrence of a window; rows that share a doc_id go together, rows without one stay."""
-    gone = checkpoint(contaminated(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small_side(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = checkpoint(contaminated(docs, benchmark, window).where("contaminated").select(F.col("doc_id").alias("gone")).distinct())
+    rows = docs.select(nested(), docs["doc_id"].alias("id"))
+    return rows.join(small_side(gone), F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiflow.llm.arrow import LOWER, in_small_batches, record, slices, utf8
-from lexiflow.session import table
+from lexiflow.llm.arrow import LOWER, record, slices, small_batches, utf8
+from lexiflow.llm.common import small_side
+from lexiflow.session import checkpoint, table
 
 #: The filter is fitted on about so many documents of each language (a seeded sample; see learn()).
 SAMPLE_DOCS = 2_000
@@ -56,13 +57,13 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, keep: int = GRAMS) ->
     Only documents of the folds 1 to 4 with a language teach. Of each language a share is drawn by a hash
     of doc_id so that about sample_docs documents remain; their whole texts are counted.
     """
-    taught = in_small_batches(docs).where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    taught = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in taught.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return [], np.zeros((0, 1 << SLOT_BITS), np.uint64)
     share = docs.sparkSession.createDataFrame([(k, min(1.0, sample_docs / n)) for k, n in sizes.items()], "name string, share double")
-    drawn = taught.join(F.broadcast(share), F.col("lang") == F.col("name")).where(
+    drawn = taught.join(small_side(share), F.col("lang") == F.col("name")).where(
         F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < F.col("share") * 1_000_003
     )
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -86,7 +87,8 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, keep: int = GRAMS) ->
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
     masks = np.zeros(((len(langs) + 63) // 64, 1 << SLOT_BITS), np.uint64)
     # The kept n-grams: at most `keep` for each language, whatever the size of the corpus.
-    best = counted.withColumn("rank", rank).where(F.col("rank") <= keep).select("lang", "gram").toPandas()
+    with small_batches(docs.sparkSession):
+        best = counted.withColumn("rank", rank).where(F.col("rank") <= keep).select("lang", "gram").toPandas()
     for name, g in best.groupby("lang")["gram"]:
         k = langs.index(name)
         for at in slots(g.to_numpy().astype(np.uint32)):
@@ -132,7 +134,8 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 score = np.where(known & (sums > 0), top / np.maximum(sums, 1e-12), 0.0)
                 yield record(schema, part.column("doc_id"), [langs[b] if y else "und" for b, y in zip(best, known, strict=True)], score)
 
-    return in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    with small_batches(docs.sparkSession):
+        return checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double"))
 
 
 def op9_language_id(spark, sf_dir: str) -> DataFrame:

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.arrow import LOWER, Rolling, in_small_batches, mixed, record, slices, utf8, word_spans
-from lexiflow.llm.common import small_side
+from lexiflow.llm.arrow import LOWER, mixed, record, slices, small_batches, utf8
+from lexiflow.llm.common import nested, small_side
 from lexiflow.llm.links import components
 from lexiflow.session import checkpoint, table
 
@@ -29,35 +29,67 @@ BANDS, ROWS = 24, 4
 LANES, BITS = BANDS * ROWS, 4
 #: Pairs are dropped by signature alone this many standard errors below the threshold.
 ERRORS = 5
-#: Members of a bucket that one task compares among themselves, or with as many others.
-GROUP = 512
+#: Members of a bucket, about, that one task compares among themselves, or with as many others.
+GROUP = 1_024
 _random = np.random.default_rng(11)
 TURNS = _random.integers(0, 1 << 32, LANES, np.uint64).astype(np.uint32)
 FACTORS = _random.integers(0, 1 << 32, LANES, np.uint64).astype(np.uint32) | np.uint32(1)
 
 
-def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
-    """For each text the sorted 64-bit hashes of its distinct shingles of `size` words."""
-    joined = b"\n".join(t.translate(LOWER) if t else b"" for t in texts)
-    data = np.frombuffer(joined, np.uint8)
-    starts, ends = word_spans(data)
-    words = Rolling(data.astype(np.uint64) + np.uint64(1)).ranges(starts, ends) if len(starts) else np.zeros(0, np.uint64)
-    edges = np.cumsum([0, *(len(t or b"") + 1 for t in texts)])
-    at = np.searchsorted(starts, edges)
-    rows = Rolling(words)
+class Names(dict):
+    """Words to 16 bytes of a keyed hash each, as two numbers; made when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        digest = hashlib.blake2b(word, digest_size=16, key=b"word").digest()
+        self.digests += digest
+        k = self[word] = len(self)
+        return k
+
+    def __init__(self):
+        super().__init__()
+        self.digests = bytearray()
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    """The words of a text, A-Z in lower case; bytes.split() takes just the six blanks that part words."""
+    return text.translate(LOWER).split() if text else []
+
+
+def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text two 64-bit hashes of its distinct shingles of `size` words, sorted by the first."""
+    names = Names()
+    numbers = [np.array(list(map(names.__getitem__, words_of(t))), np.int64) for t in texts]
+    digests = np.frombuffer(bytes(names.digests), np.uint64).reshape(-1, 2)
     out = []
-    for i in range(len(texts)):
-        a, b = int(at[i]), int(at[i + 1])
-        if b - a >= size:
-            first = np.arange(a, b - size + 1)
-            out.append(np.unique(rows.ranges(first, first + size)))
-        elif b > a:
-            out.append(rows.ranges(np.array([a]), np.array([b])) ^ np.uint64(b - a))
-        else:
-            out.append(np.zeros(0, np.uint64))
+    for number in numbers:
+        n, lanes = len(number), digests[number]
+        width = min(size, n)  # a shorter text is one shingle
+        key = np.full((n - width + 1 if n else 0, 2), width, np.uint64)
+        for k in range(width):
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + lanes[k : n - width + 1 + k])
+        first, place = np.unique(key[:, 0], return_index=True)
+        out.append((first, key[place, 1]))
     return out
 
 
+def exact_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[np.ndarray]:
+    """For each text the sorted numbers of its distinct shingles; among these texts, equal numbers are equal words."""
+    known: dict[bytes, int] = {}
+    words = [np.array([known.setdefault(w, len(known) + 1) for w in words_of(t)], np.int64) for t in texts]
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    number = np.concatenate(words)
+    first = np.arange(len(number))
+    owner = np.repeat(np.arange(len(words)), ends - starts)
+    name = number
+    for k in range(1, size):
+        # The k-th next word, 0 beyond the end of the text; pairs of numbers are ranked, so that they stay small.
+        following = np.where(first + k < ends[owner], number[np.minimum(first + k, len(number) - 1)], 0)
+        name = np.unique(name * (len(known) + 1) + following, return_inverse=True)[1].astype(np.int64) + 1
+    whole = (first + size <= ends[owner]) | (first == starts[owner])  # a shorter text is one shingle
+    return [np.unique(name[a:b][whole[a:b]]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+
+
 def minima(shingles: np.ndarray) -> np.ndarray:
     low = np.full(LANES, 0xFFFFFFFF, np.uint32)
     x = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -100,10 +132,10 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 n, keys, bands, sigs, tags = [], [], [], [], []
-                for s in shingle_sets(utf8(part.column("text")), size):
+                for s, other in shingle_sets(utf8(part.column("text")), size):
                     low = minima(s)
                     n.append(len(s))
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    keys.append(hashlib.blake2b(s.tobytes() + other.tobytes(), digest_size=16).digest() if len(s) else None)
                     band = band_keys(low)
                     bands.append(band if len(s) else None)
                     tags.append(band.astype(np.uint32).tobytes() if len(s) else None)
@@ -149,44 +181,50 @@ def groups(batches, keys: list[str]):
         yield rest
 
 
+def pairs_of(group: pa.Table, similarity: int):
+    """(i, later members that may be linked with i) of a meeting; of two blocks only pairs across them."""
+    crossed = group.column("p")[0].as_py() != group.column("q")[0].as_py()
+    block = np.asarray(group.column("block"))
+    m = Members(group.column("key")[0].as_py(), *(group.column(c).to_pylist() for c in ("n", "sig", "tags")), similarity)
+    for i in range(group.num_rows - 1):
+        later = np.arange(i + 1, group.num_rows)
+        later = m.likely(i, later[block[later] != block[i]] if crossed else later)
+        if len(later):
+            yield i, later
+
+
 def meetings(classes: DataFrame, similarity: int) -> DataFrame:
-    """key, p, q, id, n, sig and tags: who is compared where.
+    """key, p, q, block, id, n, sig and tags: who has someone to be compared with where.
 
-    A bucket of which some members may be linked is cut into blocks; each pair of blocks meets in one task.
+    A bucket is dealt to blocks of about GROUP members by a hash of their ids before anything is compared; each
+    pair of blocks meets in one task.
     """
     buckets = classes.select(F.explode("bands").alias("key"), "id")
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1).select(F.col("key").alias("k"))
-    members = buckets.join(shared, F.col("key") == F.col("k"), "left_semi")
+    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > 1)
+    shared = shared.select(F.col("key").alias("k"), F.ceil(F.col("m") / GROUP).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int")
+    members = buckets.join(shared, F.col("key") == F.col("k")).select("key", "id", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    members = members.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id")
     known = classes.select(F.col("id").alias("i"), "n", "sig", "tags")
-    rows = members.join(known, F.col("id") == F.col("i")).select("key", "id", "n", "sig", "tags")
-    schema = pa.schema([("key", pa.int64()), ("id", pa.int64()), ("n", pa.int64()), ("sig", pa.binary()), ("tags", pa.binary()), ("block", pa.int32()), ("blocks", pa.int32())])
+    rows = members.join(known, F.col("id") == F.col("i")).select("key", "p", "q", "block", "id", "n", "sig", "tags")
 
     def run(batches):
         done: list[pa.Table] = []
-        for group in groups(batches, ["key"]):
-            m = Members(group.column("key")[0].as_py(), *(group.column(c).to_pylist() for c in ("n", "sig", "tags")), similarity)
+        for group in groups(batches, ["key", "p", "q"]):
             needed = np.zeros(group.num_rows, bool)
-            for i in range(group.num_rows - 1):
-                later = m.likely(i, np.arange(i + 1, group.num_rows))
+            for i, later in pairs_of(group, similarity):
+                needed[i] = True
                 needed[later] = True
-                needed[i] |= len(later) > 0
             if needed.any():
-                kept = group.filter(pa.array(needed))
-                at = np.arange(kept.num_rows, dtype=np.int32) // GROUP
-                kept = kept.append_column("block", pa.array(at)).append_column("blocks", pa.array(np.full(len(at), at[-1] + 1, np.int32)))
-                done.append(kept)
+                done.append(group.filter(pa.array(needed)))
             if len(done) > 500:
                 yield from pa.concat_tables(done).combine_chunks().to_batches()
                 done = []
         if done:
-            yield from pa.concat_tables(done).combine_chunks().cast(schema).to_batches()
+            yield from pa.concat_tables(done).combine_chunks().to_batches()
 
-    dealt = rows.repartition("key").sortWithinPartitions("key")
-    placed = dealt.mapInArrow(run, "key long, id long, n long, sig binary, tags binary, block int, blocks int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    return placed.withColumn("other", other).select(
-        "key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "n", "sig", "tags"
-    )
+    at = ["key", "p", "q"]
+    return rows.repartition(*at).sortWithinPartitions(*at).mapInArrow(run, "key long, p int, q int, block int, id long, n long, sig binary, tags binary")
 
 
 def linked(meets: DataFrame, docs: DataFrame, similarity: int, size: int) -> DataFrame:
@@ -197,10 +235,8 @@ def linked(meets: DataFrame, docs: DataFrame, similarity: int, size: int) -> Dat
 
     def run(batches):
         for group in groups((x for batch in batches for x in slices(batch)), ["key", "p", "q"]):
-            ids, block = group.column("id").to_pylist(), np.array(group.column("block").to_pylist())
-            crossed = group.column("p")[0].as_py() != group.column("q")[0].as_py()
-            m = Members(group.column("key")[0].as_py(), *(group.column(c).to_pylist() for c in ("n", "sig", "tags")), similarity)
-            sets = shingle_sets(utf8(group.column("text").combine_chunks()), size)
+            ids = group.column("id").to_pylist()
+            sets = exact_sets(utf8(group.column("text").combine_chunks()), size)
             top, found = list(range(len(ids))), []
 
             def root(i: int, top: list[int]) -> int:
@@ -209,9 +245,8 @@ def linked(meets: DataFrame, docs: DataFrame, similarity: int, size: int) -> Dat
                     i = top[i]
                 return i
 
-            for i in range(len(ids) - 1):
-                later = np.arange(i + 1, len(ids))
-                for j in m.likely(i, later[block[later] != block[i]] if crossed else later).tolist():
+            for i, later in pairs_of(group, similarity):
+                for j in later.tolist():
                     x, y = root(i, top), root(j, top)
                     if x != y and similar(sets[i], sets[j], similarity):
                         top[y] = x
@@ -238,13 +273,14 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = S
     doc_id with other texts, the sets that no smaller doc_id has are compared by one of them, chosen by its
     key. Extra columns are ignored; an empty table gives an empty result.
     """
-    signed = checkpoint(signatures(in_small_batches(docs), size))
-    known = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    least = known.groupBy("set_key").agg(F.min("doc_id").alias("least"))
-    stand_in = least.groupBy("least").agg(F.min("set_key").alias("k"))
-    first = known.join(stand_in, (F.col("set_key") == F.col("k")) & (F.col("doc_id") == F.col("least")))
-    classes = first.select(F.col("doc_id").alias("id"), "n", "bands", "sig", "tags").dropDuplicates(["id"])
-    links = checkpoint(linked(meetings(classes, similarity), docs, similarity, size))
+    with small_batches(docs.sparkSession):
+        signed = checkpoint(signatures(docs, size))
+        known = signed.where(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+        least = known.groupBy("set_key").agg(F.min("doc_id").alias("least"))
+        stand_in = least.groupBy("least").agg(F.min("set_key").alias("k"))
+        first = known.join(stand_in, (F.col("set_key") == F.col("k")) & (F.col("doc_id") == F.col("least")))
+        classes = first.select(F.col("doc_id").alias("id"), "n", "bands", "sig", "tags").dropDuplicates(["id"])
+        links = checkpoint(linked(meetings(classes, similarity), docs, similarity, size))
     joined = components(links).withColumnRenamed("id", "member")
     reps = least.join(joined, F.col("least") == F.col("member"), "left").select(F.col("set_key").alias("k"), F.coalesce("component", "least").alias("component"))
     return (
@@ -257,8 +293,9 @@ def near_duplicates(docs: DataFrame, similarity: int = SIMILARITY, size: int = S
 
 def one_of_each(docs: DataFrame, similarity: int = SIMILARITY, size: int = SHINGLE) -> DataFrame:
     """The rows of docs that near_duplicates() keeps, with all their columns; rows that share a doc_id go together."""
-    gone = checkpoint(near_duplicates(docs, similarity, size).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small_side(gone), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    gone = checkpoint(near_duplicates(docs, similarity, size).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct())
+    rows = docs.select(nested(), docs["doc_id"].cast("long").alias("id"))
+    return rows.join(small_side(gone), F.col("id") == F.col("gone"), "left_anti").select("row.*")
 
 
 def op3_minhash(spark, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm.arrow import Rolling, word_spans
-from lexiflow.llm.repeats import Strings, Unit, marked_runs, repeated, repeated_minimisers, sha256
+from lexiflow.llm.repeats import Strings, Unit, marked_runs, removed_units, repeated, repeated_minimisers
 from lexiflow.session import table
 
 WORDS = Unit(words=True, window=20, k=3)
@@ -40,7 +40,7 @@ def sorted_windows(strings: Strings, unit: Unit) -> list[np.ndarray]:
         later = np.flatnonzero(lead != np.arange(len(lead)))
     nth = at - first[owner]
     place = strings.start[owner] + nth
-    doc = strings.doc[owner]
+    doc = strings.row()[owner]
     later = later[(doc[later] != doc[lead[later]]) | (place[later] != place[lead[later]])]
     return marked_runs(strings, owner[later], nth[later], unit)
 
@@ -66,33 +66,23 @@ def by_text(text: bytes, starts, ends, at, window: int) -> np.ndarray:
     return np.array([seen.setdefault(text[starts[a] : ends[a + window - 1]], i) for i, a in enumerate(at.tolist())], np.int64)
 
 
-def kept_words(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, int, str]:
-    words = text.split()
-    kept, at, removed = [], 0, 0
-    for a, b in ranges:
-        b = min(b, len(words))
-        kept += words[at:a]
-        removed += max(0, b - a)
-        at = b
-    return len(words), removed, len(ranges), sha256(b" ".join([*kept, *words[at:]]))
-
-
 def dedup_passages(docs: DataFrame, unit: Unit = WORDS) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 for each row of docs.
+    """doc_id, n, ranges and kept for each row of docs: its words, the ranges {a, b} of removed ones, and the
+    others joined by one space (UTF-8).
 
     Each word in a window of twenty words that also starts earlier (smaller doc_id, or the same document
     further up) is removed. Null, empty and short texts lose nothing. A null doc_id comes after all others.
-    Rows that share a doc_id are versions of one document: none precedes the others at the same start, and
-    what is removed in one is removed there in all. Extra columns are ignored; an empty table gives an empty
-    result.
+    Rows that share a doc_id, or have none, are documents of their own, which follow each other by hashes of
+    their texts; of equal rows one comes before the others. Extra columns are ignored; an empty table gives
+    an empty result.
     """
-    return repeated(docs, unit, sorted_windows, kept_words).select(
-        "doc_id", F.col("n").alias("n_words"), F.col("removed").alias("n_removed"), F.col("kept").alias("kept_sha256")
-    )
+    return repeated(docs, unit, sorted_windows)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_passages(table(spark, sf_dir, "documents"))
+    return dedup_passages(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.col("n").alias("n_words"), removed_units().alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 OP10_SQL = r"""

@@ -12,20 +12,20 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from lexiflow.llm.arrow import PLAIN, in_small_batches, record, slices, utf8
-from lexiflow.llm.common import small_side
-from lexiflow.session import checkpoint, table
+from lexiflow.llm.arrow import PLAIN, record, slices, small_batches, utf8
+from lexiflow.llm.common import nested, small_side
+from lexiflow.llm.shrink import strength
+from lexiflow.session import checkpoint, table, written
 
 #: Labelled documents, drawn by a hash of doc_id, that the classifier is fitted on at most.
 SAMPLE_DOCS = 12_000
 #: Features kept at most: those that tell most of a label by the G statistic, and in at least LEAST_DOCS documents.
 FEATURES, LEAST_GAIN, LEAST_DOCS = 4_000, 16.0, 5
-#: Strength of a site's prior, in documents, where sites do not differ.
-MAX_STRENGTH = 10_000.0
 #: Words also count by their pieces of so many bytes, so that forms of one word share their evidence.
 PIECES = (5, 7)
 SYMBOLS = b"#*$%&|<>!"
@@ -184,63 +184,73 @@ def train(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
 
     # At most sample_docs rows of at most FEATURES small numbers.
     got = sample.mapInArrow(present, "low boolean, toxic boolean, ids array<int>").toArrow().combine_chunks()
-    lists = got.column("ids").to_pylist()
-    ids = np.array([i for x in lists for i in x], np.int64)
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    fitted = [logistic(ids, rows, np.array(got.column(c).to_pylist(), float), len(words)) for c in ("low", "toxic")]
+    lists = got.column("ids").combine_chunks()
+    ids = np.asarray(lists.flatten(), np.int64)
+    rows = np.repeat(np.arange(len(lists)), np.asarray(pa.compute.list_value_length(lists), np.int64))
+    fitted = [logistic(ids, rows, np.asarray(got.column(c).cast(pa.float64())), len(words)) for c in ("low", "toxic")]
     return {"words": words, "weights": [f[:-1] for f in fitted], "base": [float(f[-1]) for f in fitted]}
 
 
-def with_evidence(docs: DataFrame, model: dict) -> DataFrame:
-    """docs with _p_bad, the probability that a row's text alone gives for being low or toxic."""
+def with_evidence(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
+    """docs with p_bad, the probability that a row's text alone gives for being low or toxic; docs has no such column."""
     words, weights, base = model["words"], model["weights"], model["base"]
 
     def run(batches):
         finder = Finder(words)
         for batch in batches:
-            for part in slices(batch):
-                rows, ids = finder(utf8(part.column("text")))
+            for part in slices(batch, text):
+                rows, ids = finder(utf8(part.column(text)))
                 odds = np.stack([np.bincount(rows, weights=w[ids], minlength=part.num_rows) + b for w, b in zip(weights, base, strict=True)], axis=1)
                 good = np.prod(1 / (1 + np.exp(np.clip(odds, -30, 30))), axis=1)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 - good)], names=[*part.schema.names, "_p_bad"])
-
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("_p_bad", DoubleType())]))
-
-
-def strength(groups: DataFrame, above: Column) -> float:
-    """Documents that the prior of a level is worth: by moments, from how group means depart from `above`."""
-    m = F.col("s") / F.col("n")
-    mean, spread = groups.agg(F.sum("s") / F.sum("n"), F.sum(F.col("n") * F.pow(m - above, 2)) / F.sum("n")).first()  # one row
-    return min(MAX_STRENGTH, max(2.0, mean * (1 - mean) / spread - 1)) if mean is not None and spread and spread > 0 else MAX_STRENGTH
-
-
-def judged(docs: DataFrame, labels: DataFrame, host: str, path: str, sample_docs: int) -> DataFrame:
-    """docs with _p_bad, _site and _score: evidence against a row, expectation of its site, posterior of being good."""
-    model = train(in_small_batches(docs), labels, sample_docs)
-    names = docs.select(F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "text")
-    # Texts are read twice rather than carried: what goes to disk in between is one number a row.
-    got = checkpoint(with_evidence(names, model).select("host", "path", "_p_bad"))
-    paths = got.groupBy("host", "path").agg(F.sum("_p_bad").alias("s"), F.count(F.lit(1)).alias("n"))
-    hosts = paths.groupBy("host").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    mean = (hosts.agg(F.sum("s") / F.sum("n")).first()[0]) or 0.0  # one row
-    host_k = strength(hosts, F.lit(mean))
-    rates = paths.join(hosts.select(F.col("host").alias("h"), F.col("s").alias("hs"), F.col("n").alias("hn")), F.col("host").eqNullSafe(F.col("h")))
-    path_k = strength(rates, (F.col("hs") + mean * host_k) / (F.col("hn") + host_k))
-    sites = checkpoint(
-        rates.select(F.col("h").alias("_h"), F.col("path").alias("_path"), F.col("s").alias("_s"), F.col("n").alias("_n"), F.col("hs").alias("_hs"), F.col("hn").alias("_hn"))
-    )
-    own = F.col("_p_bad")
-    # A document does not count among its own site.
-    prior = (F.col("_hs") - own + mean * host_k) / (F.col("_hn") - 1 + host_k)
-    site = (F.col("_s") - own + prior * path_k) / (F.col("_n") - 1 + path_k)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(1 - good)], names=[*part.schema.names, "p_bad"])
 
-    def logit(p: Column) -> Column:
-        q = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
-        return F.log(q / (1 - q))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("p_bad", DoubleType())]))
 
-    odds = logit(own) + logit(F.col("_site")) - logit(F.lit(mean))
-    at_site = F.col(host).cast("string").eqNullSafe(F.col("_h")) & F.col(path).cast("string").eqNullSafe(F.col("_path"))
-    return with_evidence(docs, model).join(small_side(sites), at_site).withColumn("_site", site).withColumn("_score", 1 / (1 + F.exp(odds)))
+
+def site_rates(known: DataFrame) -> tuple[DataFrame, float, float, float]:
+    """The sites of known (host, path, p_bad): h, p, s, n, hs, hn, a row for each path with the sums and numbers of it and of its host.
+
+    With it come the mean of all and the strengths of the hosts' and of the paths' priors.
+    """
+    paths = known.groupBy("host", "path").agg(F.sum("p_bad").alias("s"), F.count(F.lit(1)).alias("n"), F.sum(F.col("p_bad") * F.col("p_bad")).alias("q"))
+    hosts = paths.groupBy(F.col("host").alias("h")).agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
+    rates = checkpoint(paths.join(hosts, F.col("host").eqNullSafe(F.col("h"))).select("h", F.col("path").alias("p"), "s", "n", "q", "hs", "hn"))
+    n, hn = F.col("n").cast("double"), F.col("hn").cast("double")
+    a = rates.agg(F.sum("s"), F.sum("n"), F.sum("q"), F.count(F.lit(1)), F.sum(n * n / hn), F.sum(F.col("s") * F.col("s") / n), F.sum(1 / n)).first()  # one row
+    b = hosts.agg(F.count(F.lit(1)), F.sum(hn * hn), F.sum(F.col("hs") * F.col("hs") / hn), F.sum(1 / hn)).first()  # one row
+    s, d, q, n_paths, squares, between, inverse = (float(x or 0) for x in a)
+    n_hosts, host_squares, host_between, host_inverse = (float(x or 0) for x in b)
+    if not d:
+        return rates, 0.0, 0.0, 0.0
+    mean = s / d
+    host_k = strength(d, n_hosts - 1, host_squares / d, host_between - s * mean, max(0.0, q / d - mean * mean), host_inverse)
+    inside = max(0.0, (q - host_between) / (d - n_hosts)) if d > n_hosts else 0.0  # variance of a document around its host
+    path_k = strength(d, n_paths - n_hosts, squares, between - host_between, inside, inverse)
+    return rates, mean, host_k, path_k
+
+
+def logit(p: Column) -> Column:
+    q = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
+    return F.log(q / (1 - q))
+
+
+def posterior(known: DataFrame) -> DataFrame:
+    """known (host, path, p_bad and others) with site, the rejection rate that a row's site lets expect, and score.
+
+    A document does not count among its own site. score is the probability of being good, given both.
+    """
+    rates, mean, host_k, path_k = site_rates(known)
+    own = F.col("p_bad")
+    prior = (F.col("hs") - own + mean * host_k) / (F.col("hn") - 1 + host_k)
+    site = (F.col("s") - own + prior * path_k) / (F.col("n") - 1 + path_k)
+    odds = logit(own) + logit(F.col("site")) - logit(F.lit(mean))
+    at_site = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+    joined = known.join(small_side(rates), at_site).withColumn("site", F.greatest(F.lit(0.0), site))
+    return joined.withColumn("score", 1 / (1 + F.exp(odds))).select(*known.columns, "site", "score")
+
+
+def named(docs: DataFrame, host: str, path: str) -> list[Column]:
+    return [docs[host].cast("string").alias("host"), docs[path].cast("string").alias("path")]
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", least: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
@@ -252,13 +262,21 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     Repeated rows are judged, and counted for their sites, each. Extra columns of either table are ignored.
     An empty docs gives an empty result; without labels every text has even odds in both models.
     """
-    known = judged(docs.select("doc_id", "text", host, path), labels, host, path, sample_docs)
-    return known.select("doc_id", (1 - F.col("_p_bad")).alias("evidence"), F.col("_site").alias("site"), F.col("_score").alias("score")).withColumn("kept", F.col("score") >= least)
+    with small_batches(docs.sparkSession):
+        model = train(docs, labels, sample_docs)
+        known = checkpoint(with_evidence(docs.select(docs["doc_id"], *named(docs, host, path), docs["text"]), model).drop("text"))
+    return posterior(known).select("doc_id", (1 - F.col("p_bad")).alias("evidence"), "site", "score", (F.col("score") >= least).alias("kept"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", least: float = 0.5, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """The rows of docs that classify() keeps, with all their columns."""
-    return judged(docs, labels, host, path, sample_docs).where(F.col("_score") >= least).select(*docs.columns)
+    """The rows of docs that classify() keeps, with all their columns, whatever those are called.
+
+    The rows are written once with their evidence, so that no text is judged twice or shuffled.
+    """
+    with small_batches(docs.sparkSession):
+        model = train(docs, labels, sample_docs)
+        known = written(with_evidence(docs.select(nested(), *named(docs, host, path), docs["text"].alias("read")), model, "read").drop("read"))
+    return posterior(known).where(F.col("score") >= least).select("row.*")
 
 
 def op1_quality_classifier(spark, sf_dir: str) -> DataFrame:

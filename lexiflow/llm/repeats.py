@@ -8,17 +8,16 @@ of documents are reduced to the earliest; the others are known to repeat it.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.arrow import Rolling, in_small_batches, record, slices, utf8, word_spans
+from lexiflow.llm.arrow import Rolling, record, slices, utf8, word_spans
 
 #: Bytes of super-k-mers that are packed together; they are cut from CHUNK_BYTES of text at a time.
 BLOCK_BYTES = 24 << 20
@@ -26,6 +25,10 @@ BLOCK_BYTES = 24 << 20
 ZSTD_LEVEL = 5
 #: Bits of a key that hold the place of a k-mer; the rest is its hash.
 PLACE_BITS = 28
+#: Bytes of text for each bucket, so that what one task sorts does not grow with the corpus.
+BUCKET_BYTES = 16 << 20
+#: Equal rows that are given back at once.
+COPIES = 10_000
 #: Stands for a null doc_id, which comes after all others.
 LAST = (1 << 63) - 1
 
@@ -46,27 +49,52 @@ class Unit:
         """The k units of a string that begin at a byte."""
         return b" ".join(text[offset:].split(b" ", self.k)[: self.k]) if self.words else text[offset : offset + self.k]
 
+    def without(self, text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, list[tuple[int, int]], bytes]:
+        """The number of units of a text, the ranges and what is left of it; words are joined by one space."""
+        units = text.split() if self.words else text
+        kept, at = [], 0
+        for a, b in ranges:
+            kept.append(units[at:a])
+            at = b
+        kept.append(units[at:])
+        return len(units), ranges, b" ".join([w for part in kept for w in part]) if self.words else b"".join(kept)
+
     def spans(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the units of a byte array start and end."""
         return word_spans(data) if self.words else (np.arange(len(data)), np.arange(1, len(data) + 1))
 
 
+#: What names a row: its doc_id and, where doc_ids do not tell all rows apart, two hashes of its text.
+KEY = ("doc", "v", "w")
+
+
 @dataclass
 class Strings:
-    """Super-k-mers in the order of their documents; start counts units, offset the bytes before the minimiser."""
+    """Super-k-mers in the order of their rows; start counts units, offset the bytes before the minimiser."""
 
     doc: np.ndarray
+    v: np.ndarray
+    w: np.ndarray
     start: np.ndarray
     minimiser: np.ndarray
     offset: np.ndarray
     text: list[bytes]
 
     def take(self, at: np.ndarray) -> Strings:
-        return Strings(*(getattr(self, c)[at] for c in ("doc", "start", "minimiser", "offset")), [self.text[i] for i in at.tolist()])
+        return Strings(*(getattr(self, c)[at] for c in (*KEY, "start", "minimiser", "offset")), [self.text[i] for i in at.tolist()])
+
+    def in_order(self) -> Strings:
+        return self.take(np.lexsort((self.start, self.w, self.v, self.doc)))
+
+    def row(self) -> np.ndarray:
+        """A number for each string's row; the strings are in order."""
+        return np.cumsum(np.concatenate(([False], np.any([(x := getattr(self, c))[1:] != x[:-1] for c in KEY], axis=0)))) if self.text else np.zeros(0, np.int64)
 
 
-COLUMNS = (("doc", np.int64), ("start", np.int32), ("offset", np.int32), ("length", np.int32))
-MARKS = (("doc", np.int64), ("a", np.int32), ("b", np.int32))
+COLUMNS = (("doc", np.int64), ("v", np.int64), ("w", np.int64), ("start", np.int32), ("offset", np.int32), ("length", np.int32))
+#: Of these, neighbours mostly differ by little.
+STEADY = (*KEY, "start")
+MARKS = (("doc", np.int64), ("v", np.int64), ("w", np.int64), ("a", np.int32), ("b", np.int32))
 
 
 def squeezed(raw: bytes) -> bytes:
@@ -79,12 +107,11 @@ def restored(blob: bytes) -> bytes:
 
 def packed(strings: Strings, marks: list[np.ndarray]) -> bytes:
     """One compressed blob: counts, columns, marks already known, and the text."""
-    arrays = [strings.doc, strings.start, strings.offset, np.array([len(t) for t in strings.text])]
+    arrays = [strings.doc, strings.v, strings.w, strings.start, strings.offset, np.array([len(t) for t in strings.text])]
     body = [np.array([len(strings.text), len(marks[0])], np.int64).tobytes()]
-    # Differences of neighbours are mostly small.
     for (name, kind), x in zip(COLUMNS, arrays, strict=True):
         x = x.astype(kind)
-        body.append((np.diff(x, prepend=kind(0)) if name in ("doc", "start") else x).tobytes())
+        body.append((np.diff(x, prepend=kind(0)) if name in STEADY else x).tobytes())
     body += [x.astype(kind).tobytes() for (_, kind), x in zip(MARKS, marks, strict=True)]
     return squeezed(b"".join([*body, *strings.text]))
 
@@ -95,7 +122,7 @@ def unpacked(blob: bytes, unit: Unit) -> tuple[Strings, list[np.ndarray]]:
     at, got, marks = 16, {}, []
     for name, kind in COLUMNS:
         x = np.frombuffer(raw, kind, n, at)
-        got[name] = np.cumsum(x, dtype=kind) if name in ("doc", "start") else x
+        got[name] = np.cumsum(x, dtype=kind) if name in STEADY else x
         at += x.nbytes
     for _, kind in MARKS:
         marks.append(np.frombuffer(raw, kind, m, at))
@@ -109,7 +136,7 @@ def unpacked(blob: bytes, unit: Unit) -> tuple[Strings, list[np.ndarray]]:
 
 
 def joined(parts: list[Strings]) -> Strings:
-    columns = [np.concatenate([getattr(s, c) for s in parts]) for c in ("doc", "start", "minimiser", "offset")]
+    columns = [np.concatenate([getattr(s, c) for s in parts]) for c in (*KEY, "start", "minimiser", "offset")]
     return Strings(*columns, [t for s in parts for t in s.text])
 
 
@@ -122,8 +149,8 @@ def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
     return x if span == width else np.minimum(x[: len(x) - (width - span)], x[width - span :])
 
 
-def cut(docs: list[int], texts: list[bytes], unit: Unit) -> Strings:
-    """The super-k-mers of whole documents, which are given in the order of docs."""
+def cut(keys: list[np.ndarray], texts: list[bytes], unit: Unit) -> Strings:
+    """The super-k-mers of whole rows, whose doc, v and w are in keys."""
     joined = b"\n".join(texts)
     data = np.frombuffer(joined, np.uint8)
     starts, ends = unit.spans(data)
@@ -136,7 +163,7 @@ def cut(docs: list[int], texts: list[bytes], unit: Unit) -> Strings:
     n = len(starts)
     empty = np.zeros(0, np.int64)
     if n < unit.window:
-        return Strings(empty, empty, empty, empty, [])
+        return Strings(*[empty] * 6, [])
     at = np.arange(n - unit.k + 1)
     hashes = Rolling(symbols).ranges(at, at + unit.k)
     place = np.uint64((1 << PLACE_BITS) - 1)
@@ -147,7 +174,7 @@ def cut(docs: list[int], texts: list[bytes], unit: Unit) -> Strings:
     inside = windows + unit.window <= last[owner]
     windows, owner, least = windows[inside], owner[inside], least[inside]
     if not len(windows):
-        return Strings(empty, empty, empty, empty, [])
+        return Strings(*[empty] * 6, [])
     new = np.concatenate(([True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1]) | (windows[1:] != windows[:-1] + 1)))
     head = np.flatnonzero(new)
     tail = np.concatenate((head[1:], [len(windows)])) - 1
@@ -157,38 +184,41 @@ def cut(docs: list[int], texts: list[bytes], unit: Unit) -> Strings:
     lead += (a - lead) & ~np.int64(place) if n > place else 0
     begin, end = starts[a], ends[b - 1]
     text = [joined[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True)]
-    return Strings(np.array(docs, np.int64)[who], a - first[who], (least[head] >> np.uint64(PLACE_BITS)).astype(np.int64), starts[lead] - begin, text)
+    return Strings(*(k[who] for k in keys), a - first[who], (least[head] >> np.uint64(PLACE_BITS)).astype(np.int64), starts[lead] - begin, text)
 
 
 def earliest(strings: Strings) -> tuple[np.ndarray, np.ndarray]:
     """Places of the strings that no earlier one equals, and of those that an earlier one equals.
 
-    strings stand in the order of (doc, start). Equal strings at one doc and start are all kept.
+    strings are in order. What stands at one place twice is of equal rows and is given once.
     """
     seen: dict[bytes, int] = {}
-    doc, start = strings.doc.tolist(), strings.start.tolist()
+    row, start = strings.row().tolist(), strings.start.tolist()
     keep, again = [], []
     for i, t in enumerate(strings.text):
         k = seen.setdefault(t, i)
-        (keep if k == i or (doc[k], start[k]) == (doc[i], start[i]) else again).append(i)
+        if k == i:
+            keep.append(i)
+        elif (row[k], start[k]) != (row[i], start[i]):
+            again.append(i)
     return np.array(keep, np.int64), np.array(again, np.int64)
 
 
 def whole(strings: Strings, at: np.ndarray, unit: Unit) -> list[np.ndarray]:
     """Marks over all units of the strings at these places."""
     n = np.array([strings.text[i].count(b" ") + 1 if unit.words else len(strings.text[i]) for i in at.tolist()], np.int64)
-    return [strings.doc[at], strings.start[at], strings.start[at] + n]
+    return [*(getattr(strings, c)[at] for c in KEY), strings.start[at], strings.start[at] + n]
 
 
 def marked_runs(strings: Strings, owner: np.ndarray, nth: np.ndarray, unit: Unit) -> list[np.ndarray]:
     """Marks for flagged windows: the string of each and its number there, in rising order."""
     if not len(owner):
-        return [np.zeros(0, np.int64)] * 3
+        return [np.zeros(0, np.int64)] * len(MARKS)
     new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (nth[1:] != nth[:-1] + 1)))
     head = np.flatnonzero(new)
     tail = np.concatenate((head[1:], [len(owner)])) - 1
     s = owner[head]
-    return [strings.doc[s], strings.start[s] + nth[head], strings.start[s] + nth[tail] + unit.window]
+    return [*(getattr(strings, c)[s] for c in KEY), strings.start[s] + nth[head], strings.start[s] + nth[tail] + unit.window]
 
 
 def repeated_minimisers(strings: Strings) -> np.ndarray:
@@ -198,12 +228,11 @@ def repeated_minimisers(strings: Strings) -> np.ndarray:
 
 
 def super_kmers(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
-    """(bucket, blob): the packed super-k-mers of docs (doc, text)."""
+    """(bucket, blob): the packed super-k-mers of docs (doc, v, w, text)."""
     schema = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def blobs(parts: list[Strings]):
-        strings = joined(parts)
-        strings = strings.take(np.lexsort((strings.start, strings.doc)))
+        strings = joined(parts).in_order()
         keep, again = earliest(strings)
         marks = whole(strings, again, unit)
         mark_bucket = strings.minimiser[again] % buckets
@@ -224,8 +253,8 @@ def super_kmers(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
         parts, size = [], 0
         for batch in batches:
             for part in slices(batch):
-                part = part.take(pa.compute.sort_indices(part.column("doc")))
-                parts.append(cut(part.column("doc").to_pylist(), [unit.canonical(t) for t in utf8(part.column("text"))], unit))
+                keys = [np.asarray(part.column(c)) for c in KEY]
+                parts.append(cut(keys, [unit.canonical(t) for t in utf8(part.column("text"))], unit))
                 size += sum(map(len, parts[-1].text))
                 if size >= BLOCK_BYTES:
                     yield from blobs(parts)
@@ -236,56 +265,80 @@ def super_kmers(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-def repeated(docs: DataFrame, unit: Unit, resolve: Callable[[Strings, Unit], list[np.ndarray]], digest: Callable) -> DataFrame:
-    """doc_id, n, removed, spans and kept for each row of docs, n and removed in units.
+def measured(docs: DataFrame) -> tuple[int, bool]:
+    """Bytes of all texts, and whether every row has a doc_id of its own."""
+    ids = docs.groupBy(F.col("doc_id").cast("long").alias("d")).agg(F.sum(F.octet_length("text").cast("long")).alias("size"), F.count(F.lit(1)).alias("n"))
+    size, shared = ids.agg(F.sum("size"), F.count_if((F.col("n") > 1) | F.col("d").isNull())).first()  # one row
+    return size or 0, not shared
 
-    resolve(strings, unit) marks the windows of one bucket's distinct strings, in the order of (doc, start),
-    that repeat an earlier one. digest(text, ranges) gives (n, removed, spans, kept). A row is named by its
-    doc_id: rows that share one are versions of one document, of which none comes before the others at the
-    same start, and a range that is removed in one is removed there in all.
+
+def repeated(docs: DataFrame, unit: Unit, resolve: Callable[[Strings, Unit], list[np.ndarray]]) -> DataFrame:
+    """doc_id, n, ranges and kept for each row of docs, n and ranges (of {a, b}) in units, kept as bytes.
+
+    resolve(strings, unit) marks the windows of one bucket's distinct strings, which are in order, that repeat
+    an earlier one. Every row is a document of its own. They follow each other by doc_id, those without one
+    last; rows that share a doc_id, or have none, by two hashes of their text. Equal rows are worked on once;
+    all but one of them repeat it from their first window to their last.
     """
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    named = in_small_batches(docs).select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"),
-        "text",
-    )
-    schema = pa.schema([("doc", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+    size, unique = measured(docs)
+    buckets = max(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES)
+    text = F.coalesce("text", F.lit(""))
+    versions = [F.lit(0).cast("long")] * 2 if unique else [F.xxhash64(text), F.xxhash64(F.lit(unit.k), text)]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), *(x.alias(c) for x, c in zip(versions, KEY[1:], strict=True))]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, "text")
+    schema = pa.schema([("doc", pa.int64()), ("v", pa.int64()), ("w", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
 
     def run(group: pa.Table) -> pa.Table:
         got = [unpacked(b, unit) for b in group.column("blob").to_pylist()]
         strings = joined([s for s, _ in got])
-        marks = [[m[i] for _, m in got] for i in range(3)]
+        marks = [[m[i] for _, m in got] for i in range(len(MARKS))]
         del got
-        strings = strings.take(np.lexsort((strings.start, strings.doc)))
+        strings = strings.in_order()
         keep, again = earliest(strings)
         more = [whole(strings, again, unit), resolve(strings.take(keep), unit)]
         columns = [np.concatenate([*x, *(m[i] for m in more)]) for i, x in enumerate(marks)]
         return pa.Table.from_arrays([pa.array(x, f.type, safe=False) for x, f in zip(columns, schema, strict=True)], schema=schema)
 
-    blobs = super_kmers(named.where(F.col("text").isNotNull()).select("doc", "text"), unit, buckets)
-    ranges = blobs.groupBy("bucket").applyInArrow(run, "doc long, a int, b int")
-    per_doc = ranges.groupBy(F.col("doc").alias("d")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
+    blobs = super_kmers(rows.where(F.col("text").isNotNull()).select(*KEY, "text"), unit, buckets)
+    ranges = blobs.groupBy("bucket").applyInArrow(run, "doc long, v long, w long, a int, b int")
+    per_row = ranges.groupBy(*(F.col(c).alias(f"_{c}") for c in KEY)).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     # The texts meet their ranges compressed.
-    small = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("blob", pa.binary())])
+    packed_schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in KEY), ("blob", pa.binary())])
 
     def squeeze(batches):
         for batch in batches:
             for part in slices(batch):
-                yield record(small, part.column("doc_id"), part.column("doc"), [squeezed(t or b"") for t in utf8(part.column("text"))])
+                yield record(packed_schema, *(part.column(c) for c in ("doc_id", *KEY)), [squeezed(t or b"") for t in utf8(part.column("text"))])
 
-    texts = named.mapInArrow(squeeze, "doc_id long, doc long, blob binary")
-    rows = texts.join(per_doc, F.col("doc") == F.col("d"), "left").select("doc_id", "blob", "ranges")
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("kept", pa.string())])
+    texts = rows.mapInArrow(squeeze, "doc_id long, doc long, v long, w long, blob binary")
+    if not unique:  # equal rows travel as one with their number
+        texts = texts.groupBy("doc_id", *KEY).agg(F.count(F.lit(1)).alias("copies"), F.first("blob").alias("blob"))
+    met = texts.join(per_row, [F.col(c) == F.col(f"_{c}") for c in KEY], "left").select("doc_id", "blob", "ranges", F.lit(1).cast("long").alias("copies") if unique else "copies")
+    pair = pa.struct([("a", pa.int32()), ("b", pa.int32())])
+    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ranges", pa.list_(pair)), ("kept", pa.binary()), ("copies", pa.int64())])
 
-    def digested(batches):
+    def parted(batches):
         for batch in batches:
             for part in slices(batch, "blob"):
-                found = [digest(restored(b), merged(r)) for b, r in zip(part.column("blob").to_pylist(), part.column("ranges").to_pylist(), strict=True)]
-                yield record(out, part.column("doc_id"), *map(list, zip(*found, strict=True)))
-
-    return rows.mapInArrow(digested, "doc_id long, n long, removed long, spans long, kept string")
+                found = [unit.without(restored(b), merged(r)) for b, r in zip(part.column("blob").to_pylist(), part.column("ranges").to_pylist(), strict=True)]
+                n, gone, kept = zip(*found, strict=True)
+                lists = pa.array([[{"a": a, "b": b} for a, b in r] for r in gone], pa.list_(pair))
+                yield record(out, part.column("doc_id"), list(n), lists, list(kept), part.column("copies"))
+
+    cleaned = met.mapInArrow(parted, "doc_id long, n long, ranges array<struct<a:int,b:int>>, kept binary, copies long")
+    if unique:
+        return cleaned.drop("copies")
+    # Many equal rows come back in two steps, so that no array holds all of them.
+    step = F.explode(F.sequence(F.lit(0).cast("long"), (F.col("copies") - 1).cast("long"), F.lit(COPIES).cast("long"))).alias("from")
+    each = F.explode(F.sequence(F.col("from"), F.least(F.col("from") + COPIES, F.col("copies")) - 1)).alias("copy")
+    gone = (F.col("copy") > 0) & (F.col("n") >= unit.window)
+    everything = F.array(F.struct(F.lit(0).alias("a"), F.col("n").cast("int").alias("b")))
+    return cleaned.select("*", step).select("*", each).select(
+        "doc_id",
+        "n",
+        F.when(gone, everything).otherwise(F.col("ranges")).alias("ranges"),
+        F.when(gone, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
+    )
 
 
 def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
@@ -299,8 +352,9 @@ def merged(ranges: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def sha256(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
+def removed_units() -> Column:
+    """How many units the ranges of a row of repeated() hold."""
+    return F.aggregate("ranges", F.lit(0).cast("long"), lambda t, r: t + r.b - r.a)
 
 
 def often(keys: list[bytes | None]) -> list[bool]:

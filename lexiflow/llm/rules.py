@@ -11,11 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.llm.common import blank_words, small_side
+from lexiflow.llm.shrink import strength
 from lexiflow.session import checkpoint, table
 
-#: Highest strength of the fitted prior, in documents; it holds where hosts do not differ at all.
-MAX_STRENGTH = 10_000.0
-
 
 def rule_counts(docs: DataFrame, host: str = "source") -> DataFrame:
     """doc_id, host and the counts of the rules, one row for each input row.
@@ -70,15 +68,16 @@ def host_verdicts(failed: DataFrame, max_rate: float = 0.6) -> DataFrame:
     """host, host_rejected for a frame (host, base_failed).
 
     The rate of a host is (failures + a) / (documents + a + b) with a beta prior whose mean is the rate
-    of all documents and whose strength a + b follows from the variance of the rates between hosts.
-    A null host is a host of its own.
+    of all documents and whose strength a + b follows from how far the rates of hosts scatter beyond what
+    chance makes of equal hosts (see shrink.py). A null host is a host of its own.
     """
     hosts = failed.groupBy("host").agg(F.sum(F.col("base_failed").cast("long")).alias("f"), F.count(F.lit(1)).alias("n"))
-    f, n, square = hosts.agg(F.sum("f"), F.sum("n"), F.sum(F.col("f") * F.col("f") / F.col("n"))).first()  # one row
-    mean = f / n if n else 0.0
-    spread = square / n - mean * mean if n else 0.0
-    strength = min(MAX_STRENGTH, max(1.0, mean * (1 - mean) / spread - 1)) if spread > 0 else MAX_STRENGTH
-    return hosts.select("host", ((F.col("f") + mean * strength) / (F.col("n") + strength) > max_rate).alias("host_rejected"))
+    f, n = F.col("f"), F.col("n").cast("double")
+    whole = hosts.agg(F.sum("f"), F.sum("n"), F.count(F.lit(1)), F.sum(n * n), F.sum(f * f / n), F.sum(1 / n)).first()  # one row
+    failures, documents, groups, squares, between, inverse = (float(x or 0) for x in whole)
+    mean = failures / documents if documents else 0.0
+    k = strength(documents, groups - 1, squares / documents, between - documents * mean * mean, mean * (1 - mean), inverse) if documents else 0.0
+    return hosts.select("host", ((f + mean * k) / (n + k) > max_rate).alias("host_rejected"))
 
 
 def judge(docs: DataFrame, host: str = "source", max_rate: float = 0.6) -> DataFrame:
@@ -128,10 +127,14 @@ WITH d AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM r
 ), h AS (
   SELECT source, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f, count(*) AS n FROM b GROUP BY source
-), m AS (SELECT sum(f) / sum(n) AS m FROM h),
-v AS (SELECT m, sum(n * (f / n - m) * (f / n - m)) / sum(n) AS v FROM h, m GROUP BY m),
+), m AS (
+  SELECT sum(n) AS d, count(*) - 1 AS g, sum(n * n) / sum(n) AS q, sum(1.0 / n) AS i, sum(f) / sum(n) AS m,
+         sum(f * f / n) - sum(f) * (sum(f) / sum(n)) AS t
+  FROM (SELECT CAST(f AS DOUBLE) AS f, CAST(n AS DOUBLE) AS n FROM h)
+), v AS (SELECT *, m * (1 - m) AS v FROM m),
+e AS (SELECT *, t - v * g AS e, v * (d - q - g) AS r, 3 * sqrt(2 * v * v * g + v * i) AS s FROM v),
 p AS (
-  SELECT m, CASE WHEN v > 0 THEN greatest(1.0, least(10000.0, m * (1 - m) / v - 1)) ELSE 10000.0 END AS k FROM v
+  SELECT m, CASE WHEN r <= 0 OR e <= s THEN 10000.0 ELSE greatest(1.0, least(10000.0, 1 / least(1.0, e / r) - 1)) END AS k FROM e
 ), j AS (SELECT source, (f + m * k) / (n + k) > 0.6 AS host_rejected FROM h, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rejected,
        NOT base_failed AND NOT host_rejected AS kept

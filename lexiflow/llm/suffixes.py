@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiflow.llm.repeats import Strings, Unit, marked_runs, often, repeated, sha256
+from lexiflow.llm.repeats import MARKS, Strings, Unit, marked_runs, often, removed_units, repeated
 from lexiflow.session import table
 
 BYTES = Unit(words=False, window=100, k=12)
@@ -108,7 +108,7 @@ def in_suffix_order(strings: Strings, unit: Unit) -> list[np.ndarray]:
             if end > begin:
                 marks.append(equal_windows(strings.take(np.sort(at[begin:end])), unit))
                 begin, done = end, sizes[end - 1]
-    return [np.concatenate([m[i] for m in marks]) if marks else np.zeros(0, np.int64) for i in range(3)]
+    return [np.concatenate([m[i] for m in marks]) if marks else np.zeros(0, np.int64) for i in range(len(MARKS))]
 
 
 def equal_windows(strings: Strings, unit: Unit) -> list[np.ndarray]:
@@ -127,34 +127,28 @@ def equal_windows(strings: Strings, unit: Unit) -> list[np.ndarray]:
     heads = np.flatnonzero(np.concatenate(([True], ~equal)))
     lead = np.repeat(np.minimum.reduceat(order, heads), np.diff(np.concatenate((heads, [len(order)]))))
     place = strings.start[owner] + nth
-    doc = strings.doc[owner]
+    doc = strings.row()[owner]
     later = np.sort(order[(doc[order] != doc[lead]) | (place[order] != place[lead])])
     return marked_runs(strings, owner[later], nth[later], unit)
 
 
-def kept_bytes(text: bytes, ranges: list[tuple[int, int]]) -> tuple[int, int, int, str]:
-    kept, at, removed = [], 0, 0
-    ranges = [(a, min(b, len(text))) for a, b in ranges if a < len(text)]
-    for a, b in ranges:
-        kept.append(text[at:a])
-        removed += b - a
-        at = b
-    return len(text), removed, len(ranges), sha256(b"".join([*kept, text[at:]]))
-
-
 def dedup_bytes(docs: DataFrame, unit: Unit = BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each row of docs.
+    """doc_id, n, ranges and kept for each row of docs: its UTF-8 bytes, the ranges {a, b} of removed ones, and the others.
 
     Each byte in a string of a hundred bytes that also starts earlier (smaller doc_id, or the same document
     further up) is removed. Null texts are empty; texts of under a hundred bytes lose nothing. A null doc_id
-    comes after all others. Rows that share a doc_id are versions of one document: none precedes the others at
-    the same start, and what is removed in one is removed there in all. Extra columns are ignored; an empty
-    table gives an empty result.
+    comes after all others. Rows that share a doc_id, or have none, are documents of their own, which follow
+    each other by hashes of their texts; of equal rows one comes before the others. Extra columns are
+    ignored; an empty table gives an empty result.
     """
-    return repeated(docs, unit, in_suffix_order, kept_bytes).select(
-        "doc_id", F.col("n").alias("n_bytes"), F.col("removed").alias("n_removed"), F.col("spans").alias("n_spans"), F.col("kept").alias("kept_sha256")
-    )
+    return repeated(docs, unit, in_suffix_order)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    return dedup_bytes(table(spark, sf_dir, "documents"))
+    return dedup_bytes(table(spark, sf_dir, "documents")).select(
+        "doc_id",
+        F.col("n").alias("n_bytes"),
+        removed_units().alias("n_removed"),
+        F.size("ranges").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

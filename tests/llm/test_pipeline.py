@@ -7,7 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexiflow.llm import lines, quality
+from lexiflow.llm import quality
 from tests.llm.test_results import WORD, jaccard_components, line_classes
 
 
@@ -41,7 +41,7 @@ def test_stages(spark, tmp_path):
     order = sorted(seen[1][0])
     rows, lead, _ = line_classes([seen[1][0][k]["text"] for k in order])
     for n, k in enumerate(order):
-        left = [x for m, x in enumerate(seen[1][0][k]["text"].split("\n")) if len(x) < lines.LEAST_CHARS or lead(x) == (n, m)]
+        left = [x for m, x in enumerate(seen[1][0][k]["text"].split("\n")) if not x.strip() or lead(x) == (n, m)]
         assert (seen[1][1][k]["text"] if k in seen[1][1] else "") == "\n".join(left)
     order = sorted(seen[2][0])
     classes = jaccard_components([seen[2][0][k]["text"] for k in order], 80, 5)
