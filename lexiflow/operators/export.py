@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lexiflow.extract import marshal, structured, subtitles, tabular
 from lexiflow.extract import markup as html
 from lexiflow.functions.encoding import decode, encode
-from lexiflow.sources.archives import pack, reading_order, replaced
+from lexiflow.sources.archives import pack, reading_order, replaced, safe
 
 RESULT = "file string, content binary, applied int, refused int, error string"
 
@@ -196,16 +196,20 @@ def image_operations(labels: DataFrame) -> DataFrame:
 def write_files(results: DataFrame, root: str, backups: str | None = None) -> DataFrame:
     """Write (file, content) below root from the executors; (file, written, saved).
 
-    Files go to a new name and are renamed. With backups, what stood there before is kept below it, once: a
-    backup is never written again. root and backups must be folders that all executors share.
+    Files go to a new name of each attempt and are renamed. With backups, what stood there before is kept below
+    it, once: a backup is never written again. root and backups must be folders that all executors share. A name
+    that would leave root is an error.
     """
 
     def run(batches):
         import os
+        import uuid
 
         for pdf in batches:
             out = []
             for file, content in zip(pdf["file"], pdf["content"], strict=True):
+                if not safe(file):
+                    raise ValueError(f"{file} is not below the folder")
                 path, saved = os.path.join(root, file), False
                 os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
                 if backups and os.path.exists(path):
@@ -217,9 +221,10 @@ def write_files(results: DataFrame, root: str, backups: str | None = None) -> Da
                         saved = True
                     except FileExistsError:
                         pass
-                with open(f"{path}.part", "wb") as new:
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with open(part, "wb") as new:
                     new.write(bytes(content))
-                os.replace(f"{path}.part", path)
+                os.replace(part, path)
                 out.append((file, len(content), saved))
             yield pd.DataFrame(out, columns=["file", "written", "saved"])
 

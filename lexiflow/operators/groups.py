@@ -154,6 +154,12 @@ def grouped(fragments: DataFrame, mode: str = "auto", least: int = LEAST_PARTS)
     return found, fragments.join(found.select(F.explode("members").alias("id")), "id", "left_anti")
 
 
+def mean_ink(groups: DataFrame, fragments: DataFrame) -> DataFrame:
+    """id and ink: the mean ink of each group's fragments (id, ink)."""
+    members = groups.select("id", F.explode("members").alias("member"))
+    return members.join(fragments.select(F.col("id").alias("member"), "ink"), "member").groupBy("id").agg(F.avg("ink").alias("ink"))
+
+
 def in_order(groups: DataFrame) -> DataFrame:
     return groups.orderBy("file", F.col("page").asc_nulls_first(), "page_entry", "kind", F.col("union_box")[1], F.col("union_box")[0], "id")
 

@@ -87,6 +87,13 @@ def page_report(regions: DataFrame) -> DataFrame:
     return regions.groupBy("page").agg(F.count(F.lit(1)).alias("regions"), F.count_if(done).alias("read"), F.count_if(F.col("source") == "vision").alias("vision"), F.avg("ink").alias("ink"))
 
 
+def run_summary(regions: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """One row over a whole run of arbitrated() regions: pages, regions, how each was read, mean ink; and groups, if given."""
+    by = {name: F.count_if(F.col("source") == name).alias(name) for name in ("local", "vision", "open")}
+    one = regions.agg(F.countDistinct("page").alias("pages"), F.count(F.lit(1)).alias("regions"), *by.values(), F.avg("ink").alias("ink"))
+    return one if groups is None else one.withColumn("groups", groups.agg(F.count(F.lit(1))).scalar())
+
+
 def erase_tasks(units: DataFrame) -> DataFrame:
     """(id, part, file): parts of a unit on other files than its own, to be wiped there."""
     return units.select("id", F.col("file").alias("own"), F.posexplode("parts").alias("part", "p")).where(F.col("p.file") != F.col("own")).select("id", "part", F.col("p.file").alias("file"), F.col("p.box").alias("box"))

@@ -9,6 +9,9 @@ import numpy as np
 # Limits of what a text region looks like.
 WINDOW, OFFSET, LEAST_W, LEAST_H = 10, 6, 4, 5
 WIDEST, TALLEST, LONGEST, LEAST_INK, LEAST_AREA = 0.94, 0.42, 40.0, 0.02, 24
+# When two regions are one. Shares of the lower height that they overlap by and that may be between
+# them; a gap in pixels beyond which widths must be alike; and how often a width or area may hold the other.
+ON_LINE, CLOSE, FAR, WIDTHS, AREAS = 0.5, 1.2, 12, 4, 24
 
 
 @dataclass(frozen=True)
@@ -98,33 +101,36 @@ def plausible(r: Region, shape: tuple[int, int]) -> bool:
     )
 
 
-def mergeable(a: Region, b: Region) -> bool:
-    """Neighbours on a line: they overlap in height, lie close, and are of a like size."""
-    common = min(a.y + a.h, b.y + b.h) - max(a.y, b.y)
-    low = min(a.h, b.h)
-    gap = max(a.x, b.x) - min(a.x + a.w, b.x + b.w)
-    unlike = max(a.w, b.w) > 4 * min(a.w, b.w) and gap > 12 or a.w * a.h > 24 * b.w * b.h or b.w * b.h > 24 * a.w * a.h
-    return common >= 0.5 * low and gap <= 1.2 * low and not unlike
+def neighbours(found: np.ndarray) -> np.ndarray:
+    """Which of the boxes (x, y, w, h) belong together: on one line, close, and of a like size."""
+    x, y, w, h = (found[:, k, None] for k in range(4))
+    area = w * h
+    low = np.minimum(h, h.T)
+    shared = np.minimum(y + h, (y + h).T) - np.maximum(y, y.T)
+    gap = np.maximum(x, x.T) - np.minimum(x + w, (x + w).T)
+    wide = (np.maximum(w, w.T) > WIDTHS * np.minimum(w, w.T)) & (gap > FAR)
+    return (shared >= ON_LINE * low) & (gap <= CLOSE * low) & ~wide & (np.maximum(area, area.T) <= AREAS * np.minimum(area, area.T))
+
+
+def united(found: list[Region]) -> Region:
+    """One region around several; its ink is spread over its area."""
+    x, y = min(r.x for r in found), min(r.y for r in found)
+    w, h = max(r.x + r.w for r in found) - x, max(r.y + r.h for r in found) - y
+    return Region(x, y, w, h, sum(r.ink * r.w * r.h for r in found) / (w * h))
 
 
 def merged(found: list[Region]) -> list[Region]:
-    """Regions with all mergeable ones as one, until nothing more merges."""
-    todo = sorted(found, key=lambda r: (r.y, r.x))
-    changed = True
-    while changed:
-        changed, out = False, []
-        for r in todo:
-            k = next((i for i, o in enumerate(out) if mergeable(o, r)), None)
-            if k is None:
-                out.append(r)
-                continue
-            o = out[k]
-            x, y = min(o.x, r.x), min(o.y, r.y)
-            w, h = max(o.x + o.w, r.x + r.w) - x, max(o.y + o.h, r.y + r.h) - y
-            out[k] = Region(x, y, w, h, (o.ink * o.w * o.h + r.ink * r.w * r.h) / (w * h))
-            changed = True
-        todo = out
-    return todo
+    """Connected components of neighbours as one region each, until no two are neighbours."""
+    while len(found) > 1:
+        near = neighbours(np.array([(r.x, r.y, r.w, r.h) for r in found], float))
+        names = np.arange(len(found))
+        while (least := np.where(near, names, len(found)).min(axis=1)).tolist() != names.tolist():
+            names = least  # each takes the least name around it
+        groups = [[r for r, k in zip(found, names.tolist(), strict=True) if k == n] for n in sorted(set(names.tolist()))]
+        if len(groups) == len(found):
+            break
+        found = [united(g) for g in groups]
+    return sorted(found, key=lambda r: (r.y, r.x))
 
 
 def reading_order(found: list[Region], right_to_left: bool = True) -> list[Region]:

@@ -6,13 +6,13 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import skipped
 
-#: A glossary with more rows is joined by exact match only and not folded over texts.
-FOLD_TERMS = 2_000
+#: Terms up to which a glossary is a literal of the plan.
+FOLD_TERMS = 500
 LATIN = r"^[A-Za-z0-9][A-Za-z0-9 _'\-]*$"
 
 
@@ -25,65 +25,150 @@ class Term:
 
 
 # The seed glossary.
-SEED = tuple(
-    Term(*pair.split("="))
-    for pair in (
-        "Potion=药水|Hi-Potion=高级药水|Ether=以太|Phoenix Down=不死鸟之尾|Sword=剑|Shield=盾|Armor=护甲|Weapon=武器|Item=物品|Skill=技能|"
-        "Magic=魔法|Attack=攻击|Defense=防御|HP=生命值|MP=魔法值|EXP=经验值|Level=等级|Gold=金币|Save=保存|Load=读取|New Game=新游戏|"
-        "Continue=继续游戏|Options=设置|Quit=退出|Yes=是|No=否|Chapter=章节|Quest=任务|Monster=怪物|Boss=首领|Victory=胜利|Defeat=战败|"
-        "Experience=经验|Inventory=背包|Equipment=装备|Shop=商店|Buy=购买|Sell=出售|Menu=菜单|Status=状态|Party=队伍|Dungeon=地牢|"
-        "Village=村庄|Town=城镇|Castle=城堡|Forest=森林|Mountain=山脉|River=河流|Cave=洞穴|Tower=高塔|Ruins=遗迹|Treasure=宝箱|Key=钥匙|"
-        "Door=门|Chest=宝箱|Game Over=游戏结束|Battle=战斗|Run=逃跑|Fire=火焰|Ice=冰霜|Thunder=雷电|Heal=治疗|Poison=中毒|Cure=解毒"
-    ).split("|")
+SEED = (
+    Term("Potion", "药水"),
+    Term("Hi-Potion", "高级药水"),
+    Term("Ether", "以太"),
+    Term("Phoenix Down", "不死鸟之尾"),
+    Term("Sword", "剑"),
+    Term("Shield", "盾"),
+    Term("Armor", "护甲"),
+    Term("Weapon", "武器"),
+    Term("Item", "物品"),
+    Term("Skill", "技能"),
+    Term("Magic", "魔法"),
+    Term("Attack", "攻击"),
+    Term("Defense", "防御"),
+    Term("HP", "生命值"),
+    Term("MP", "魔法值"),
+    Term("EXP", "经验值"),
+    Term("Level", "等级"),
+    Term("Gold", "金币"),
+    Term("Save", "保存"),
+    Term("Load", "读取"),
+    Term("New Game", "新游戏"),
+    Term("Continue", "继续游戏"),
+    Term("Options", "设置"),
+    Term("Quit", "退出"),
+    Term("Yes", "是"),
+    Term("No", "否"),
+    Term("Chapter", "章节"),
+    Term("Quest", "任务"),
+    Term("Monster", "怪物"),
+    Term("Boss", "首领"),
+    Term("Victory", "胜利"),
+    Term("Defeat", "战败"),
+    Term("Experience", "经验"),
+    Term("Inventory", "背包"),
+    Term("Equipment", "装备"),
+    Term("Shop", "商店"),
+    Term("Buy", "购买"),
+    Term("Sell", "出售"),
+    Term("Menu", "菜单"),
+    Term("Status", "状态"),
+    Term("Party", "队伍"),
+    Term("Dungeon", "地牢"),
+    Term("Village", "村庄"),
+    Term("Town", "城镇"),
+    Term("Castle", "城堡"),
+    Term("Forest", "森林"),
+    Term("Mountain", "山脉"),
+    Term("River", "河流"),
+    Term("Cave", "洞穴"),
+    Term("Tower", "高塔"),
+    Term("Ruins", "遗迹"),
+    Term("Treasure", "宝箱"),
+    Term("Key", "钥匙"),
+    Term("Door", "门"),
+    Term("Chest", "宝箱"),
+    Term("Game Over", "游戏结束"),
+    Term("Battle", "战斗"),
+    Term("Run", "逃跑"),
+    Term("Fire", "火焰"),
+    Term("Ice", "冰霜"),
+    Term("Thunder", "雷电"),
+    Term("Heal", "治疗"),
+    Term("Poison", "中毒"),
+    Term("Cure", "解毒"),
 )
 
 
+def plain_targets(terms: list[Term]) -> dict[str, str]:
+    """Targets of the plain terms; the first of equal sources counts."""
+    return {t.source: t.target for t in reversed(terms) if not t.regex}
+
+
 def exact(text: Column, terms: list[Term]) -> Column:
     """Target of the first plain term that is the whole text; null if none is."""
-    plain: dict[str, str] = {}
-    for t in terms:
-        if not t.regex:
-            plain.setdefault(t.source, t.target)
+    plain = plain_targets(terms)
     if not plain:
         return F.lit(None).cast("string")
-    return F.get(F.map_values(F.map_filter(F.create_map(*(F.lit(x) for kv in plain.items() for x in kv)), lambda k, _: k == text)), F.lit(0))
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in plain.items() for x in kv)), text)
 
 
-def folded(text: Column, terms: list[Term]) -> Column:
-    """struct(t, hit): text after all terms, each seeing what the earlier ones made.
+def steps(terms: list[Term]) -> list[tuple[str, str, str]]:
+    """(pattern, replacement, what a text must hold in lower case for the pattern to match) in the order of folding.
 
     Plain terms come first, the longest ones ahead and in list order among equals; those of Latin letters
     match whole words in any case, others exactly. Regular expressions follow in list order.
     """
-    plain = sorted((t for t in terms if not t.regex), key=lambda t: -len(t.source))
-    steps = [
-        (rf"(?i)(?<![A-Za-z0-9_])\Q{t.source}\E(?![A-Za-z0-9_])" if re.match(LATIN, t.source) else rf"\Q{t.source}\E", t.target.replace("\\", "\\\\").replace("$", "\\$"))
-        for t in plain
-    ] + [(t.source, t.target) for t in terms if t.regex]
-    state = F.struct(text.alias("t"), F.lit(False).alias("hit"))
-    if not steps:
-        return state
-    listed = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(r).alias("r")) for p, r in steps))
-    return F.aggregate(listed, state, lambda s, x: F.struct(F.regexp_replace(s.t, x.p, x.r).alias("t"), (s.hit | F.regexp_like(s.t, x.p)).alias("hit")))
+    out = []
+    for t in sorted((t for t in terms if not t.regex), key=lambda t: -len(t.source)):
+        word = re.match(LATIN, t.source)
+        pattern = rf"(?i)(?<![A-Za-z0-9_])\Q{t.source}\E(?![A-Za-z0-9_])" if word else rf"\Q{t.source}\E"
+        # What is not Latin is looked for as it is: letters may have no single form in lower case.
+        out.append((pattern, t.target.replace("\\", "\\\\").replace("$", "\\$"), t.source.lower() if word else ""))
+    return out + [(t.source, t.target, "") for t in terms if t.regex]
+
+
+def folded(text: Column, terms: list[Term], listed: Column | None = None) -> Column:
+    """struct(t, hit): text after all steps(), each seeing what the earlier ones made.
+
+    A pattern is tried only where the text holds its words, so that most terms cost one search. listed: the
+    steps as one array, if they are too many for a literal.
+    """
+    made = steps(terms)
+    state = F.struct(text.alias("t"), F.lower(text).alias("low"), F.lit(False).alias("hit"))
+    if made:
+        if listed is None:
+            listed = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(r).alias("r"), F.lit(n).alias("n")) for p, r, n in made))
+
+        def step(s: Column, x: Column) -> Column:
+            new = F.regexp_replace(s.t, x.p, x.r)
+            return F.when(s.low.contains(x.n) & F.regexp_like(s.t, x.p), F.struct(new.alias("t"), F.lower(new).alias("low"), F.lit(True).alias("hit"))).otherwise(s)
+
+        state = F.aggregate(listed, state, step)
+    return F.struct(state.t.alias("t"), state.hit.alias("hit"))
+
+
+def listed_steps(spark: SparkSession, terms: list[Term]) -> Column:
+    """The steps as an array from a table, for glossaries of any length."""
+    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(steps(terms))], "i int, p string, r string, n string")
+    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p", "r", "n"))), lambda x: F.struct(x.p.alias("p"), x.r.alias("r"), x.n.alias("n")))).scalar()
 
 
 def looked_up(entries: DataFrame, terms: list[Term], cache: DataFrame | None = None) -> DataFrame:
     """entries (…, source) with target and method: cache, glossary or passthrough.
 
     cache: (source, target), one row a source; empty and null targets are misses. It is joined by source, so
-    that it may be of any size. The glossary is a literal of at most FOLD_TERMS terms.
+    that it may be of any size. A glossary of up to FOLD_TERMS terms is part of the plan; a longer one is a
+    table, joined for whole texts and read once for the fold.
     """
-    if len(terms) > FOLD_TERMS:
-        raise ValueError(f"more than {FOLD_TERMS} terms")
     base = entries
     if cache is not None:
         hits = cache.where(F.coalesce(F.col("target"), F.lit("")) != "").select(F.col("source").alias("_s"), F.col("target").alias("_cached"))
         base = base.join(hits, F.col("source") == F.col("_s"), "left").drop("_s")
     else:
         base = base.withColumn("_cached", F.lit(None).cast("string"))
-    fold = base.withColumn("_exact", exact(F.col("source"), terms)).withColumn(
-        "_fold", F.when(F.col("_cached").isNull() & F.col("_exact").isNull(), folded(F.col("source"), terms))
-    )
+    listed = None
+    if len(terms) <= FOLD_TERMS:
+        base = base.withColumn("_exact", exact(F.col("source"), terms))
+    else:
+        spark = entries.sparkSession
+        listed = listed_steps(spark, terms)
+        whole = spark.createDataFrame(list(plain_targets(terms).items()) or [("", None)], "_s string, _exact string")
+        base = base.join(whole, F.col("source") == F.col("_s"), "left").drop("_s")
+    fold = base.withColumn("_fold", F.when(F.col("_cached").isNull() & F.col("_exact").isNull(), folded(F.col("source"), terms, listed)))
     return (
         fold.withColumn("target", F.coalesce("_cached", "_exact", "_fold.t"))
         .withColumn("method", F.when(F.col("_cached").isNotNull(), "cache").when(F.col("_exact").isNotNull() | F.col("_fold.hit"), "glossary").otherwise("passthrough"))
@@ -164,6 +249,13 @@ def method_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("method").agg(F.count(F.lit(1)).alias("n"))
 
 
+def summary(results: DataFrame) -> DataFrame:
+    """method, n and warned: results of each method, and those of them with a finding."""
+    from lexiflow.operators.quality import checked
+
+    return checked(results).groupBy("method").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("warnings") > 0).alias("warned"))
+
+
 def glossary_added(terms: list[Term], new: Term) -> list[Term]:
     """terms with new in the place of the one of the same source and sort, or at the end."""
     same = [i for i, t in enumerate(terms) if (t.source, t.regex) == (new.source, new.regex)]

@@ -47,13 +47,17 @@ def test_detect(text, fmt):
     assert subtitles.detect("", text) == fmt
 
 
-def test_scripts():
-    ks = "; note\n*label\n@cmd\n[ch name=\"Pro\" face='x' text='Nice']\n  Good day. \n// x"
-    assert plain(scripts.ks("a.ks", ks)) == [("line4.name", "Pro"), ("line4.text", "Nice"), ("line5", "Good day.")]
-    assert plain(scripts.tjs("a.tjs", '"One";\n// "no"\n \'Two\' + x\nvar a = "b"')) == [("line1", "One"), ("line3", "Two")]
-    rpy = '# x\nlabel start:\n    e "Hi" \'you\'\n    show "no"\n    "Line"'
-    assert plain(scripts.renpy("a.rpy", rpy)) == [("line3", "Hi"), ("line3.11", "you"), ("line5", "Line")]
-    assert all(rpy.split("\n")[f.line][f.start : f.stop] == f.source for f in scripts.renpy("a.rpy", rpy))
+def test_scripts(spark):
+    def entries(reader, text):
+        rows = reader(spark.createDataFrame([("a", text)], "rel string, text string"), "rel").orderBy("line", "start").collect()
+        assert all(text.split("\n")[r["line"]][r["start"] : r["stop"]] == r["source"] for r in rows)
+        return [(r["suffix"], r["source"], r["quote"]) for r in rows]
+
+    ks = "; note\n*label\n@cmd\n[ch name=\"Pro\" face='x' text='Nice']\n  Good day. \n// x\n[x title=\"it's\"]"
+    assert entries(scripts.ks_entries, ks) == [("line4.name", "Pro", '"'), ("line4.text", "Nice", "'"), ("line5", "Good day.", ""), ("line7.title", "it's", '"')]
+    assert entries(scripts.tjs_entries, '"One";\n// "no"\n \'Two\' + x\nvar a = "b"') == [("line1", "One", '"'), ("line3", "Two", "'")]
+    rpy = '# x\nlabel start:\n    e "Hi" \'you\'\n    show "no"\n    "" "Line"\n e \'a" b\' "it\'s"\n importance "x" y"'
+    assert entries(scripts.renpy_entries, rpy) == [("line3", "Hi", '"'), ("line3.11", "you", "'"), ("line5", "Line", '"'), ("line6", 'a" b', "'"), ("line6.10", "it's", '"'), ("line7", "x", '"')]
 
 
 def test_tables():
