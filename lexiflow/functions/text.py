@@ -132,6 +132,15 @@ def csv_cell(text: Column, delimiter: str = ",") -> Column:
     return F.when(needs, F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
+def to_base64(text: Column) -> Column:
+    """UTF-8 of a text in base 64, on one line."""
+    return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", "")
+
+
+def from_base64(coded: Column) -> Column:
+    return F.decode(F.unbase64(coded), "UTF-8")
+
+
 def natural_key(name: Column) -> Column:
     """A sort key by which runs of digits compare as numbers (of up to 20 digits)."""
     parts = F.regexp_extract_all(F.lower(name), F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))

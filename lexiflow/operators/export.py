@@ -151,6 +151,24 @@ def book_exported(content: bytes, patches: dict[str, list[dict]]) -> bytes:
     return replaced(content, {name: patched_content(parts[name], "htmlchars", patches[name])[0] for name in reading_order(parts) if name in patches})
 
 
+def books_exported(books: DataFrame, patches: DataFrame) -> DataFrame:
+    """path and content of e-books (path, content) with patches (path, name, start, stop, source, target) by chapter."""
+    grouped = patches.groupBy(F.col("path").alias("_path")).agg(F.collect_list(F.struct("name", "start", "stop", "source", "target")).alias("rows"))
+
+    def run(batches):
+        for pdf in batches:
+            done = []
+            for content, rows in zip(pdf["content"], pdf["rows"], strict=True):
+                by_name: dict[str, list[dict]] = {}
+                for r in rows if rows is not None else ():
+                    by_name.setdefault(r["name"], []).append(r)
+                done.append(book_exported(bytes(content), by_name))
+            yield pd.DataFrame({"path": pdf["path"], "content": done})
+
+    joined = books.join(grouped, F.col("path") == F.col("_path"), "left").select("path", "content", "rows")
+    return joined.mapInPandas(run, "path string, content binary")
+
+
 def packed(rows: DataFrame) -> DataFrame:
     """archive and content from (archive, name, data)."""
 

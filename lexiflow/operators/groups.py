@@ -148,12 +148,17 @@ def grouped(fragments: DataFrame, mode: str = "auto", least: int = LEAST_PARTS)
         lines = atlas_groups(fragments, least)
         taken = lines.select(F.explode("members").alias("id"))
         found = lines.unionByName(sequence_groups(fragments.join(taken, "id", "left_anti"), least))
-    # Equal names get #2, #3 … in the order of the groups.
-    order = Window.partitionBy("id").orderBy(F.col("file"), F.col("page").asc_nulls_first(), "kind", F.col("union_box")[1], F.col("union_box")[0], F.col("members"))
-    found = found.withColumn("_n", F.row_number().over(order)).withColumn("id", F.when(F.col("_n") > 1, F.concat("id", F.lit("#"), "_n")).otherwise(F.col("id"))).drop("_n")
+    found = numbered_ids(found)
     return found, fragments.join(found.select(F.explode("members").alias("id")), "id", "left_anti")
 
 
+def numbered_ids(groups: DataFrame) -> DataFrame:
+    """groups of which equal ids have #2, #3 … at their end, in the order of file, page, kind and place."""
+    order = Window.partitionBy("id").orderBy(F.col("file"), F.col("page").asc_nulls_first(), "kind", F.col("union_box")[1], F.col("union_box")[0], F.col("members"))
+    numbered = groups.withColumn("_n", F.row_number().over(order))
+    return numbered.withColumn("id", F.when(F.col("_n") > 1, F.concat("id", F.lit("#"), "_n")).otherwise(F.col("id"))).drop("_n")
+
+
 def mean_ink(groups: DataFrame, fragments: DataFrame) -> DataFrame:
     """id and ink: the mean ink of each group's fragments (id, ink)."""
     members = groups.select("id", F.explode("members").alias("member"))

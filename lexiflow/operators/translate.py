@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import skipped
@@ -141,10 +142,10 @@ def folded(text: Column, terms: list[Term], listed: Column | None = None) -> Col
     return F.struct(state.t.alias("t"), state.hit.alias("hit"))
 
 
-def listed_steps(spark: SparkSession, terms: list[Term]) -> Column:
-    """The steps as an array from a table, for glossaries of any length."""
-    rows = spark.createDataFrame([(i, *x) for i, x in enumerate(steps(terms))], "i int, p string, r string, n string")
-    return rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "p", "r", "n"))), lambda x: F.struct(x.p.alias("p"), x.r.alias("r"), x.n.alias("n")))).scalar()
+def listed_steps(terms: list[Term]) -> Column:
+    """The steps as one literal text that is read once, for glossaries of any length."""
+    rows = json.dumps([dict(zip("prn", x, strict=True)) for x in steps(terms)])
+    return F.from_json(F.lit(rows), "array<struct<p:string,r:string,n:string>>")
 
 
 def looked_up(entries: DataFrame, terms: list[Term], cache: DataFrame | None = None) -> DataFrame:
@@ -164,9 +165,8 @@ def looked_up(entries: DataFrame, terms: list[Term], cache: DataFrame | None = N
     if len(terms) <= FOLD_TERMS:
         base = base.withColumn("_exact", exact(F.col("source"), terms))
     else:
-        spark = entries.sparkSession
-        listed = listed_steps(spark, terms)
-        whole = spark.createDataFrame(list(plain_targets(terms).items()) or [("", None)], "_s string, _exact string")
+        listed = listed_steps(terms)
+        whole = entries.sparkSession.createDataFrame(list(plain_targets(terms).items()) or [("", None)], "_s string, _exact string")
         base = base.join(whole, F.col("source") == F.col("_s"), "left").drop("_s")
     fold = base.withColumn("_fold", F.when(F.col("_cached").isNull() & F.col("_exact").isNull(), folded(F.col("source"), terms, listed)))
     return (

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiflow.extract.markup import attribute, chapters
+from lexiflow.functions.encoding import decode
 
 MEMBERS = "path string, name string, idx int, size long, method string, crc long, data binary, error string"
 
@@ -103,3 +104,20 @@ def reading_order(parts: dict[str, bytes]) -> list[str]:
     if opf is None:
         return []
     return [name for name in dict.fromkeys(chapters(parts[opf].decode("utf-8", "replace"), opf)) if name in parts]
+
+
+CHAPTERS = "path string, chapter int, name string, text string"
+
+
+def book_chapters(books: DataFrame) -> DataFrame:
+    """CHAPTERS of e-books (path, content) in reading order; a book that cannot be opened has none."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                parts = {m[1]: m[6] for m in (members_of(path, bytes(content)) if content is not None else []) if m[6] is not None}
+                rows += [(path, n, name, decode(parts[name])[0]) for n, name in enumerate(reading_order(parts))]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in CHAPTERS.split(", ")])
+
+    return books.select("path", "content").mapInPandas(run, CHAPTERS)

@@ -2,15 +2,16 @@
 
 import pytest
 
-from lexiflow.plans import catalogue
+from lexiflow.plans import catalogue, formats, runs  # noqa: F401 - they register their queries
+from lexiflow.plans.registry import QUERIES, SQL
 from tests.compare import same
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf, name):
-    df = catalogue.QUERIES[name](spark, sf)
-    if name in catalogue.SQL:
-        same(df, catalogue.SQL[name], sf)
+    df = QUERIES[name](spark, sf)
+    if name in SQL:
+        same(df, SQL[name], sf)
     else:
         assert df.count() > 0
 
@@ -23,5 +24,5 @@ def test_entry(spark):
 
 
 def test_filters_and_columns_reach_the_scan(spark, sf):
-    plan = catalogue.QUERIES["q16_stale_prune"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES["q16_stale_prune"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert "Not(EqualTo(lang,en))" in plan and "text" not in plan
