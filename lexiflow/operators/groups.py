@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,36 +44,41 @@ def joined(ordered: Column) -> tuple[Column, Column]:
     return spaced, sep
 
 
-def _line_starts(boxes: list[list[float]]) -> list[int]:
-    """For boxes in reading order the place of the first one that opened their line."""
-    opened: list[int] = []
-    out = []
-    for n, (_, y, _, h) in enumerate(boxes):
-        for k in opened:
-            _, y0, _, h0 = boxes[k]
-            common = min(y + h, y0 + h0) - max(y, y0)
-            if common >= OVERLAP * min(h, h0) and max(h, h0) <= HEIGHTS * min(h, h0):
-                out.append(k)
-                break
-        else:
-            opened.append(n)
-            out.append(n)
-    return out
+def _line_starts(boxes: Column) -> Column:
+    """For an array of boxes in reading order the place of the one that opened the line of each: the first that it overlaps."""
+
+    def step(s: Column, box: Column) -> Column:
+        y, h = box[1], box[3]
+
+        def on_line(o: Column) -> Column:
+            common = F.least(y + h, o.y + o.h) - F.greatest(y, o.y)
+            return (common >= OVERLAP * F.least(h, o.h)) & (F.greatest(h, o.h) <= HEIGHTS * F.least(h, o.h))
+
+        opener = F.get(F.filter(s.opened, on_line), F.lit(0))
+        here = F.struct(s.n.alias("k"), y.alias("y"), h.alias("h"))
+        return F.struct(
+            F.when(opener.isNull(), F.array_append(s.opened, here)).otherwise(s.opened).alias("opened"),
+            F.array_append(s.starts, F.coalesce(opener.k, s.n)).alias("starts"),
+            (s.n + 1).alias("n"),
+        )
+
+    none = F.array().cast("array<struct<k:int,y:double,h:double>>")
+    start = F.struct(none.alias("opened"), F.array().cast("array<int>").alias("starts"), F.lit(0).alias("n"))
+    return F.aggregate(boxes, start, step, lambda s: s.starts)
 
 
 def with_lines(fragments: DataFrame) -> DataFrame:
     """good fragments with line: which fragment of the same file and page opened their line.
 
     Lines are found from top to bottom, each fragment joining the first whose opener it overlaps; what a
-    fragment joins depends on all before it, so a page is one group. A page has few fragments.
+    fragment joins depends on all before it, so a page is one array. A page has few fragments.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(y=[b[1] for b in pdf["box"]], x=[b[0] for b in pdf["box"]]).sort_values(["y", "x", "id"], kind="stable")
-        return pdf.assign(line=_line_starts([list(b) for b in pdf["box"]]))[["id", "file", "page", "page_entry", "box", "text", "kind", "line"]]
-
-    schema = "id string, file string, page int, page_entry string, box array<double>, text string, kind string, line int"
-    return good(fragments).groupBy("file", "page").applyInPandas(run, schema)
+    box = F.col("box")
+    each = F.struct(box[1].alias("y"), box[0].alias("x"), "id", "page_entry", "box", "text", "kind")
+    pages = good(fragments).groupBy("file", "page").agg(F.array_sort(F.collect_list(each)).alias("m"))
+    lines = pages.withColumn("starts", _line_starts(F.transform("m", lambda f: f.box)))
+    out = lines.select("file", "page", F.explode(F.arrays_zip("m", "starts")).alias("z"))
+    return out.select("z.m.id", "file", "page", "z.m.page_entry", "z.m.box", "z.m.text", "z.m.kind", F.col("z.starts").alias("line"))
 
 
 def atlas_groups(fragments: DataFrame, least: int = LEAST_PARTS) -> DataFrame:
