@@ -59,16 +59,23 @@ def shingle_sets(texts: list[bytes | None], size: int = SHINGLE) -> list[tuple[n
     """For each text two 64-bit hashes of its distinct shingles of `size` words, sorted by the first."""
     names = Names()
     numbers = [np.array(list(map(names.__getitem__, words_of(t))), np.int64) for t in texts]
-    digests = np.frombuffer(bytes(names.digests), np.uint64).reshape(-1, 2)
-    out = []
-    for number in numbers:
-        n, lanes = len(number), digests[number]
-        width = min(size, n)  # a shorter text is one shingle
-        key = np.full((n - width + 1 if n else 0, 2), width, np.uint64)
+    lanes = np.frombuffer(bytes(names.digests), np.uint64).reshape(-1, 2)[np.concatenate(numbers)]
+
+    def chained(lanes: np.ndarray, width: int) -> np.ndarray:
+        """Two hashes of each run of `width` words."""
+        key = np.full((max(0, len(lanes) - width + 1), 2), width, np.uint64)
         for k in range(width):
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + lanes[k : n - width + 1 + k])
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + lanes[k : len(key) + k])
+        return key
+
+    # Of all texts at once; runs that reach into the next text are left out below.
+    keys, out, at = chained(lanes, size), [], 0
+    for n in map(len, numbers):
+        # A shorter text is one shingle.
+        key = keys[at : at + n - size + 1] if n >= size else chained(lanes[at : at + n], n)[: min(n, 1)]
         first, place = np.unique(key[:, 0], return_index=True)
         out.append((first, key[place, 1]))
+        at += n
     return out
 
 
