@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexiflow.session import checkpoint
+
 #: Rows and bytes of their texts that a side may have to be broadcast: 10 MB and 200 bytes a row at most.
 BROADCAST_ROWS, BROADCAST_BYTES = 50_000, 10_000_000
 
@@ -46,3 +48,21 @@ def nested() -> Column:
     `select("row.*")` gives the row back.
     """
     return F.struct("*").alias("row")
+
+
+def numbered(df: DataFrame, *order: Column) -> DataFrame:
+    """df with n, from 1, in a global order: sorted by ranges, then counted on from the partitions before.
+
+    The driver holds one count for each partition.
+    """
+    at = F.monotonically_increasing_id()  # number of the partition and place in it
+    rows = checkpoint(df.orderBy(*order).withColumn("n", at))
+    part = F.shiftright("n", 33)
+    counts = dict(rows.groupBy(part.alias("part")).count().collect())
+    before, offsets = 0, []
+    for k in sorted(counts):
+        offsets.append((k, before))
+        before += counts[k]
+    known = df.sparkSession.createDataFrame(offsets or [(-1, 0)], "part long, before long")
+    placed = rows.withColumn("part", part).join(F.broadcast(known), "part")
+    return placed.withColumn("n", F.col("n").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before") + 1).drop("part", "before")

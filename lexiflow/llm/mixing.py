@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexiflow.llm.common import blank_words, small_side
+from lexiflow.llm.common import blank_words, numbered, small_side
 from lexiflow.session import checkpoint, table
 
 WEIGHTS = (5, 2, 1)
@@ -90,13 +90,36 @@ def fit(counts: dict[int, int], budget: int) -> dict[int, int]:
     return taken
 
 
+def planned(totals: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES) -> DataFrame:
+    """source, source_size, target, times and budget for totals (source, size), one row each: targets() as a plan.
+
+    All sources whose limit is below the common level of words by weight are full; what they leave raises the
+    level, until no further source is. The driver holds the level and sums, not the sources.
+    """
+    first = F.array(*(F.lit(w) for w in weights))
+    ranked = checkpoint(numbered(totals, F.col("source").asc_nulls_last()).withColumn("weight", F.get(first, ((F.col("n") - 1) % len(weights)).cast("int"))))
+    limit = most_times * F.col("size")
+    level, full = 0.0, -1
+    while True:
+        below = limit / F.col("weight") < level
+        everything, held, free, now = ranked.agg(
+            F.sum("size"), F.sum(F.when(below, limit)), F.sum(F.when(~below, F.col("weight"))), F.count_if(below)
+        ).first()  # one row
+        if now == full or not free:
+            break
+        level, full = (everything - (held or 0)) / free, now
+    target = F.when(limit / F.col("weight") < level, limit.cast("double")).otherwise(level * F.col("weight"))
+    times = F.when(F.col("size") > 0, F.least(F.lit(most_times), F.floor(F.col("target") / F.col("size")))).otherwise(0).cast("int")
+    left = F.when(F.col("times") < most_times, F.floor(F.col("target") - F.col("times") * F.col("size"))).otherwise(0).cast("long")
+    return ranked.withColumn("target", target).withColumn("times", times).select("source", F.col("size").alias("source_size"), "target", "times", left.alias("budget"))
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target and taken, one row for each row of docs.
 
     Sizes are words; null, empty and blank texts have size 0 and are never taken. A null source is a
     source of its own. Rows that repeat a doc_id are documents of their own; where only some of equal rows
     are taken, it does not matter which. Other columns are ignored; an empty table gives an empty result.
-    The table of sources (one row each, not of documents) is held by the driver.
     """
     sized = checkpoint(
         docs.select(
@@ -106,28 +129,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_times: int = MOST_TIMES, seed: in
             F.xxhash64(F.lit(seed), F.col("doc_id")).alias("lot"),
         ).withColumn("part", F.pmod(F.shiftright("lot", 17), F.lit(PARTS)).cast("int"))
     )
-    totals = {r["source"]: r["size"] for r in sized.groupBy("source").agg(F.sum("size").alias("size")).collect()}
-    target = targets(totals, weights, most_times)
-    times = {s: min(most_times, int(target[s] // n)) if n else 0 for s, n in totals.items()}
-    budget = {s: int(target[s] - times[s] * n) if times[s] < most_times else 0 for s, n in totals.items()}
+    plan = checkpoint(planned(sized.groupBy("source").agg(F.sum("size").alias("size")), weights, most_times).withColumnRenamed("source", "plan_source"))
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
-        source = pdf["source"].iloc[0]
-        taken = fit(dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), budget[source if isinstance(source, str) else None])
+        taken = fit(dict(zip(pdf["size"].tolist(), pdf["n"].tolist(), strict=True)), int(pdf["budget"].iloc[0]))
         return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "k": [taken.get(k, 0) for k in pdf["size"].tolist()]})
 
     parts = sized.groupBy("source", "size", "part").agg(F.count(F.lit(1)).alias("n"))
     lengths = parts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    chosen = lengths.groupBy("source").applyInPandas(fitted, "source string, size long, k long")
+    budgets = plan.select(F.col("plan_source").alias("s"), "budget")
+    chosen = lengths.join(small_side(budgets), F.col("source").eqNullSafe(F.col("s"))).drop("s").groupBy("source").applyInPandas(fitted, "source string, size long, k long")
     before = F.sum("n").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     a, b = parts.withColumn("before", F.coalesce(before, F.lit(0))).alias("a"), chosen.alias("b")
     shares = a.join(b, F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size"))).select(
         F.col("a.source").alias("s"), F.col("a.size").alias("z"), F.col("a.part").alias("p"), (F.col("k") - F.col("before")).alias("more")
     )
-    spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(s, totals[s], target[s], times[s]) for s in totals], "plan_source string, source_size long, target double, times int"
-    )
     turn = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("lot", "doc_id"))
     rows = sized.withColumn("turn", turn).join(
         shares, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p"))

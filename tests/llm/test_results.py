@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexiflow.llm import decontaminate, language, licences, lines, links, minhash, mixing, passages, quality, queries, repeats, rules, suffixes
+from lexiflow.llm import common, decontaminate, language, licences, lines, links, minhash, mixing, passages, quality, queries, repeats, rules, suffixes
 from lexiflow.llm.arrow import Rolling
 from tests.compare import same
 
@@ -388,6 +388,22 @@ def test_targets():
     assert mixing.targets({}) == {} and mixing.targets({"a": 0}) == {"a": 0.0}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_planned_targets(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i}": rng.choice([0, rng.randint(1, 50), rng.randint(1, 20_000)]) for i in range(rng.randint(1, 30))} | {None: 70}
+    got = mixing.planned(spark.createDataFrame(list(sizes.items()), "source string, size long").repartition(3)).collect()
+    expected = mixing.targets(sizes)
+    assert {r["source"]: r["target"] for r in got} == {s: pytest.approx(t) for s, t in expected.items()}
+    assert all(r["times"] == (min(3, int(r["target"] // r["source_size"])) if r["source_size"] else 0) for r in got)
+
+
+def test_numbered(spark):
+    rows = spark.createDataFrame([(i * 7919 % 503,) for i in range(503)], "k long").repartition(5)
+    assert sorted((r["n"], r["k"]) for r in common.numbered(rows, F.col("k").desc()).collect()) == [(i + 1, 502 - i) for i in range(503)]
+    assert common.numbered(rows.limit(0), F.col("k")).count() == 0
+
+
 def test_mix(spark, sf):
     rows = mixing.op5_mixing(spark, sf).collect()
     docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
