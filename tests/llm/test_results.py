@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lexiflow.llm import common, decontaminate, language, licences, lines, links, minhash, mixing, passages, quality, queries, repeats, rules, suffixes
+from lexiflow.llm import common, decontaminate, language, licences, lines, links, minhash, mixing, passages, quality, queries, repeats, rules, suffixes, whole_order
 from lexiflow.llm.arrow import Rolling
 from tests.compare import same
 
@@ -616,3 +616,18 @@ def test_sparse_sites_lean_on_the_whole(spark):
     known = docs.select("doc_id", F.lit(1).alias("quality"), (F.col("text") == bad).cast("int").alias("toxic"))
     site = {r["doc_id"]: r["site"] for r in quality.classify(docs, known).collect()}
     assert site[2000] > 0.8 > site[1001] > site[1] and abs(site[1] - 0.1) < 0.05
+
+
+@pytest.mark.parametrize(("letters", "n"), [("ab", 60), ("a", 30), ("abcdefgh", 70)])
+def test_order_of_a_whole_corpus(spark, letters, n):
+    """The distributed sort, recursion and merge included, orders suffixes as plain sorting does."""
+    s = [ord(c) for c in random.Random(n).choices(letters, k=n)]
+    symbols = spark.createDataFrame(list(enumerate(s)), "pos long, s long").repartition(3)
+    got = {r["pos"]: r["rank"] for r in whole_order.suffix_ranks(symbols, one_task=12).collect()}
+    assert [p for p, _ in sorted(got.items(), key=lambda x: x[1])] == sorted(range(n), key=lambda i: s[i:])
+
+
+def test_symbols_of_documents(spark):
+    docs = spark.createDataFrame([(2, "é"), (1, "ab"), (3, None)], "doc_id long, text string")
+    got = [r["s"] for r in sorted(whole_order.corpus_symbols(docs).collect())]
+    assert got == [99, 100, 1, 0xC3 + 2, 0xA9 + 2, 1, 1]
