@@ -234,6 +234,31 @@ def test_pdf(spark):
     assert [tuple(r) for r in pdf.pdf_lines(df).orderBy("line").collect()] == [("a.pdf", 0, 0, "你AB"), ("a.pdf", 0, 1, "A")]
 
 
+def test_pdf_fonts_filters_and_packed_objects():
+    """Two fonts with other codes on one page, ranges as lists, wide shifts, resources above, objects in streams, LZW."""
+    import base64
+    import zlib
+
+    def obj(n, head, data=None):
+        return b"%d 0 obj %s" % (n, head) + (b"\nstream\n" + data + b"\nendstream" if data is not None else b"") + b" endobj\n"
+
+    one = b"1 beginbfrange <01> <02> [<0048> <00690021>] endbfrange"
+    two = b"1 beginbfchar <0001> <4F60> endbfchar 1 beginbfrange <0002> <0003> <0041> endbfrange"
+    page = b"BT /F1 9 Tf <01> Tj [<02> -400 <01> 20 <02>] TJ T* /F2 9 Tf <000100020003> Tj (a\\\nb) ' ET"
+    packed = b"<</Type /Page /Parent 2 0 R /Contents [5 0 R 6 0 R]>> <</ToUnicode 9 0 R>>"
+    at = packed.index(b" <</ToU") + 1
+    head = b"4 0 8 %d " % at
+    lzw_codes = [256, 45, 45, 258]  # "-" * 4 after a clear
+    bits = "".join(f"{c:09b}" for c in [*lzw_codes, 257])
+    data = (
+        b"%PDF-1.5\n" + obj(2, b"<</Type /Pages /Resources <</Font <</F1 7 0 R /F2 8 0 R>>>>>>") + obj(3, b"<</Type /ObjStm /N 2 /First %d /Filter /FlateDecode>>" % len(head), zlib.compress(head + packed))
+        + obj(5, b"<</Filter [/ASCII85Decode /FlateDecode]>>", base64.a85encode(zlib.compress(page), adobe=True)) + obj(6, b"<<>>", b"BT <0002> Tj ET")
+        + obj(7, b"<</ToUnicode 10 0 R>>") + obj(9, b"<<>>", two) + obj(10, b"<<>>", one)
+    )
+    assert pdf.pdf_pages(data) == ["Hi! Hi!\n你AB\nab\nA"]
+    assert pdf.lzw(int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")) == b"----"
+
+
 def test_ledger_and_streams(spark, tmp_path):
     import datetime as dt
 
