@@ -11,9 +11,9 @@ from lexiflow.extract.parse import html_entries, parse_binaries, parse_texts
 from lexiflow.extract.rows import extracted
 from lexiflow.functions import encoding, text, timecode
 from lexiflow.functions.geometry import union_box
-from lexiflow.operators import export, groups
+from lexiflow.operators import export, groups, regions
 from lexiflow.plans.registry import query
-from lexiflow.sources import archives
+from lexiflow.sources import archives, pdf
 
 
 def _files(rows: DataFrame, key: str, ext: str, order: str, piece: Column, head: str = "", between: str = "\n", tail: str = "", name: str = "f") -> DataFrame:
@@ -372,3 +372,113 @@ def q72_union_boxes(spark, read):
     box = F.array(F.col("l_linenumber").cast("double"), F.col("l_suppkey").cast("double"), F.lit(7.0), F.lit(9.0))
     made = read("lineitem").select("l_orderkey", box.alias("box")).groupBy("l_orderkey").agg(union_box(F.col("box")).alias("u"))
     return made.select("l_orderkey", *(F.col("u")[i].alias(c) for i, c in enumerate("xywh")))
+
+
+@query(
+    """
+SELECT 'f' || c_custkey || '.pdf' AS file, CAST(0 AS INT) AS page, unnest([0, 1, 2]) AS line, unnest([c_name || ' 你', 'Of ' || c_mktsegment, 'A(b)c']) AS source FROM customer
+UNION ALL SELECT 'f' || c_custkey || '.pdf', CAST(1 AS INT), 0, 'Two pages' FROM customer
+"""
+)
+def q87_pdf_lines(spark, read):
+    """Two pages; a font with a map and one without; an escaped, nested string; a wide shift; a line without letters."""
+    parts = [
+        F.lit("%PDF-1.4\n1 0 obj <</Type /Page /Contents 3 0 R /Resources <</Font <</F1 5 0 R /F2 6 0 R>>>>>> endobj\n2 0 obj <</Type/Page /Contents [4 0 R] /Resources <<>>>> endobj\n3 0 obj <<>>\nstream\nBT /F2 9 Tf ("),
+        F.col("c_name"), F.lit(" ) Tj /F1 9 Tf <01> Tj 0 -9 Td /F2 9 Tf [(Of) -300 ("), F.col("c_mktsegment"),
+        F.lit(") 10] TJ T* (A\\(b\\)c) Tj T* (12) Tj ET\nendstream endobj\n4 0 obj <<>>\nstream\nBT (Two p) Tj (ages) Tj ET\nendstream endobj\n5 0 obj <</ToUnicode 7 0 R>> endobj\n6 0 obj <<>> endobj\n7 0 obj <<>>\nstream\n1 beginbfchar <01> <4F60> endbfchar\nendstream endobj\n"),
+    ]
+    files = read("customer").select(F.concat(F.lit("f"), "c_custkey", F.lit(".pdf")).alias("rel"), F.encode(F.concat(*parts), "UTF-8").alias("content"))
+    return pdf.pdf_lines(files)
+
+
+@query(
+    """
+WITH u AS (SELECT l_orderkey AS id, l_linenumber AS n, l_partkey % 3 AS f, l_suppkey % 2 AS out FROM (SELECT DISTINCT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY l_orderkey, l_linenumber)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) - 1 AS step, count(*) OVER (PARTITION BY id) AS parts FROM u)
+SELECT id, CAST(step AS INT) AS step, 'erase' AS op, 'f' || f AS file, NULL AS text FROM r WHERE f <> 0 OR out = 0
+UNION ALL SELECT id, CAST(max(parts) AS INT), 'draw', 'f0', 'T' || id FROM r WHERE id % 2 = 1 GROUP BY id
+"""
+)
+def q88_image_operations(spark, read):
+    """What is wiped on a label's own sheet and on others, and what is drawn."""
+    one = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg((F.min("l_partkey") % 3).alias("f"), (F.min("l_suppkey") % 2).alias("out"))
+    place = F.array(F.when(F.col("out") == 0, 10.0).otherwise(5000.0), F.lit(10.0), F.lit(20.0), F.lit(20.0))
+    part = F.struct("l_linenumber", F.concat(F.lit("f"), "f").alias("file"), place.alias("box"))
+    labels = one.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(part)).alias("parts"))
+    target = F.when(F.col("l_orderkey") % 2 == 1, F.concat(F.lit("T"), "l_orderkey")).otherwise(F.lit(""))
+    box = F.array(*(F.lit(x) for x in (0.0, 0.0, 900.0, 90.0)))
+    made = labels.select(F.col("l_orderkey").alias("id"), F.lit("f0").alias("file"), F.lit(None).cast("int").alias("page"), box.alias("box"), "parts", target.alias("target"))
+    return export.image_operations(made).select("id", "step", "op", "file", "text")
+
+
+@query(
+    """
+SELECT * FROM (SELECT 'i' || n_nationkey || '.png' AS file, CAST(NULL AS INT) AS page, NULL AS page_entry FROM nation ORDER BY 'i' || n_nationkey || '.png')
+UNION ALL SELECT * FROM (SELECT 'z' || c_nationkey || '.cbz', CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS INT), 'p' || c_custkey || '.jpg' FROM customer)
+"""
+)
+def q89_recognition_targets(spark, read):
+    """Images first, then archive pages in natural order."""
+    files = read("nation").select(F.concat(F.lit("i"), "n_nationkey", F.lit(".png")).alias("rel"), F.lit("image").alias("kind"))
+    rows = read("customer").select(F.concat(F.lit("z"), "c_nationkey", F.lit(".cbz")).alias("path"), F.concat(F.lit("p"), "c_custkey", F.lit(".jpg")).alias("name"))
+    pages = archives.pages(rows, text.natural_key(F.col("name")), ("jpg",), 1 << 30)
+    return archives.targets(files, pages, 1 << 30)
+
+
+@query(
+    """
+SELECT 'a' || n_nationkey AS path, CASE WHEN n_nationkey % 3 = 0 THEN 'd/../../' || n_name WHEN n_nationkey % 3 = 1 THEN 'C:/' || n_name ELSE 'd/../' || n_name END AS name,
+  CASE WHEN n_nationkey % 3 = 2 THEN n_name END AS text, CASE WHEN n_nationkey % 3 <> 2 THEN 'unsafe name' END AS error FROM nation
+"""
+)
+def q90_unsafe_members(spark, read):
+    """Names that would leave the folder give an error and no data."""
+    k = F.col("n_nationkey") % 3
+    name = F.concat(F.when(k == 0, F.lit("d/../../")).when(k == 1, F.lit("C:/")).otherwise(F.lit("d/../")), F.col("n_name"))
+    rows = read("nation").select(F.concat(F.lit("a"), "n_nationkey").alias("archive"), name.alias("name"), F.encode("n_name", "UTF-8").alias("data"))
+    members = archives.members(export.packed(rows).withColumnRenamed("archive", "path"))
+    return members.select("path", "name", F.decode("data", "UTF-8").alias("text"), "error")
+
+
+@query(
+    """
+SELECT page_id, w || 'x' || h AS size, 'x' AS crop, (h + 4) * (w + 4) AS area, 4 * h * w AS grown, 200 AS ground FROM (SELECT page_id, 4 + page_id % 9 AS h, 5 + page_id % 7 AS w FROM pages)
+"""
+)
+def q91_crops(spark, read):
+    """Crops with a margin, enlarged pieces and wiped boxes of a plain image, counted in pixels."""
+    import numpy as np
+
+    @F.pandas_udf("area long, grown long, ground long")
+    def run(h: pd.Series, w: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in zip(h, w, strict=True):
+            image = np.full((40, 50), 200, np.uint8)
+            image[10 : 10 + a, 12 : 12 + b] = 0
+            box = (12.0, 10.0, float(b), float(a))
+            out.append((regions.crop(image, box, 2).size, regions.resized(regions.crop(image, box), 2).size, int(regions.erased(image, [box]).min())))
+        return pd.DataFrame(out, columns=["area", "grown", "ground"])
+
+    sized = read("pages").select("page_id", (4 + F.col("page_id") % 9).alias("h"), (5 + F.col("page_id") % 7).alias("w"))
+    return sized.select("page_id", F.concat("w", F.lit("x"), "h").alias("size"), F.lit("x").alias("crop"), run("h", "w").alias("r")).select("page_id", "size", "crop", "r.*")
+
+
+@query("SELECT page_id, 30 + page_id % 20 AS x, 40 + page_id % 9 AS y, 45 AS w, 20 AS h FROM pages")
+def q92_text_regions(spark, read):
+    """The one region of an image with a line of marks."""
+    import numpy as np
+
+    @F.pandas_udf("array<array<int>>")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for a, b in zip(x, y, strict=True):
+            page = np.full((200, 300), 240, np.uint8)
+            for k in range(0, 45, 5):
+                page[b : b + 20, a + k : a + k + 5 if k == 40 else a + k + 3] = 20
+            page[b : b + 2, a : a + 45] = 20
+            out.append([[r.x, r.y, r.w, r.h] for r in regions.detect(page)])
+        return pd.Series(out)
+
+    placed = read("pages").select("page_id", (30 + F.col("page_id") % 20).alias("px"), (40 + F.col("page_id") % 9).alias("py"))
+    each = placed.select("page_id", F.explode(run("px", "py")).alias("r"))
+    return each.select("page_id", *(F.col("r")[i].alias(c) for i, c in enumerate("xywh")))
