@@ -107,8 +107,8 @@ def exact(text: Column, terms: list[Term]) -> Column:
     return F.try_element_at(F.create_map(*(F.lit(x) for kv in plain.items() for x in kv)), text)
 
 
-def steps(terms: list[Term]) -> list[tuple[str, str, str]]:
-    """(pattern, replacement, what a text must hold in lower case for the pattern to match) in the order of folding.
+def steps(terms: list[Term]) -> list[tuple[str, str, str, bool]]:
+    """(pattern, replacement, what a text must hold in lower case for the pattern to match, whether it may give what was there) in the order of folding.
 
     Plain terms come first, the longest ones ahead and in list order among equals; those of Latin letters
     match whole words in any case, others exactly. Regular expressions follow in list order.
@@ -116,10 +116,13 @@ def steps(terms: list[Term]) -> list[tuple[str, str, str]]:
     out = []
     for t in sorted((t for t in terms if not t.regex), key=lambda t: -len(t.source)):
         word = re.match(LATIN, t.source)
-        pattern = rf"(?i)(?<![A-Za-z0-9_])\Q{t.source}\E(?![A-Za-z0-9_])" if word else rf"\Q{t.source}\E"
+        # What stands before a word is looked at behind it, so that most places are left after one letter.
+        around = rf"(?i)\Q{t.source}\E(?<![A-Za-z0-9_](?s:.{{{len(t.source)}}}))(?![A-Za-z0-9_])"
+        pattern = around if word else rf"\Q{t.source}\E"
         # What is not Latin is looked for as it is: letters may have no single form in lower case.
-        out.append((pattern, t.target.replace("\\", "\\\\").replace("$", "\\$"), t.source.lower() if word else ""))
-    return out + [(t.source, t.target, "") for t in terms if t.regex]
+        same = t.source.lower() == t.target.lower()
+        out.append((pattern, t.target.replace("\\", "\\\\").replace("$", "\\$"), t.source.lower() if word else "", same))
+    return out + [(t.source, t.target, "", True) for t in terms if t.regex]
 
 
 def folded(text: Column, terms: list[Term], listed: Column | None = None) -> Column:
@@ -129,23 +132,30 @@ def folded(text: Column, terms: list[Term], listed: Column | None = None) -> Col
     steps as one array, if they are too many for a literal.
     """
     made = steps(terms)
-    state = F.struct(text.alias("t"), F.lower(text).alias("low"), F.lit(False).alias("hit"))
-    if made:
-        if listed is None:
-            listed = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(r).alias("r"), F.lit(n).alias("n")) for p, r, n in made))
+    if not made:
+        return F.struct(text.alias("t"), F.lit(False).alias("hit"))
+    if listed is None:
+        listed = F.array(*(F.struct(F.lit(p).alias("p"), F.lit(r).alias("r"), F.lit(n).alias("n"), F.lit(q).alias("q")) for p, r, n, q in made))
 
-        def step(s: Column, x: Column) -> Column:
-            new = F.regexp_replace(s.t, x.p, x.r)
-            return F.when(s.low.contains(x.n) & F.regexp_like(s.t, x.p), F.struct(new.alias("t"), F.lower(new).alias("low"), F.lit(True).alias("hit"))).otherwise(s)
+    def state(t: Column, low: Column, hit: Column) -> Column:
+        return F.struct(t.alias("t"), low.alias("low"), hit.alias("hit"))
 
-        state = F.aggregate(listed, state, step)
-    return F.struct(state.t.alias("t"), state.hit.alias("hit"))
+    def step(s: Column, x: Column) -> Column:
+        # An array of one value, so that the value has a name and is made once.
+        new = F.transform(
+            F.array(F.regexp_replace(s.t, x.p, x.r)),
+            lambda v: F.when(v != s.t, state(v, F.lower(v), F.lit(True))).otherwise(state(s.t, s.low, s.hit | (x.q & F.regexp_like(s.t, x.p)))),
+        )
+        return F.when(s.low.contains(x.n), F.get(new, F.lit(0))).otherwise(s)
+
+    start = state(text, F.lower(text), F.lit(False))
+    return F.aggregate(listed, start, step, lambda s: F.struct(s.t.alias("t"), s.hit.alias("hit")))
 
 
 def listed_steps(terms: list[Term]) -> Column:
     """The steps as one literal text that is read once, for glossaries of any length."""
-    rows = json.dumps([dict(zip("prn", x, strict=True)) for x in steps(terms)])
-    return F.from_json(F.lit(rows), "array<struct<p:string,r:string,n:string>>")
+    rows = json.dumps([dict(zip("prnq", x, strict=True)) for x in steps(terms)])
+    return F.from_json(F.lit(rows), "array<struct<p:string,r:string,n:string,q:boolean>>")
 
 
 def looked_up(entries: DataFrame, terms: list[Term], cache: DataFrame | None = None) -> DataFrame:

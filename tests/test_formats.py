@@ -1,5 +1,7 @@
 """Extractors of single formats, on texts as they occur in projects."""
 
+import re
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -143,3 +145,15 @@ def test_encodings(encoding):
     data = encode(text, encoding, mark=encoding.startswith("utf-16"))
     assert decode(data, encoding)[:2] == (text, encoding)
     assert encode("你们😀", "shift_jis").endswith(b"??") or encoding
+
+
+def test_stripped(spark):
+    from pyspark.sql import functions as F
+
+    from lexiflow.functions import text
+
+    every = [chr(c) for c in range(0x3001) if re.match(text.BLANK, chr(c))] + ["\ufeff"]
+    assert sorted(every) == sorted(text.BLANKS)
+    rows = [f"{b} é x{b}y {b}" for b in every] + ["", "   ", None, "a"]
+    got = spark.createDataFrame([(r,) for r in rows], "t string").select("t", text.stripped(F.col("t")).alias("s")).collect()
+    assert all(r["s"] == (None if r["t"] is None else r["t"].strip("".join(every))) for r in got)
