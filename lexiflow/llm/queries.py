@@ -20,5 +20,6 @@ SQL = {
     "op2_decontaminate": decontaminate.OP2_SQL,
     "op3_minhash": minhash.OP3_SQL,
     "op7_quality_rules": rules.OP7_SQL,
+    "op8_suffix_dedup": suffixes.OP8_SQL,
     "op10_substring_dedup": passages.OP10_SQL,
 }
