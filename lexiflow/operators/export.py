@@ -62,9 +62,7 @@ def _chars(text: str, rows: list[dict]) -> tuple[str, int]:
 
 
 def _html(text: str, rows: list[dict]) -> tuple[str, int]:
-    import html as entities
-
-    held = [r for r in rows if entities.unescape(text[r["start"] : r["stop"]]) == r["source"]]
+    held = [r for r in rows if html.decoded(text[r["start"] : r["stop"]]) == r["source"]]
     return html.patched(text, [(r["start"], r["stop"], r["target"]) for r in held]), len(held)
 
 

@@ -111,6 +111,16 @@ def test_markup():
     assert markup.resolved("a/b/c.opf", "../d/./e.html") == "a/d/e.html"
 
 
+def test_references_end_with_a_semicolon():
+    page = "<p>a&amp</p><p>&ampb; &lt;&amp;lt; &copy &copy;&#65;&#x42;&#67</p>"
+    nodes = markup.text_nodes(page)
+    assert [n.text for n in nodes] == ["a&amp", "&ampb; <&lt; &copy ©AB&#67"]
+    from lexiflow.operators.export import patched_content
+
+    rows = [{"start": n.start, "stop": n.end, "source": n.text, "target": "x"} for n in nodes]
+    assert patched_content(page.encode(), "htmlchars", rows) == (b"<p>x</p><p>x</p>", 2)
+
+
 def marshal_map(texts):
     """A map as a game writes it, with repeated symbols and a shared string."""
     n = marshal.Node
