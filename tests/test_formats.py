@@ -1,5 +1,6 @@
 """Extractors of single formats, on texts as they occur in projects."""
 
+import random
 import re
 
 import pytest
@@ -99,6 +100,26 @@ def test_structured():
     assert fresh == {"a": [None, {"b": "x"}]}
 
 
+def test_all_strings_of_a_long_file():
+    import json
+
+    text = json.dumps({f"k{n}": f"v {n}" for n in range(3_500)})
+    found = structured.json_entries("long.json", text)
+    assert [f.source for f in found] == [f"v {n}" for n in range(3_500)]
+
+
+def test_many_places_are_replaced_at_once():
+    rng = random.Random(1)
+    for _ in range(2_000):
+        text = "".join(rng.choices("abcdef", k=rng.randint(0, 12)))
+        places = [sorted(rng.choices(range(len(text) + 1), k=2)) for _ in range(rng.randint(0, 4))]
+        patches = sorted(((a, b, rng.choice(["", "X", "YZ"])) for a, b in places), reverse=True)
+        expected = text
+        for a, b, new in patches:
+            expected = expected[:a] + new + expected[b:]
+        assert markup.spliced(text, patches) == expected
+
+
 def test_markup():
     page = "<html><head><title>T</title></head><body><p>a &rsquo; <b>b</b><br>c</p><!-- x --><script>no</script><svg><text>no</text></svg> <i>d</i></body></html> tail"
     nodes = markup.text_nodes(page)
