@@ -226,15 +226,17 @@ def served(pending: DataFrame, translate: Callable[[list[tuple[str, str]]], list
 
 
 def translated(
-    entries: DataFrame, terms: list[Term], cache: DataFrame | None = None, translate=None, done: DataFrame | None = None, limit: int = 500, offset: int = 0, force: bool = False
+    entries: DataFrame, terms: list[Term], cache: DataFrame | None = None, translate=None, done: DataFrame | None = None, limit: int | None = 500, offset: int = 0, force: bool = False
 ) -> DataFrame:
     """One run over the pending entries (ord, id, context, source): ord, id, context, source, target, method.
 
-    done (id) is left out unless force. Offset, then limit, in the order of ord. force goes round cache and
-    glossary but not round the skip rule. Of texts with equal source and context the service sees the first.
+    done (id) is left out unless force. Offset, then limit, in the order of ord; without a limit all that is
+    pending. force goes round cache and glossary but not round the skip rule. Of texts with equal source and
+    context the service sees the first.
     """
     pool = entries if force or done is None else entries.join(done.select("id").distinct(), "id", "left_anti")
-    batch = pool.orderBy("ord").offset(offset).limit(min(max(limit, 1), 20_000)).select("ord", "id", "context", "source")
+    batch = pool if limit is None and not offset else pool.orderBy("ord").offset(offset)
+    batch = (batch if limit is None else batch.limit(max(limit, 1))).select("ord", "id", "context", "source")
     found = with_skips(looked_up(batch, [] if force else terms, None if force else cache))
     if translate is None:
         return found

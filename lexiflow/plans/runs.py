@@ -65,7 +65,7 @@ _SERVED = f"""(SELECT ord, id, context, source, CASE WHEN method <> 'passthrough
 @query(_SERVED.removeprefix("(").removesuffix(")"))
 def q75_service_run(spark, read):
     """With a service: it sees the first of equal texts, the others take its answer."""
-    return translate.translated(_entries(read), [Term("widget", "部件")], translate=_service, limit=20_000)
+    return translate.translated(_entries(read), [Term("widget", "部件")], translate=_service, limit=None)
 
 
 @query(
@@ -75,7 +75,7 @@ UNION ALL SELECT n_name AS source, 'N' AS target FROM nation
 """
 )
 def q76_cache_written_back(spark, read):
-    results = translate.translated(_entries(read), [Term("widget", "部件")], translate=_service, limit=20_000)
+    results = translate.translated(_entries(read), [Term("widget", "部件")], translate=_service, limit=None)
     return translate.cached(read("nation").select(F.col("n_name").alias("source"), F.lit("N").alias("target")), results)
 
 

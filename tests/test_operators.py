@@ -72,6 +72,14 @@ def test_service_runs_once_for_each_text(spark, tmp_path):
     assert translate.translated(df, [], done=df.select("id")).count() == 0
 
 
+def test_a_run_without_limit_takes_all_entries(spark):
+    df = spark.range(20_500).selectExpr("id AS ord", "'e' || id AS id", "'c' AS context", "'text ' || chr(int(97 + id % 26)) AS source")
+    got = translate.translated(df, [], translate=lambda pairs: [s.upper() for _, s in pairs], limit=None)
+    assert got.where("method = 'api' AND target = upper(source)").count() == 20_500
+    assert translate.translated(df, [], limit=20_400).count() == 20_400
+    assert translate.translated(df, [], limit=None, offset=20_490).count() == 10
+
+
 def test_glossary_table():
     terms = translate.glossary_added(list(SEED), Term("Gold", "金"))
     assert len(terms) == 64 and Term("Gold", "金") in terms
