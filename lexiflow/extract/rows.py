@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from operator import attrgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiflow.functions.text import blank
 
 MOST_ENTRIES = 20_000
+#: Rows that are sent back at once, whatever the length of a file.
+CHUNK_ROWS = 2_000
 COLUMNS = "suffix string, format string, source string, loc string, ref_kind string, line int, start int, stop int, prefix string, tail string, quote string, path array<string>, tokens array<string>, begin_ms double, end_ms double"
 
 
-@dataclass
+@dataclass(slots=True)
 class Found:
     """One translatable string: where it is and how to write it back."""
 
@@ -40,28 +43,40 @@ def entry_id(rel: Column, suffix: Column) -> Column:
     return F.concat(rel, F.lit("#"), suffix)
 
 
-def extracted(files: DataFrame, extract: Callable[[str, object], list[Found]], content: str = "text") -> DataFrame:
+def extracted(files: DataFrame, extract: Callable[[str, object], Iterable[Found]], content: str = "text") -> DataFrame:
     """ord, id, file, engine and the columns of Found for each string that extract(rel, content) finds.
 
     A file that cannot be read gives one row whose format is `error` and whose source says why.
     """
     names = [c.split()[0] for c in COLUMNS.split(", ")]
+    columns = f"ord int, file string, engine string, {COLUMNS}"
+    types = {"string": pa.string(), "int": pa.int32(), "double": pa.float64(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(name, types[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+    values = attrgetter(*names)
+
+    def record(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for rel, engine, data in zip(pdf["rel"], pdf["engine"], pdf[content], strict=True):
+        rows = []
+        for batch in batches:
+            for rel, engine, data in zip(*batch.columns, strict=True):
+                rel, engine, data = rel.as_py(), engine.as_py(), data.as_py()
                 if data is None:
                     continue
                 try:
-                    found = [f for f in extract(rel, data) if f.source and f.source.strip()]
+                    found = [f for f in extract(rel, data) if f.source and not f.source.isspace()]
                 except (ValueError, KeyError, IndexError, TypeError, RecursionError) as e:
                     found = [Found("error", "error", f"{type(e).__name__}: {e}")]
-                rows += [(n, rel, engine, *(getattr(f, c) for c in names)) for n, f in enumerate(found)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["ord", "file", "engine", *names])
-
-    got = files.select("rel", "engine", content).mapInPandas(run, f"ord int, file string, engine string, {COLUMNS}")
+                for n, f in enumerate(found):
+                    rows.append((n, rel, engine, *values(f)))
+                    if len(rows) == CHUNK_ROWS:
+                        yield record(rows)
+                        rows = []
+        if rows:
+            yield record(rows)
+
+    got = files.select("rel", "engine", content).mapInArrow(run, columns)
     return got.withColumn("id", entry_id(F.col("file"), F.col("suffix")))
 
 

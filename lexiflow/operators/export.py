@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from lexiflow.extract import marshal, structured, subtitles, tabular
 from lexiflow.extract import markup as html
 from lexiflow.functions.encoding import decode, encode
+from lexiflow.session import spread
 from lexiflow.sources.archives import pack, reading_order, replaced, safe
 
 RESULT = "file string, content binary, applied int, refused int, error string"
@@ -119,8 +120,8 @@ def exported(files: DataFrame, patches: DataFrame) -> DataFrame:
     A file's patches are one group; a file that cannot be written keeps its content and has an error.
     """
     columns = ["ref_kind", "line", "start", "stop", "prefix", "tail", "quote", "path", "tokens", "source", "target"]
-    grouped = patches.groupBy("file").agg(F.collect_list(F.struct(*columns)).alias("rows"))
-    joined = files.select(F.col("rel").alias("_rel"), "content").join(grouped, F.col("_rel") == F.col("file"))
+    grouped = spread(patches, "file", each=8).groupBy("file").agg(F.collect_list(F.struct(*columns)).alias("rows"))
+    joined = spread(files.select(F.col("rel").alias("_rel"), "content"), "_rel", each=8).join(grouped, F.col("_rel") == F.col("file"))
 
     schema = pa.schema([("file", pa.string()), ("content", pa.binary()), ("applied", pa.int32()), ("refused", pa.int32()), ("error", pa.string())])
 
@@ -170,10 +171,13 @@ def books_exported(books: DataFrame, patches: DataFrame) -> DataFrame:
 def packed(rows: DataFrame) -> DataFrame:
     """archive and content from (archive, name, data)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"archive": [pdf["archive"].iloc[0]], "content": [pack([(n, bytes(d)) for n, d in zip(pdf["name"], pdf["data"], strict=True)])]})
+    schema = pa.schema([("archive", pa.string()), ("content", pa.binary())])
 
-    return rows.groupBy("archive").applyInPandas(run, "archive string, content binary")
+    def run(members: pa.Table) -> pa.Table:
+        content = pack(list(zip(members["name"].to_pylist(), members["data"].to_pylist(), strict=True)))
+        return pa.table([[members["archive"][0].as_py()], [content]], schema=schema)
+
+    return spread(rows.select("archive", "name", "data"), "archive").groupBy("archive").applyInArrow(run, "archive string, content binary")
 
 
 def sidecar(results: DataFrame) -> DataFrame:

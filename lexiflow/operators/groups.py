@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiflow.functions.geometry import usable
 from lexiflow.functions.text import stripped
+from lexiflow.session import dealt
 
 # Scripts written without blanks between words.
 UNSPACED = r"[ᄀ-ᇿ⺀-鿿가-힯豈-﫿︰-﹏＀-｠￠-￦]"
@@ -87,7 +88,7 @@ def atlas_groups(fragments: DataFrame, least: int = LEAST_PARTS) -> DataFrame:
     order = line.orderBy(F.col("box")[0], F.col("box")[1], "id")
     h = F.col("box")[3]
     sized = (
-        with_lines(fragments)
+        dealt(with_lines(fragments), "file", "page", "line")
         .withColumn("n", F.count(F.lit(1)).over(line))
         .withColumn("spread", F.max(h).over(line) / F.min(h).over(line))
         .withColumn("height", F.median(h).over(line))

@@ -191,14 +191,18 @@ def with_skips(results: DataFrame) -> DataFrame:
     return results.withColumn("method", F.when((F.col("method") == "passthrough") & skipped(F.col("source")), "skip").otherwise(F.col("method")))
 
 
-def firsts(pending: DataFrame, *keys: str) -> DataFrame:
-    """pending with first: whether a row is the first of its keys in the order of ord.
+def firsts(pending: DataFrame, *keys: str, answer: Column | None = None) -> DataFrame:
+    """pending with first: whether a row is the first of its keys in the order of ord; with answer, a column made once for equal keys.
 
-    The smallest ord is aggregated before the join back, so that a frequent text makes no long window.
+    The smallest ord is aggregated before the join back, so that a frequent text makes no long window. The rows
+    are moved once by their keys, and the keys once.
     """
-    least = pending.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("ord").alias("_least"))
+    least = pending.groupBy(*keys).agg(F.min("ord").alias("_least"))
+    if answer is not None:
+        least = least.withColumn("answer", answer)
+    named = least.select(*(F.col(k).alias(f"_{k}") for k in keys), "_least", *(["answer"] if answer is not None else []))
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return pending.join(least, on).withColumn("first", F.col("ord") == F.col("_least")).drop("_least", *(f"_{k}" for k in keys))
+    return pending.join(named, on).withColumn("first", F.col("ord") == F.col("_least")).drop("_least", *(f"_{k}" for k in keys))
 
 
 def served(pending: DataFrame, translate: Callable[[list[tuple[str, str]]], list[str]], chunk: int = 40) -> DataFrame:

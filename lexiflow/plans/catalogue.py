@@ -12,6 +12,7 @@ from lexiflow.functions import geometry, text, timecode
 from lexiflow.operators import export, groups, ledger, quality, recognise
 from lexiflow.operators.translate import SEED, Term, exact, firsts, looked_up, method_counts, progress, ranked, upserted, with_skips
 from lexiflow.plans.registry import query
+from lexiflow.session import dealt, spread
 from lexiflow.sources import files
 
 #: Terms of the catalogue: words of part names and of documents, one of which holds another.
@@ -258,9 +259,7 @@ SELECT doc_id, line, source, target, m = doc_id * 100000 + line AS first FROM (
 )
 def q13_dedupe_first(spark, read):
     lines = document_lines(read).where("raw <> ''").select("doc_id", "line", F.col("raw").alias("source"), "lang", (F.col("doc_id") * 100000 + F.col("line")).alias("ord"))
-    marked = firsts(lines, "source", "lang")
-    served = marked.where("first").select(F.col("source").alias("s"), F.col("lang").alias("l"), F.concat(F.lit("T:"), "source").alias("target"))
-    return marked.join(served, (F.col("source") == F.col("s")) & (F.col("lang") == F.col("l"))).select("doc_id", "line", "source", "target", "first")
+    return firsts(lines, "source", "lang", answer=F.concat(F.lit("T:"), "source")).select("doc_id", "line", "source", F.col("answer").alias("target"), "first")
 
 
 @query(
@@ -413,7 +412,7 @@ SELECT l_orderkey, CAST(phrase AS BIGINT) AS phrase, count(*) AS n, min(x) AS bx
 def q25_phrase_split(spark, read):
     w = Window.partitionBy("l_orderkey")
     b = F.col("box")
-    one = _boxes(read).withColumn("_n", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("box"))).where("_n = 1")
+    one = dealt(_boxes(read), "l_orderkey").withColumn("_n", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy("box"))).where("_n = 1")
     order = w.orderBy(b[0], "l_linenumber")
     cut = F.coalesce((b[0] - F.lag(b[0] + b[2]).over(order) > groups.GAP * F.median(b[3]).over(w)).cast("int"), F.lit(0))
     got = one.withColumn("cut", cut).withColumn("phrase", F.sum("cut").over(order)).groupBy("l_orderkey", "phrase").agg(F.count(F.lit(1)).alias("n"), geometry.union_box(b).alias("u"))
@@ -530,7 +529,7 @@ UNION ALL SELECT p_partkey, 'yaml', p_type, 'type: ', ' # y' FROM part
 """
 )
 def q33_ini_yaml_kv(spark, read):
-    p = read("part")
+    p = spread(read("part").select("p_partkey", "p_name", "p_type"), "p_partkey")
     ini = p.select("p_partkey", F.concat(F.lit("[s]\n; r = x\nname = "), "p_name", F.lit("  \nempty =\n")).alias("text"))
     yaml = p.select("p_partkey", F.concat(F.lit('# r: x\nname: "'), "p_name", F.lit('" # x\ntype: '), "p_type", F.lit(" # y\nlist: [a]\nempty:\n")).alias("text"))
     got = plain.ini_entries(ini, "p_partkey").withColumn("format", F.lit("ini")).unionByName(plain.yaml_entries(yaml, "p_partkey").withColumn("format", F.lit("yaml")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiflow.session import ship_by_value, table
+from lexiflow.session import bounded_batches, ship_by_value, table
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -16,6 +16,7 @@ def query(sql: str | None = None):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            bounded_batches(spark)
             return f(spark, lambda name: table(spark, sf_dir, name))
 
         run.__doc__ = f.__doc__

@@ -22,6 +22,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Most rows and bytes of an Arrow batch, where the session does not say otherwise: whole files are large rows.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1_000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Set BATCHES for what the session has not set itself, so that a Python worker holds little at once."""
+    for name, most in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, str(most))
+
+
+def spread(df: DataFrame, *keys: str, each: int = 4) -> DataFrame:
+    """df dealt by keys, `each` tasks a core: a table may come in few row groups, and Python works in its tasks."""
+    return df.repartition(each * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys to many tasks without Python, so that what a task sorts and gathers stays small.
+
+    The number is fixed, since adaptive execution joins tasks by their compressed size, and rows may pack well.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or, on one machine only (tests), a fresh local one."""
     sc = spark.sparkContext

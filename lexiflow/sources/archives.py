@@ -6,8 +6,11 @@ import io
 import posixpath
 import re
 import zipfile
+from collections.abc import Iterator
+from itertools import batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,9 @@ from lexiflow.extract.markup import attribute, chapters
 from lexiflow.functions.encoding import decode
 
 MEMBERS = "path string, name string, idx int, size long, method string, crc long, data binary, error string"
+SCHEMA = pa.schema([("path", pa.string()), ("name", pa.string()), ("idx", pa.int32()), ("size", pa.int64()), ("method", pa.string()), ("crc", pa.int64()), ("data", pa.binary()), ("error", pa.string())])
+#: Members that are sent back at once, whatever the length of an archive.
+CHUNK_ROWS = 1_000
 
 
 def safe(name: str) -> bool:
@@ -23,11 +29,10 @@ def safe(name: str) -> bool:
     return bool(name) and not clean.startswith(("/", "../")) and clean != ".." and not re.match(r"^[A-Za-z]:", clean)
 
 
-def members_of(path: str, content: bytes) -> list[tuple]:
-    """Rows of MEMBERS; one that cannot be read has an error and no data."""
+def members_of(path: str, content: bytes) -> Iterator[tuple]:
+    """Rows of MEMBERS, one by one; one that cannot be read has an error and no data."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as z:
-            rows = []
             for i, info in enumerate(z.infolist()):
                 if info.is_dir():
                     continue
@@ -39,39 +44,39 @@ def members_of(path: str, content: bytes) -> list[tuple]:
                 except (ValueError, RuntimeError, zipfile.BadZipFile, NotImplementedError) as e:
                     error = str(e)
                 method = {0: "store", 8: "deflate"}.get(info.compress_type, str(info.compress_type))
-                rows.append((path, info.filename, i, info.file_size, method, info.CRC, data, error))
-            return rows
+                yield path, info.filename, i, info.file_size, method, info.CRC, data, error
     except zipfile.BadZipFile as e:
-        return [(path, "", -1, 0, "", 0, None, str(e))]
+        yield path, "", -1, 0, "", 0, None, str(e)
 
 
 def members(archives: DataFrame) -> DataFrame:
     """One row for each member of each archive (path, content)."""
 
     def run(batches):
-        for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                rows = members_of(path, bytes(content)) if content is not None else []
-                if rows:
-                    yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBERS.split(", ")])
+        for batch in batches:
+            for path, content in zip(*batch.columns, strict=True):
+                for rows in batched(members_of(path.as_py(), content.as_py()) if content.is_valid else (), CHUNK_ROWS):
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), SCHEMA, strict=True)], schema=SCHEMA)
 
-    return archives.select("path", "content").mapInPandas(run, MEMBERS)
+    return archives.select("path", "content").mapInArrow(run, MEMBERS)
 
 
-def pages(rows: DataFrame, natural: Column, extensions: tuple[str, ...], most: int) -> DataFrame:
-    """Image members of each archive in natural order, numbered from 0, at most `most` in all."""
+def pages(rows: DataFrame, natural: Column, extensions: tuple[str, ...], most: int | None) -> DataFrame:
+    """Image members of each archive in natural order, numbered from 0, at most `most` in all; all of them without it."""
     from pyspark.sql import Window
 
     image = rows.where(F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1)).isin(*extensions))
     numbered = image.withColumn("page", F.row_number().over(Window.partitionBy("path").orderBy(natural, "name")) - 1)
-    return numbered.orderBy("path", "page").limit(most)
+    return numbered if most is None else numbered.orderBy("path", "page").limit(most)
+
 
+def targets(files: DataFrame, image_pages: DataFrame, most: int | None = 40) -> DataFrame:
+    """file, page and page_entry of what is to be read: images (rel, kind), then archive pages (path, name, page), at most `most`.
 
-def targets(files: DataFrame, image_pages: DataFrame, most: int = 40) -> DataFrame:
-    """file, page and page_entry of what is to be read: images (rel, kind), then archive pages (path, name, page), at most `most`."""
+    Without it all of them, in no order."""
     images = files.where("kind = 'image'").select(F.col("rel").alias("file"), F.lit(None).cast("int").alias("page"), F.lit(None).cast("string").alias("page_entry"))
     both = images.union(image_pages.select("path", "page", "name"))
-    return both.orderBy(F.col("page").isNotNull(), "file", "page").limit(most)
+    return both if most is None else both.orderBy(F.col("page").isNotNull(), "file", "page").limit(most)
 
 
 def pack(rows: list[tuple[str, bytes]]) -> bytes:
