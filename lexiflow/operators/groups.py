@@ -88,7 +88,7 @@ def atlas_groups(fragments: DataFrame, least: int = LEAST_PARTS) -> DataFrame:
     order = line.orderBy(F.col("box")[0], F.col("box")[1], "id")
     h = F.col("box")[3]
     sized = (
-        dealt(with_lines(fragments), "file", "page", "line")
+        dealt(with_lines(fragments), "file", "line")
         .withColumn("n", F.count(F.lit(1)).over(line))
         .withColumn("spread", F.max(h).over(line) / F.min(h).over(line))
         .withColumn("height", F.median(h).over(line))
