@@ -2,11 +2,13 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from lexiflow.operators import groups
-from lexiflow.plans import catalogue  # noqa: F401 - it registers its queries
+from lexiflow.plans import catalogue, formats  # noqa: F401 - they register their queries
 from lexiflow.plans.registry import QUERIES
+from lexiflow.sources import archives
 
 
 def boxed(order, line, part, supplier):
@@ -89,3 +91,38 @@ def test_ends_of_long_texts(spark, tmp_path, name):
     key, value = ("doc_id", "text") if table == "documents" else ("page_id", "html")
     spark.createDataFrame([(8, whole, "src0", "en")], f"{key} long, {value} string, source string, lang string").write.parquet(str(tmp_path / f"{table}.parquet"))
     assert any(seen(r[column]) for r in QUERIES[query](spark, str(tmp_path)).collect())
+
+
+@pytest.mark.parametrize("name", ["q61_marshal_texts", "q87_pdf_lines", "q59_game_data", "q33_ini_yaml_kv"])
+def test_one_row_group_keeps_all_cores_at_work(spark, sf, name):
+    assert QUERIES[name](spark, sf).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_python_gets_small_batches(spark, sf):
+    QUERIES["q67_charsets"](spark, sf)
+    sizes = spark.range(0, 5_000, 1, 1).selectExpr("repeat('x', 20000) AS t").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long")
+    got = [r["n"] for r in sizes.collect()]
+    assert len(got) >= 20 and max(got) < 8 << 20
+
+
+def test_lines_without_a_language_have_a_first(spark, tmp_path):
+    rows = [(1, "a\nb", None, "s"), (2, "a\nc", None, "s"), (3, "a", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r["doc_id"], r["line"]): (r["target"], r["first"]) for r in QUERIES["q13_dedupe_first"](spark, str(tmp_path)).collect()}
+    assert got == {(1, 0): ("T:a", True), (1, 1): ("T:b", True), (2, 0): ("T:a", False), (2, 1): ("T:c", True), (3, 0): ("T:a", True)}
+
+
+def test_members_are_read_one_by_one(spark):
+    names = [f"{n}.txt" for n in range(2_500)]
+    content = archives.pack([(n, n.encode()) for n in names])
+    one = archives.members_of("a", content)
+    assert next(one)[6] == b"0.txt"
+    got = archives.members(spark.createDataFrame([("a", content), ("b", None), ("c", b"no")], "path string, content binary")).collect()
+    assert sorted(r["data"].decode() for r in got if r["path"] == "a") == sorted(names) and [r["idx"] for r in got if r["path"] == "c"] == [-1] and len(got) == 2_501
+
+
+def test_groups_stay_dealt_to_many_tasks(spark, tmp_path):
+    lineitem(spark, tmp_path)
+    for name in ("q25_phrase_split", "q26_atlas_groups"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
