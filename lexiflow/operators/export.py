@@ -114,6 +114,13 @@ def patched_content(content: bytes, ref_kind: str, rows: list[dict]) -> tuple[by
     return encode(new, encoding, mark) if new != text else content, done
 
 
+def structs(lists: pa.ListArray) -> list[list[dict]]:
+    """Lists of structs as Python rows, made field by field: far fewer steps than value by value."""
+    flat = lists.flatten()
+    each = iter([dict(zip(flat.type.names, values, strict=True)) for values in zip(*(c.to_pylist() for c in flat.flatten()), strict=True)])
+    return [[next(each) for _ in range(n or 0)] for n in lists.value_lengths().to_pylist()]
+
+
 def exported(files: DataFrame, patches: DataFrame) -> DataFrame:
     """RESULT for each file (rel, content) that has patches (file, ref_kind, …, source, target).
 
@@ -128,8 +135,7 @@ def exported(files: DataFrame, patches: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                file, content, rows = r["file"], r["content"], r["rows"]
+            for file, content, rows in zip(batch["file"].to_pylist(), batch["content"].to_pylist(), structs(batch["rows"]), strict=True):
                 try:
                     new, done = patched_content(content, rows[0]["ref_kind"], rows)
                     out.append((file, new, done, len(rows) - done, None))

@@ -188,3 +188,20 @@ def test_stripped(spark):
     rows = [f"{b} é x{b}y {b}" for b in every] + ["", "   ", None, "a"]
     got = spark.createDataFrame([(r,) for r in rows], "t string").select("t", text.stripped(F.col("t")).alias("s")).collect()
     assert all(r["s"] == (None if r["t"] is None else r["t"].strip("".join(every))) for r in got)
+
+
+def test_events_of_a_map_are_read_in_one_pass(monkeypatch):
+    """Steps grow with the file, not with its square; of equal keys the first counts."""
+    def event(name):
+        return marshal.Node("o", name="RPG::Event", items=[("@name", marshal.Node('"', name.encode()))])
+
+    def steps(n):
+        seen = []
+        monkeypatch.setattr(marshal, "scalar", lambda node, scalar=scalar: seen.append(1) or scalar(node))
+        pairs = [(marshal.Node("i", k), event(f"e{k}")) for k in range(n)] + [(marshal.Node("i", 0), event("again"))]
+        found = marshal.marshal_entries("Map001.rvdata2", marshal.write(marshal.Node("o", name="RPG::Map", items=[("@events", marshal.Node("{", items=pairs))])))
+        assert [f.source for f in found] == [*(f"e{k}" for k in range(n)), "e0"]
+        return len(seen)
+
+    scalar = marshal.scalar
+    assert steps(400) <= 2 * steps(200)

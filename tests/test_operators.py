@@ -359,3 +359,12 @@ def test_charset_columns(spark):
     both = df.withColumn("b", encoding.encoded(F.col("t"), F.col("e"), F.col("m"))).withColumn("d", encoding.decoded(F.col("b"), F.col("e")))
     assert [r["d"]["text"] for r in both.collect()] == ["你好", "Hi", "é", None]
     assert bytes(both.collect()[1]["b"]) == b"\xfe\xff\x00H\x00i"
+
+
+def test_patch_rows_by_field():
+    import pyarrow as pa
+
+    kind = pa.list_(pa.struct([("line", pa.int32()), ("path", pa.list_(pa.string())), ("source", pa.string())]))
+    rows = [[{"line": 1, "path": ["a", "b"], "source": "x"}, {"line": None, "path": None, "source": None}], [], None, [{"line": 2, "path": [], "source": "y"}]]
+    assert export.structs(pa.array(rows, kind)) == [r or [] for r in rows]
+    assert export.structs(pa.array(rows * 2, kind)[3:6]) == [rows[3], rows[0], []]
