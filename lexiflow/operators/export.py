@@ -175,7 +175,10 @@ def books_exported(books: DataFrame, patches: DataFrame) -> DataFrame:
 
 
 def packed(rows: DataFrame) -> DataFrame:
-    """archive and content from (archive, name, data)."""
+    """archive and content from (archive, name, data).
+
+    Archives are dealt once more when packed, so that Python that reads them does not run beside Python that packs.
+    """
 
     schema = pa.schema([("archive", pa.string()), ("content", pa.binary())])
 
@@ -183,7 +186,8 @@ def packed(rows: DataFrame) -> DataFrame:
         content = pack(list(zip(members["name"].to_pylist(), members["data"].to_pylist(), strict=True)))
         return pa.table([[members["archive"][0].as_py()], [content]], schema=schema)
 
-    return spread(rows.select("archive", "name", "data"), "archive").groupBy("archive").applyInArrow(run, "archive string, content binary")
+    made = spread(rows.select("archive", "name", "data"), "archive").groupBy("archive").applyInArrow(run, "archive string, content binary")
+    return spread(made, "archive")
 
 
 def sidecar(results: DataFrame) -> DataFrame:

@@ -121,6 +121,12 @@ def test_members_are_read_one_by_one(spark):
     assert sorted(r["data"].decode() for r in got if r["path"] == "a") == sorted(names) and [r["idx"] for r in got if r["path"] == "c"] == [-1] and len(got) == 2_501
 
 
+def test_archives_are_read_when_all_are_packed(spark, sf):
+    plan = QUERIES["q64_archive_members"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    reads, packs = plan.index("MapInArrow"), plan.index("FlatMapGroupsInArrow")
+    assert "Exchange" in plan[reads:packs]
+
+
 def test_groups_stay_dealt_to_many_tasks(spark, tmp_path):
     lineitem(spark, tmp_path)
     for name in ("q25_phrase_split", "q26_atlas_groups"):
