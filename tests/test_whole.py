@@ -5,6 +5,8 @@ import random
 import pyarrow as pa
 import pytest
 
+from lexiflow.extract import subtitles
+from lexiflow.extract.rows import CHUNK_ROWS, extracted
 from lexiflow.operators import groups
 from lexiflow.plans import catalogue, formats  # noqa: F401 - they register their queries
 from lexiflow.plans.registry import QUERIES
@@ -121,6 +123,28 @@ def test_members_are_read_one_by_one(spark):
     assert sorted(r["data"].decode() for r in got if r["path"] == "a") == sorted(names) and [r["idx"] for r in got if r["path"] == "c"] == [-1] and len(got) == 2_501
 
 
+def test_entries_go_back_in_runs(spark):
+    held = []
+
+    class Files:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, columns):
+            held.append(run)
+            return self
+
+        def withColumn(self, *column):
+            return self
+
+    extracted(Files(), subtitles.subtitle_entries)
+    for ext, line in (("lrc", "[00:01]x"), ("sub", "{1}{2}x"), ("ass", "Dialogue: 0,0,0,x")):
+        text = "[Events]\nFormat: Layer, Start, End, Text\n" + "\n".join([line] * 5_000)
+        batch = pa.RecordBatch.from_pydict({"rel": [f"a.{ext}", f"b.{ext}"], "engine": ["", ""], "text": [text, text]})
+        sizes = [b.num_rows for b in held[0]([batch])]
+        assert sum(sizes) == 10_000 and max(sizes) <= CHUNK_ROWS
+
+
 def test_archives_are_read_when_all_are_packed(spark, sf):
     plan = QUERIES["q64_archive_members"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     reads, packs = plan.index("MapInArrow"), plan.index("FlatMapGroupsInArrow")
