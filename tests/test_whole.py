@@ -114,6 +114,18 @@ def test_lines_without_a_language_have_a_first(spark, tmp_path):
     assert got == {(1, 0): ("T:a", True), (1, 1): ("T:b", True), (2, 0): ("T:a", False), (2, 1): ("T:c", True), (3, 0): ("T:a", True)}
 
 
+def test_lines_move_once_and_their_keys_apart(spark, sf):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = QUERIES["q13_dedupe_first"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, old)
+    # Rows once; keys counted, then moved to them, so that adaptive execution can split a frequent line.
+    assert plan.count("Exchange hashpartitioning") == 3 and plan.count("SortMergeJoin") == 1
+
+
 def test_members_are_read_one_by_one(spark):
     names = [f"{n}.txt" for n in range(2_500)]
     content = archives.pack([(n, n.encode()) for n in names])
