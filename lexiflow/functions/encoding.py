@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import codecs
+import itertools
+from collections.abc import Iterable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,21 +35,33 @@ def encode(text: str, encoding: str, mark: bool = False) -> bytes:
 
 
 def decoded(content: Column, hint: Column | None = None) -> Column:
-    """struct(text, encoding, bom) of a binary column."""
+    """struct(text, encoding, bom) of a binary column.
 
-    @F.pandas_udf("text string, encoding string, bom boolean")
-    def run(data: pd.Series, hints: pd.Series) -> pd.DataFrame:
-        rows = [decode(bytes(d), h) if d is not None else (None, None, None) for d, h in zip(data, hints, strict=True)]
-        return pd.DataFrame(rows, columns=["text", "encoding", "bom"])
+    Without a hint it takes one argument only, so that Spark runs it in the worker of the function below it.
+    """
 
-    return run(content, hint if hint is not None else F.lit(None).cast("string"))
+    def rows(data: pa.Array, hints: Iterable[str | None]) -> pa.Array:
+        found = [decode(d.as_py(), h) if d.is_valid else (None, None, None) for d, h in zip(data, hints, strict=False)]
+        columns = zip(*found, strict=True) if found else ([], [], [])
+        return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (pa.string(), pa.string(), pa.bool_()), strict=True)], ["text", "encoding", "bom"])
+
+    @F.arrow_udf("text string, encoding string, bom boolean")
+    def plain(data: pa.Array) -> pa.Array:
+        return rows(data, itertools.repeat(None))
+
+    @F.arrow_udf("text string, encoding string, bom boolean")
+    def hinted(data: pa.Array, hints: pa.Array) -> pa.Array:
+        return rows(data, hints.to_pylist())
+
+    return plain(content) if hint is None else hinted(content, hint)
 
 
 def encoded(text: Column, encoding: Column, mark: Column) -> Column:
     """Bytes of a string column in the encoding that stands beside it."""
 
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series, names: pd.Series, marks: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else encode(t, n or "utf-8", bool(m)) for t, n, m in zip(texts, names, marks, strict=True)])
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array, names: pa.Array, marks: pa.Array) -> pa.Array:
+        each = zip(texts, names.to_pylist(), marks.to_pylist(), strict=True)
+        return pa.array([encode(t.as_py(), n or "utf-8", bool(m)) if t.is_valid else None for t, n, m in each], pa.binary())
 
     return run(text, encoding, mark)

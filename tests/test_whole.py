@@ -4,9 +4,11 @@ import random
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lexiflow.extract import subtitles
 from lexiflow.extract.rows import CHUNK_ROWS, extracted
+from lexiflow.functions import encoding
 from lexiflow.operators import groups
 from lexiflow.plans import catalogue, formats  # noqa: F401 - they register their queries
 from lexiflow.plans.registry import QUERIES
@@ -107,6 +109,19 @@ def test_python_gets_small_batches(spark, sf):
     assert len(got) >= 20 and max(got) < 8 << 20
 
 
+def test_charsets_take_one_worker_a_task(spark, sf):
+    plan = QUERIES["q67_charsets"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_charsets_of_missing_and_other_texts(spark):
+    rows = [(None,), (b"",), ("é".encode(),), ("é".encode("gbk"),), (b"\xff\xfea\x00",)]
+    got = [r["d"] for r in spark.createDataFrame(rows, "b binary").select(encoding.decoded(F.col("b")).alias("d")).collect()]
+    assert [tuple(d) for d in got] == [(None, None, None), *(encoding.decode(b) for (b,) in rows[1:])]
+    empty = spark.createDataFrame([], "b binary").select(encoding.decoded(F.col("b")).alias("d"))
+    assert empty.collect() == []
+
+
 def test_lines_without_a_language_have_a_first(spark, tmp_path):
     rows = [(1, "a\nb", None, "s"), (2, "a\nc", None, "s"), (3, "a", "en", "s")]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
