@@ -45,43 +45,47 @@ def txt_entries(files: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-INI = rf"^({BLANK}*[^#;\[=][^=]*={BLANK}*)(.*)$"
+def matched(files: DataFrame, pattern: str, groups: str, *keep: str) -> DataFrame:
+    """Columns `keep`, line and found, the groups of pattern in each line that it matches; groups: those of a piece side by side, pieces apart by \n.
+
+    Each line is matched once for all groups: no line holds \n, so it can part them. What is exploded is not computed again above.
+    """
+    pieces = F.split(F.regexp_replace("raw", rf"^{pattern}$(?s:.*)", groups), "\n")
+    return lines(files, *keep).select(*keep, "line", F.explode(F.array(pieces)).alias("found")).where(F.size("found") > 1)
+
+
+INI = rf"({BLANK}*[^#;\[=][^=]*={BLANK}*)(.*)"
 
 
 def ini_entries(files: DataFrame, *keep: str) -> DataFrame:
     """Values of `key = value` lines whose key starts with none of # ; [."""
-    rest = F.regexp_extract("raw", INI, 2)
+    rest = F.col("found")[1]
     return (
-        lines(files, *keep)
-        .where(F.col("raw").rlike(INI))
+        matched(files, INI, "$1\n$2", *keep)
         .withColumn("source", stripped(rest))
         .where(F.col("source") != "")
         .select(
             *keep,
             F.concat(F.lit("line"), F.col("line") + 1).alias("suffix"),
             "source",
-            F.regexp_extract("raw", INI, 1).alias("prefix"),
-            F.substring(rest, F.length("source") + 1, F.length("raw")).alias("tail"),
+            F.col("found")[0].alias("prefix"),
+            F.substring(rest, F.length("source") + 1, F.length(rest)).alias("tail"),
             "line",
         )
     )
 
 
-KEY = rf"^({BLANK}*[A-Za-z0-9_.\- ]{{1,100}}:)"
-QUOTED = (rf'{KEY}({BLANK}*")([^"]*)(".*)$', rf"{KEY}({BLANK}*')([^']*)('.*)$")
-BARE = rf"^({BLANK}*[A-Za-z0-9_.\- ]{{1,100}}:{BLANK}+)([^#\s\[{{\"'][^#]*?)({BLANK}*(?:#.*)?)$"
+#: A key, then a value in double quotes, in single ones or in none; a key ends at the first colon, so the first that fits is taken.
+VALUES = rf"""({BLANK}*")([^"]*)(".*)|({BLANK}*')([^']*)('.*)|({BLANK}+)([^#\s\[{{"'][^#]*?)({BLANK}*(?:#.*)?)"""
+YAML = rf"({BLANK}*[A-Za-z0-9_.\- ]{{1,100}}:)(?:{VALUES})"
 
 
 def yaml_entries(files: DataFrame, *keep: str) -> DataFrame:
     """Values of `key: value` lines, quoted or bare; a remark after a bare value stays behind."""
-    raw = F.col("raw")
-    quoted = [(F.concat(F.regexp_extract(raw, p, 1), F.regexp_extract(raw, p, 2)), F.regexp_extract(raw, p, 3), F.regexp_extract(raw, p, 4), raw.rlike(p)) for p in QUOTED]
-    cases = [*quoted, (F.regexp_extract(raw, BARE, 1), F.regexp_extract(raw, BARE, 2), F.regexp_extract(raw, BARE, 3), raw.rlike(BARE))]
-    picked = [F.coalesce(*(F.when(c[3], c[i]) for c in cases)) for i in range(3)]
     return (
-        lines(files, *keep)
-        .select(*keep, "line", picked[0].alias("prefix"), picked[1].alias("source"), picked[2].alias("tail"))
-        .where(F.col("source").isNotNull() & (stripped(F.col("source")) != ""))
+        matched(files, YAML, "$1$2$5$8\n$3$6$9\n$4$7$10", *keep)
+        .select(*keep, "line", F.col("found")[0].alias("prefix"), F.col("found")[1].alias("source"), F.col("found")[2].alias("tail"))
+        .where(stripped(F.col("source")) != "")
         .select(*keep, F.concat(F.lit("line"), F.col("line") + 1).alias("suffix"), "source", "prefix", "tail", "line")
     )
 

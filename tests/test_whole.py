@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexiflow.extract import subtitles
+from lexiflow.extract import plain, subtitles
 from lexiflow.extract.rows import CHUNK_ROWS, extracted
 from lexiflow.functions import encoding
 from lexiflow.operators import groups
@@ -109,6 +109,21 @@ def test_python_gets_small_batches(spark, sf):
     assert len(got) >= 20 and max(got) < 8 << 20
 
 
+def test_each_line_of_keys_is_matched_once(spark, sf):
+    plan = QUERIES["q33_ini_yaml_kv"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_") + plan.count("RLIKE") == 2
+
+
+def test_key_lines_with_odd_characters(spark):
+    texts = ["a: 'x' y\rb: z\r", 'a:\u00a0"x"\u00a0# "y"\nb: \x00$1 # r', "a: [x]\na:b\na: b: c\n: d", None, ""]
+    files = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = sorted((r["n"], r["line"], r["prefix"], r["source"], r["tail"]) for r in plain.yaml_entries(files, "n").collect())
+    assert got == [(1, 0, 'a:\u00a0"', "x", '"\u00a0# "y"'), (1, 1, "b: ", "\x00$1", " # r"), (2, 2, "a: ", "b: c", "")]
+    files = spark.createDataFrame([(0, "a = b = c \r\n=d\n[e]=f\ng=\nh=\x00\\$2\r")], "n int, text string")
+    got = sorted((r["line"], r["prefix"], r["source"], r["tail"]) for r in plain.ini_entries(files, "n").collect())
+    assert got == [(0, "a = ", "b = c", " "), (4, "h=", "\x00\\$2", "")]
+
+
 def test_charsets_take_one_worker_a_task(spark, sf):
     plan = QUERIES["q67_charsets"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
