@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,12 +19,20 @@ from lexiflow.session import spread
 from lexiflow.sources import archives, pdf
 
 
+def _gathered(rows: DataFrame, key: str, order: str, *columns: Column | str) -> DataFrame:
+    """key and listed: the columns of its rows in order."""
+    return spread(rows, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), *columns))).alias("listed"))
+
+
+def _named(gathered: DataFrame, key: str, ext: str, piece: Callable[[Column], Column], head: str = "", between: str = "\n", tail: str = "", name: str = "f") -> DataFrame:
+    """rel, ext, engine, text: one file for each key, of the pieces that its rows make."""
+    whole = F.concat(F.lit(head), F.array_join(F.transform("listed", piece), between), F.lit(tail))
+    return gathered.select(F.concat(F.lit(name), key, F.lit(f".{ext}")).alias("rel"), F.lit(ext).alias("ext"), F.lit("").alias("engine"), whole.alias("text"))
+
+
 def _files(rows: DataFrame, key: str, ext: str, order: str, piece: Column, head: str = "", between: str = "\n", tail: str = "", name: str = "f") -> DataFrame:
     """rel, ext, engine, text: one file for each key, of its pieces in order."""
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), piece.alias("s"))))
-    whole = F.concat(F.lit(head), F.array_join(F.transform(listed, lambda x: x.s), between), F.lit(tail))
-    made = spread(rows, key).groupBy(key).agg(whole.alias("text"))
-    return made.select(F.concat(F.lit(name), key, F.lit(f".{ext}")).alias("rel"), F.lit(ext).alias("ext"), F.lit("").alias("engine"), "text")
+    return _named(_gathered(rows, key, order, piece.alias("s")), key, ext, lambda x: x.s, head, between, tail, name)
 
 
 def _said(read) -> DataFrame:
@@ -67,12 +77,21 @@ UNION ALL SELECT 'f' || conv_id || '.smi', CAST(cue AS INT), 'subtitle-smi', t |
 """
 )
 def q56_lyrics_frames_captions(spark, read):
-    said, s = _said(read), F.floor(F.col("ms") / 1000)
-    lrc = F.concat(F.lit("["), F.lpad(F.floor(s / 60).cast("string"), 3, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"), F.lit(".25]"), "t")
-    sub = F.concat(F.lit("{"), F.col("turn") * 24, F.lit("}{"), F.col("turn") * 24 + 12, F.lit("}"), "t", F.lit("|"), "role")
-    smi = F.concat(F.lit("<SYNC Start="), "ms", F.lit("><P Class=EN><b>"), "t", F.lit("</b><br/>"), "role", F.lit(" &amp; &lt;x&gt;\n"))
+    """Three files of each conversation; its turns are gathered once."""
+    said = _gathered(_said(read), "conv_id", "turn", "t", "role", "ms")
+
+    def lrc(x: Column) -> Column:
+        s = F.floor(x.ms / 1000)
+        return F.concat(F.lit("["), F.lpad(F.floor(s / 60).cast("string"), 3, "0"), F.lit(":"), F.lpad((s % 60).cast("string"), 2, "0"), F.lit(".25]"), x.t)
+
+    def sub(x: Column) -> Column:
+        return F.concat(F.lit("{"), x.o * 24, F.lit("}{"), x.o * 24 + 12, F.lit("}"), x.t, F.lit("|"), x.role)
+
+    def smi(x: Column) -> Column:
+        return F.concat(F.lit("<SYNC Start="), x.ms, F.lit("><P Class=EN><b>"), x.t, F.lit("</b><br/>"), x.role, F.lit(" &amp; &lt;x&gt;\n"))
+
     made = [("lrc", lrc, "[ar:x]\n[00:01]\n", ""), ("sub", sub, "{1}{2} \n", ""), ("smi", smi, "<SAMI><BODY>\n", "</BODY></SAMI>")]
-    files = [_files(said, "conv_id", ext, "turn", piece, head, "\n", tail) for ext, piece, head, tail in made]
+    files = [_named(said, "conv_id", ext, piece, head, "\n", tail) for ext, piece, head, tail in made]
     return _cue(parse_texts(files[0].union(files[1]).union(files[2])))
 
 

@@ -187,6 +187,14 @@ def test_entries_go_back_in_runs(spark):
         assert sum(sizes) == 10_000 and max(sizes) <= CHUNK_ROWS
 
 
+def test_turns_of_three_files_move_once(spark, sf):
+    df = QUERIES["q56_lyrics_frames_captions"](spark, sf)
+    assert df.count() == 3 * spark.read.parquet(f"{sf}/conversations.parquet").count()
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert final.count("Exchange hashpartitioning") == 3 and final.count("ReusedExchange") == 2
+
+
 def test_archives_are_read_when_all_are_packed(spark, sf):
     plan = QUERIES["q64_archive_members"](spark, sf)._jdf.queryExecution().executedPlan().toString()
     reads, packs = plan.index("MapInArrow"), plan.index("FlatMapGroupsInArrow")
