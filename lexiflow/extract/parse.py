@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,7 @@ SPAN = {"rpy": ("renpy", scripts.renpy_entries), "ks": ("krkr-ks", scripts.ks_en
 RUBY = ("rxdata", "rvdata", "rvdata2")
 
 
-def by_extension(rel: str, text: str) -> list[Found]:
+def by_extension(rel: str, text: str) -> Iterable[Found]:
     return BY_EXTENSION[rel.rsplit(".", 1)[-1].lower()](rel, text)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from operator import attrgetter
 
@@ -57,6 +57,15 @@ def extracted(files: DataFrame, extract: Callable[[str, object], Iterable[Found]
     def record(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+    def entries(rel: str, data: object) -> Iterator[Found | str]:
+        """What is found, or at last why the file cannot be read."""
+        try:
+            for f in extract(rel, data):
+                if f.source and not f.source.isspace():
+                    yield f
+        except (ValueError, KeyError, IndexError, TypeError, RecursionError) as e:
+            yield f"{type(e).__name__}: {e}"
+
     def run(batches):
         rows = []
         for batch in batches:
@@ -64,12 +73,19 @@ def extracted(files: DataFrame, extract: Callable[[str, object], Iterable[Found]
                 rel, engine, data = rel.as_py(), engine.as_py(), data.as_py()
                 if data is None:
                     continue
-                try:
-                    found = [f for f in extract(rel, data) if f.source and not f.source.isspace()]
-                except (ValueError, KeyError, IndexError, TypeError, RecursionError) as e:
-                    found = [Found("error", "error", f"{type(e).__name__}: {e}")]
-                for n, f in enumerate(found):
-                    rows.append((n, rel, engine, *values(f)))
+                # A file's entries wait in packed runs until all of it is read.
+                runs, own, n = [], [], 0
+                for f in entries(rel, data):
+                    if isinstance(f, str):
+                        runs, own, n, f = [], [], 0, Found("error", "error", f)
+                    own.append((n, rel, engine, *values(f)))
+                    n += 1
+                    if len(own) == CHUNK_ROWS:
+                        runs.append(record(own))
+                        own = []
+                yield from runs
+                for row in own:
+                    rows.append(row)
                     if len(rows) == CHUNK_ROWS:
                         yield record(rows)
                         rows = []

@@ -1,5 +1,6 @@
 """Queries work on all rows and on whole texts of their tables."""
 
+import gc
 import random
 
 import pyarrow as pa
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexiflow.extract import plain, subtitles
-from lexiflow.extract.rows import CHUNK_ROWS, extracted
+from lexiflow.extract.rows import CHUNK_ROWS, Found, extracted
 from lexiflow.functions import encoding
 from lexiflow.operators import groups
 from lexiflow.plans import catalogue, formats  # noqa: F401 - they register their queries
@@ -187,6 +188,21 @@ def test_entries_go_back_in_runs(spark):
         assert sum(sizes) == 10_000 and max(sizes) <= CHUNK_ROWS
 
 
+def test_long_files_are_not_held_as_entries(spark):
+    def many(rel, text):
+        for n in range(5_000):
+            yield Found(f"c{n}", "x", text)
+        yield Found("held", "x", str(sum(type(o).__name__ == "Found" for o in gc.get_objects())))
+        if rel == "b":
+            raise ValueError("late")
+
+    got = extracted(spark.createDataFrame([("a", "", "t"), ("b", "", "t"), ("c", "", None)], "rel string, engine string, text string"), many).collect()
+    assert sorted(r["ord"] for r in got if r["file"] == "a") == list(range(5_001))
+    assert [int(r["source"]) < 10 for r in got if r["suffix"] == "held"] == [True]
+    # A file that breaks off late gives its error only.
+    assert [(r["ord"], r["format"], r["source"]) for r in got if r["file"] == "b"] == [(0, "error", "ValueError: late")]
+
+
 def test_turns_of_three_files_move_once(spark, sf):
     df = QUERIES["q56_lyrics_frames_captions"](spark, sf)
     assert df.count() == 3 * spark.read.parquet(f"{sf}/conversations.parquet").count()
